@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ngram_join
+from lectern.llm import history_dedup, ngram_join
 from lectern.session import table
 
 #: Likeness of the test tables: three words, 0.7 or more, at least twenty words (TESTDATA.md).
 LIKENESS = {"width": 3, "threshold": 0.7, "min_words": 20}
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks that repeat, exactly or nearly, content accepted from an earlier batch or row."""
+    cases = history_dedup.repeated_rows(table(spark, d, "chunks"), "batch_id", "row_id", "content", **LIKENESS)
+    return cases.select(F.col("row").alias("row_id"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of near-duplicate chunks, copies included."""
     pairs, classes = ngram_join.similar_pairs(table(spark, d, "chunks"), "row_id", "content", **LIKENESS)
@@ -21,7 +27,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_found": p7_found}
+    return {"p1_found": p1_found, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
