@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import history_dedup, ngram_join
+from lectern.llm import history_dedup, knn, ngram_join
 from lectern.session import table
 
 #: Likeness of the test tables: three words, 0.7 or more, at least twenty words (TESTDATA.md).
@@ -20,6 +20,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return cases.select(F.col("row").alias("row_id"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of embedded chunks with cosine 0.9 or more where one is among the other's five most similar."""
+    near, classes = knn.most_similar(table(spark, d, "embedded_chunks"), "emb_id", "vector", k=5, dim=64)
+    return knn.similar_row_pairs(near, classes, k=5, least=0.9)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of near-duplicate chunks, copies included."""
     pairs, classes = ngram_join.similar_pairs(table(spark, d, "chunks"), "row_id", "content", **LIKENESS)
@@ -27,7 +33,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
