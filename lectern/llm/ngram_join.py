@@ -31,7 +31,10 @@ from lectern.llm import shingles as S
 from lectern.session import stage
 
 ELL = 3  # shared shingles of the extended prefixes that every true pair has
-ENTRY = np.dtype([("token", "<u8"), ("row", "<i8"), ("size", "<u4"), ("pos", "<u4"), ("map0", "<u8"), ("map1", "<u8")])
+TEXT = np.dtype([("row", "<i8"), ("size", "<u4"), ("map0", "<u8"), ("map1", "<u8")])  # once a text and fragment
+MEET = np.dtype([("token", "<u4"), ("text", "<u2"), ("pos", "<u2")])  # 32 bits of a shingle's hash, text in the segment, position and side
+MOST_TEXTS, MOST_POS = 60_000, 32_767
+BROADCAST_ROWS = 500_000  # ids of copies are broadcast up to this many (8 bytes each), else joined by shuffle
 
 
 def copy_classes(texts: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -116,14 +119,42 @@ def parity_maps(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def partial_overlaps(entries: np.ndarray, threshold: float, cross: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def packed(texts: np.ndarray, meets: np.ndarray) -> bytes:
+    """One segment: the number of texts, the texts, then what they bring to the fragment, field by field."""
+    used, meets = np.unique(meets["text"], return_inverse=True)[0], meets.copy()
+    meets["text"] = np.searchsorted(used, meets["text"])
+    texts = texts[used]
+    fields = [texts[n].tobytes() for n in TEXT.names] + [meets[n].tobytes() for n in MEET.names]
+    return np.array([len(texts)], "<u4").tobytes() + b"".join(fields)
+
+
+def unpacked(segments) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, meets) of segments, with ``text`` in a wider array of its own: meets are (token, text, pos)."""
+    all_texts, token, text, pos, before = [], [], [], [], 0
+    for blob in segments:
+        n = int(np.frombuffer(blob, "<u4", 1)[0])
+        at, texts = 4, np.zeros(n, TEXT)
+        for name in TEXT.names:
+            texts[name] = np.frombuffer(blob, TEXT[name], n, at)
+            at += n * TEXT[name].itemsize
+        m = (len(blob) - at) // MEET.itemsize
+        token.append(np.frombuffer(blob, "<u4", m, at))
+        text.append(np.frombuffer(blob, "<u2", m, at + 4 * m).astype(np.int64) + before)
+        pos.append(np.frombuffer(blob, "<u2", m, at + 6 * m))
+        all_texts.append(texts)
+        before += n
+    return np.concatenate(all_texts), np.rec.fromarrays([np.concatenate(token), np.concatenate(text), np.concatenate(pos)], names="token,text,pos")
+
+
+def partial_overlaps(texts: np.ndarray, meets: np.ndarray, threshold: float, cross: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, shared shingles, least of them in all) of the pairs that meet in one fragment and may be true, a < b.
 
-    With ``cross`` only pairs of different sides count: a side is the lowest bit of ``pos`` shifted in by the caller.
+    With ``cross`` only pairs of different sides count: a side is the lowest bit of ``pos``.
     """
-    entries = entries[np.argsort(entries["token"], kind="stable")]
-    token, row, size = entries["token"], entries["row"], entries["size"].astype(np.float64)
-    side, pos = entries["pos"] & 1, (entries["pos"] >> 1).astype(np.float64)
+    sort = np.argsort(meets["token"], kind="stable")
+    token, at, pos = meets["token"][sort], meets["text"][sort], meets["pos"][sort]
+    row, size, maps = texts["row"][at], texts["size"][at].astype(np.float64), (texts["map0"][at], texts["map1"][at])
+    side, pos = pos & 1, (pos >> 1).astype(np.float64)
     share = threshold / (1 + threshold)
     lefts, rights, leasts = [], [], []
     for i, j in S.earlier_in_group(token):
@@ -134,7 +165,7 @@ def partial_overlaps(entries: np.ndarray, threshold: float, cross: bool) -> tupl
         if cross:
             ok &= side[i] != side[j]
         i, j, room = i[ok], j[ok], (both - 2 * need)[ok]
-        apart = np.bitwise_count(entries["map0"][i] ^ entries["map0"][j]).astype(np.int64) + np.bitwise_count(entries["map1"][i] ^ entries["map1"][j])
+        apart = sum(np.bitwise_count(m[i] ^ m[j]).astype(np.int64) for m in maps)
         near = apart <= room
         leasts.append(ell[ok][near])
         ok = near
@@ -169,7 +200,7 @@ def similar_pairs(
     Null, empty and too short texts are in neither. Rows with the same words in the same order are one class and give
     no pair. Ids must be unique integers. ``texts`` may hold further columns under any name; they are not read.
     ``counter_bits``: 2**bits counters of 2 bytes, by default about eight a text, between 2**16 and 2**26 (128 MB).
-    ``fragments``: parts of the shingle order, by default one for 25,000 texts and at least 24.
+    ``fragments``: parts of the shingle order, by default one for 50,000 texts and at least 12.
     ``hot``: a shingle in more texts than this is split into blocks of about this many.
     """
     spark = texts.sparkSession
@@ -177,10 +208,10 @@ def similar_pairs(
     classes = copy_classes(texts, "row", "text", max(min_words, width))
     n = classes.count()
     bits = counter_bits or int(np.clip(np.ceil(np.log2(8 * max(n, 1))), 16, 26))
-    parts = fragments or max(24, n // 25_000)
+    parts = fragments or max(12, n // 50_000)
     counters = shingle_counters(texts, "text", width, min_words, bits)
     copies = classes.filter("row != class").select("row")
-    firsts = texts.join(copies, "row", "left_anti")
+    firsts = texts.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "row", "left_anti")
 
     shared = spark.sparkContext.broadcast(counters)
 
@@ -197,47 +228,45 @@ def similar_pairs(
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in (whole.slice(k, MOST_TEXTS) for k in range(0, whole.num_rows, MOST_TEXTS))):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             hashes, size = S.shingle_sets(*S.word_hashes(batch.column(1).to_pylist()), width, min_words)
-            maps = parity_maps(hashes, size)
             p = ordered_prefixes(hashes, size, counters, bits, threshold)
-            entries = np.zeros(len(p["row"]), dtype=ENTRY)
-            if not len(entries):
+            if not len(p["row"]):
                 continue
-            entries["token"], entries["row"] = p["token"], ids[p["row"]]
-            entries["size"], entries["pos"] = p["size"], p["pos"] << 1
-            entries["map0"], entries["map1"] = maps[p["row"], 0], maps[p["row"], 1]
+            texts = np.zeros(len(ids), dtype=TEXT)
+            texts["row"], texts["size"] = ids, size
+            texts["map0"], texts["map1"] = parity_maps(hashes, size).T
+            meets = np.zeros(len(p["row"]), dtype=MEET)
+            meets["token"], meets["text"] = p["token"] & np.uint64(0xFFFFFFFF), p["row"]
+            meets["pos"] = np.minimum(p["pos"], MOST_POS).astype(np.uint16) << np.uint16(1)
             home = np.searchsorted(cuts, p["order"], side="right").astype(np.int64)
-            lo, hi = np.zeros(len(home), np.int64), np.zeros(len(home), np.int64)
+            lo = np.zeros(len(home), np.int64)
             splits = -(-p["count"].astype(np.int64) // hot)
-            many = np.flatnonzero(splits > 1)
-            extra = []
-            for k in many:  # a hot shingle: this text's block meets every other block in a task of its own
-                own = int(S.mix(np.array([ids[p["row"][k]]], dtype=np.int64).view(np.uint64))[0] % np.uint64(splits[k]))
-                lo[k] = hi[k] = own
-                extra.extend((k, home[k], min(own, o), max(own, o)) for o in range(int(splits[k])) if o != own)
-            if extra:
-                e = np.array(extra, dtype=np.int64)
-                more = entries[e[:, 0]].copy()
-                own = np.array([int(x) for x in lo[e[:, 0]]])
-                more["pos"] |= (own == e[:, 3]).astype(np.uint32)
-                entries = np.concatenate([entries, more])
-                home, lo, hi = np.concatenate([home, e[:, 1]]), np.concatenate([lo, e[:, 2]]), np.concatenate([hi, e[:, 3]])
-            sort = np.lexsort((entries["token"], hi, lo, home))
-            entries, home, lo, hi = entries[sort], home[sort], lo[sort], hi[sort]
+            many = np.flatnonzero(splits > 1)  # hot shingles: this text's block meets every other block in a task of its own
+            lo[many] = (S.mix(ids[p["row"][many]].astype(np.int64).view(np.uint64)) % splits[many].astype(np.uint64)).astype(np.int64)
+            hi = lo.copy()
+            if len(many):
+                source = np.repeat(many, splits[many])
+                other = np.arange(len(source)) - np.repeat(np.cumsum(splits[many]) - splits[many], splits[many])
+                source, other = source[other != lo[source]], other[other != lo[source]]
+                more = meets[source].copy()
+                more["pos"] |= (lo[source] > other).astype(np.uint16)
+                meets, home = np.concatenate([meets, more]), np.concatenate([home, home[source]])
+                lo, hi = np.concatenate([lo, np.minimum(lo[source], other)]), np.concatenate([hi, np.maximum(hi[source], other)])
+            sort = np.lexsort((meets["token"], hi, lo, home))
+            meets, home, lo, hi = meets[sort], home[sort], lo[sort], hi[sort]
             new = np.ones(len(home), dtype=bool)
             new[1:] = (home[1:] != home[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
             starts = np.flatnonzero(new)
-            blobs = [entries[s:e].tobytes() for s, e in zip(starts, np.append(starts[1:], len(entries)))]
+            blobs = [packed(texts, meets[s:e]) for s, e in zip(starts, np.append(starts[1:], len(meets)))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(home[starts], pa.int64()), pa.array(lo[starts], pa.int64()), pa.array(hi[starts], pa.int64()), pa.array(blobs, pa.binary())],
                 ["fragment", "lo", "hi", "entries"],
             )
 
     def overlaps(pdf: pd.DataFrame) -> pd.DataFrame:
-        entries = np.frombuffer(b"".join(pdf["entries"]), dtype=ENTRY)
-        a, b, n, least = partial_overlaps(entries, threshold, cross=pdf["lo"].iloc[0] != pdf["hi"].iloc[0])
+        a, b, n, least = partial_overlaps(*unpacked(pdf["entries"]), threshold, cross=pdf["lo"].iloc[0] != pdf["hi"].iloc[0])
         return pd.DataFrame({"a": a, "b": b, "n": n, "least": least})
 
     sent = firsts.mapInArrow(segments, "fragment long, lo long, hi long, entries binary")
