@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import history_dedup, knn, ngram_join
-from lectern.session import table
+from lectern.llm import boundary_split, encode, history_dedup, knn, mixing, ngram_join
+from lectern.session import stage, table
 
 #: Likeness of the test tables: three words, 0.7 or more, at least twenty words (TESTDATA.md).
 LIKENESS = {"width": 3, "threshold": 0.7, "min_words": 20}
@@ -20,6 +20,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return cases.select(F.col("row").alias("row_id"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The strongest kind of boundary that is sufficient for each oversized page."""
+    pieces = p2_pieces(spark, d)
+    return pieces.filter("chunk_index = 0 and boundary is not null").select("rec_id", "boundary")
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """All pieces of all pages."""
+    return boundary_split.split_at_boundaries(table(spark, d, "loaded_pages"), "rec_id", "page_content")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of embedded chunks with cosine 0.9 or more where one is among the other's five most similar."""
     near, classes = knn.most_similar(table(spark, d, "embedded_chunks"), "emb_id", "vector", k=5, dim=64)
@@ -32,8 +43,30 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return ngram_join.row_pairs(pairs, classes)
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode.encode_texts(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, d, "mix_targets")
+    sizes = stage(mixing.distinct_texts(table(spark, d, "documents"), targets, "doc_id", "text", "source"), "mix-sizes")
+    plan = mixing.plan_mix(sizes, targets)
+    return mixing.training_order(sizes, plan), plan
+
+
+def p9_order(spark: SparkSession, d: str) -> DataFrame:
+    """Training order of the mixed corpus."""
+    return _mix(spark, d)[0].withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target weights and the shares reached."""
+    return mixing.shares(*_mix(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p7_found": p7_found}
+    return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
