@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import boundary_split, encode, history_dedup, knn, mixing, ngram_join
+from lectern.llm import boundary_split, encode, history_dedup, knn, mixing, ngram_join, stuffing
 from lectern.session import stage, table
 
 #: Likeness of the test tables: three words, 0.7 or more, at least twenty words (TESTDATA.md).
 LIKENESS = {"width": 3, "threshold": 0.7, "min_words": 20}
 
 
+def _words(spark: SparkSession, d: str, name: str) -> list[str]:
+    """One of the fixed word lists (about 250 words in all)."""
+    rows = table(spark, d, "word_lists").filter(F.col("list_name") == name).select(F.lower("word").alias("word")).distinct().collect()
+    return sorted(r["word"] for r in rows if r["word"])
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that repeat, exactly or nearly, content accepted from an earlier batch or row."""
     cases = history_dedup.repeated_rows(table(spark, d, "chunks"), "batch_id", "row_id", "content", **LIKENESS)
@@ -65,6 +71,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*_mix(spark, d))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written for search engines rather than readers."""
+    return stuffing.stuffed_pages(table(spark, d, "documents"), "doc_id", "text", _words(spark, d, "common")).select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
