@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import boundary_split, encode, history_dedup, knn, mixing, ngram_join, stuffing
+from lectern.llm import boundary_split, encode, history_dedup, knn, mixing, ngram_join, quality_rules, stuffing
 from lectern.session import stage, table
 
 #: Likeness of the test tables: three words, 0.7 or more, at least twenty words (TESTDATA.md).
@@ -43,6 +43,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.similar_row_pairs(near, classes, k=5, least=0.9)
 
 
+def p5_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Text statistics and kind of every page."""
+    labels = table(spark, d, "review_labels").filter("tab = 'loaded_pages'")
+    pages = table(spark, d, "loaded_pages").select("rec_id", "page_content")
+    return quality_rules.classify(pages, "rec_id", "page_content", labels, _words(spark, d, "common"))[0].drop("page_content")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages most of whose text is not prose."""
+    return p5_pages(spark, d).filter("kind <> 'prose'").select("rec_id", "kind")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of near-duplicate chunks, copies included."""
     pairs, classes = ngram_join.similar_pairs(table(spark, d, "chunks"), "row_id", "content", **LIKENESS)
