@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import boundary_split, encode, history_dedup, knn, mixing, ngram_join, quality_rules, stuffing
+from lectern.llm import boundary_split, encode, history_dedup, knn, mixing, ngram_join, ocr_repair, quality_rules, stuffing
 from lectern.session import stage, table
 
 #: Likeness of the test tables: three words, 0.7 or more, at least twenty words (TESTDATA.md).
@@ -55,6 +55,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pages(spark, d).filter("kind <> 'prose'").select("rec_id", "kind")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Faulty lines of scanned pages."""
+    return ocr_repair.faults(table(spark, d, "loaded_pages"), "rec_id", "page_content", F.expr("metadata['ocr_lang'] is not null"))
+
+
+def p6_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Repaired text of scanned pages."""
+    return ocr_repair.repaired(table(spark, d, "loaded_pages"), "rec_id", "page_content", F.expr("metadata['ocr_lang'] is not null"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of near-duplicate chunks, copies included."""
     pairs, classes = ngram_join.similar_pairs(table(spark, d, "chunks"), "row_id", "content", **LIKENESS)
