@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import boundary_split, encode, history_dedup, knn, mixing, ngram_join, ocr_repair, quality_rules, stuffing
+from lectern.llm import boundary_split, encode, history_dedup, knn, mixing, ngram_join, ocr_repair, pii_spans, quality_rules, stuffing
 from lectern.session import stage, table
 
 #: Likeness of the test tables: three words, 0.7 or more, at least twenty words (TESTDATA.md).
@@ -43,6 +43,27 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.similar_row_pairs(near, classes, k=5, least=0.9)
 
 
+def _free_text(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "loaded_pages").select(F.lit("loaded_pages").alias("tab"), F.col("rec_id").alias("item"), F.col("page_content").alias("text"))
+    return pages.unionByName(table(spark, d, "chunks").select(F.lit("chunks").alias("tab"), F.col("row_id").alias("item"), F.col("content").alias("text")))
+
+
+def _given_names(spark: SparkSession, d: str) -> list[str]:
+    return [w.title() for w in _words(spark, d, "given_name")]
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Personal data in pages and chunks."""
+    found = pii_spans.find(_free_text(spark, d), _given_names(spark, d))
+    return found.select("tab", F.col("item").alias("item_id"), "kind", F.col("start").alias("start_pos"))
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Pages and chunks with typed placeholders for personal data."""
+    texts = _free_text(spark, d)
+    return pii_spans.redacted(texts, pii_spans.find(texts, _given_names(spark, d)))
+
+
 def p5_pages(spark: SparkSession, d: str) -> DataFrame:
     """Text statistics and kind of every page."""
     labels = table(spark, d, "review_labels").filter("tab = 'loaded_pages'")
