@@ -156,13 +156,16 @@ def name_key(word: str) -> str:
 
 
 def _classes(words: list[str], given: set[str], known: dict[str, int]) -> str:
-    """One letter a word: G listed given name, g learned given name, S learned family name, I initial, comma, O other."""
+    """One letter a word: G listed given name, g learned given name, S learned family name, I initial, T title,
+    a comma, O other."""
     out = []
     for w in words:
         key = name_key(w)
         kind = known.get(key, 0)
         if w in ",;":
             out.append(w)
+        elif key.lower().rstrip(".") in TITLES:
+            out.append("T")
         elif key in given:
             out.append("G")
         elif len(w) == 1:
