@@ -20,12 +20,12 @@ LEADER = r"\.{4,}\s*\d*\s*$"
 CODE = r"""(?x)^\s*(?:def\s|return\b|for\s.*:$|if\s.*:$|import\s|class\s|while\s|[{}\[\]]+,?\s*$|[{\[]?\s*"[^"]*"\s*:|rows\.|\w+\s*=\s*[\w\[("'])"""
 LABEL = r"(?i)^\s*(?:filed under|tags?|keywords?|labels?|categories|topics|mots-clés|schlagwörter|etiquetas)\s*[:=]"
 SEPARATOR = r"[|,;/»•·>]|\s[-–]\s"
-WORD = r"(?U)[\p{L}][\p{L}\p{M}'’-]*"
+WORD = r"[\p{L}][\p{L}\p{M}'’-]*"
 FEW_SHAPES = 12
 
 
 def line_kind(line: Column, stats: dict[str, Column]) -> Column:
-    """The kind of content of a line; ``stats`` are the counts of ``line_counts``."""
+    """The kind of content of a line; ``stats`` are the columns of ``line_counts``."""
     s = stats
     words, units = s["words"], s["separators"] + 1
     tokens = F.greatest(s["tokens"], F.lit(1))
@@ -49,38 +49,41 @@ def line_kind(line: Column, stats: dict[str, Column]) -> Column:
     )
 
 
-def line_counts(line: Column, common: list[str]) -> dict[str, Column]:
-    """Counts of a line's characters, words, capitals, separators, links and so on; ``common`` are function words."""
-    frequent = r"(?iuU)(?<![\p{L}\p{N}])(?:" + "|".join(sorted(common)) + r")(?![\p{L}\p{N}])" if common else "(?!)"
-    bare = F.regexp_replace(line, LINK, " ")
-    found = F.regexp_extract_all(F.lower(bare), F.lit(WORD), F.lit(0))
-    units = F.split(F.lower(bare), SEPARATOR)
-    return {
-        "chars": F.length(F.regexp_replace(line, r"(?U)^\s+|\s+$", "")),
-        "link_chars": F.length(line) - F.length(bare) + F.regexp_count(line, F.lit(LINK)),
-        "links": F.regexp_count(line, F.lit(LINK)),
-        "words": F.size(found),
-        "different": F.size(F.array_distinct(found)),
-        "units": F.size(units),
-        "different_units": F.size(F.array_distinct(F.transform(units, F.trim))),
-        "function": F.regexp_count(bare, F.lit(frequent)),
-        "tokens": F.regexp_count(bare, F.lit(r"(?U)\S+")),
-        "numbers": F.regexp_count(bare, F.lit(r"(?U)(?<![\p{L}\p{N}])(?:\p{Lu}?\p{N}[\p{N}.,]*|n/a|-|yes|no|ok)(?![\p{L}\p{N}])")),
-        "capitals": F.regexp_count(bare, F.lit(r"(?U)\b\p{Lu}")),
-        "separators": F.regexp_count(bare, F.lit(SEPARATOR)),
-        "ends": F.regexp_count(bare, F.lit(r"[.!?](?=[\s\"')\]]|$)")),
-        "hashtags": F.regexp_count(bare, F.lit(r"(?U)(?<!\S)#\p{L}")),
-        "codes": F.regexp_count(bare, F.lit(r"(?U)\b(?i:sku|art|ref|ean)[- .:]?\d{3,}")),
-    }
+def line_counts(lines: DataFrame) -> DataFrame:
+    """``lines(id, line)`` with counts of characters, words, capitals, separators, links and so on. What several counts
+    read (the line without links, its words, its units) is a column of its own, so it is made once."""
+    bare, found, units = F.col("bare"), F.col("found"), F.col("parts")
+    rows = lines.withColumn("bare", F.regexp_replace("line", LINK, " "))
+    rows = rows.withColumns({"found": F.regexp_extract_all(F.lower(bare), F.lit(WORD), F.lit(0)), "parts": F.split(F.lower(bare), SEPARATOR)})
+    return rows.withColumns(
+        {
+            "chars": F.length(F.regexp_replace("line", r"(?U)^\s+|\s+$", "")),
+            "link_chars": F.length("line") - F.length(bare) + F.regexp_count("line", F.lit(LINK)),
+            "links": F.regexp_count("line", F.lit(LINK)),
+            "words": F.size(found),
+            "different": F.size(F.array_distinct(found)),
+            "units": F.size(units),
+            "different_units": F.when(F.size(units) > 5, F.size(F.array_distinct(F.transform(units, F.trim)))).otherwise(F.size(units)),
+            "tokens": F.regexp_count(bare, F.lit(r"\S+")),
+            "numbers": F.regexp_count(bare, F.lit(r"(?<![\p{L}\p{N}])(?:\p{Lu}?\p{N}[\p{N}.,]*|n/a|-|yes|no|ok)(?![\p{L}\p{N}])")),
+            "capitals": F.regexp_count(bare, F.lit(r"(?<!\p{L})\p{Lu}")),
+            "separators": F.size(units) - 1,
+            "ends": F.regexp_count(bare, F.lit(r"[.!?](?=[\s\"')\]]|$)")),
+            "hashtags": F.regexp_count(bare, F.lit(r"(?<!\S)#\p{L}")),
+            "codes": F.regexp_count(bare, F.lit(r"\b(?i:sku|art|ref|ean)[- .:]?\d{3,}")),
+        }
+    )
 
 
 def line_shapes(pages: DataFrame, id_col: str, text_col: str, common: list[str]) -> DataFrame:
     """(``id``, ``kind``, ``shape``, ``lines``, ``chars``, ``starts``): one row for each shape of each page. ``starts``
     are the different first two words of its lines; they tell repeated phrases from titles and lists of different things."""
     lines = pages.select(F.col(id_col).alias("id"), F.explode(F.split(F.col(text_col), r"\r\n|[\n\r  ]")).alias("line"))
-    lines = lines.filter(F.col("line").rlike(r"(?U)\S"))
-    lines = lines.select("id", "line", F.struct(*[v.alias(k) for k, v in line_counts(F.col("line"), common).items()]).alias("s"))
-    s = {k: F.col(f"s.{k}") for k in line_counts(F.lit(""), common)}
+    lines = lines.filter(F.col("line").rlike(r"\S"))
+    s = {k: F.col(k) for k in ("chars", "link_chars", "links", "words", "different", "units", "different_units", "tokens", "numbers", "capitals", "separators", "ends", "hashtags", "codes")}
+    frequent = r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(sorted(common)) + r")(?![\p{L}\p{N}])" if common else "(?!)"
+    s["function"] = F.regexp_count("bare", F.lit(frequent))  # only read where all else speaks for keywords
+    lines = line_counts(lines)
     band = lambda c: F.floor(F.log2(c + 1)).cast("int")
     shape = F.concat_ws(".", band(s["words"]), F.round(4 * s["capitals"] / F.greatest(s["words"], F.lit(1))).cast("int"), band(s["separators"]), band(s["links"]))
     start = F.lower(F.regexp_extract("line", r"(?U)^\s*(\S+(?:\s+\S+)?)", 1))
