@@ -51,14 +51,14 @@ def plan_mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, til
     one = Window.partitionBy()  # one row a feed: the targets are a short list
     able = (F.col("available") > 0) & (F.col("max_repeats") > 0) & (F.col("weight") > 0)
     plan = plan.withColumn("w", F.when(able, F.col("weight")).otherwise(0.0))
-    plan = plan.withColumn("w", F.when(F.sum("w").over(one) > 0, F.col("w") / F.sum("w").over(one)).otherwise(0.0))
+    plan = plan.withColumn("w", F.coalesce(F.try_divide("w", F.sum("w").over(one)), F.lit(0.0)))
     capacity = F.col("available") * F.col("max_repeats")
-    most = F.lit(float(total)) if total is not None else F.min(F.when(F.col("w") > 0, capacity / F.col("w"))).over(one)
+    most = F.lit(float(total)) if total is not None else F.min(F.when(F.col("w") > 0, F.try_divide(capacity, F.col("w")))).over(one)
     plan = plan.withColumn("demand", F.coalesce(F.least(capacity.cast("double"), F.col("w") * most), F.lit(0.0)))
     stretch = F.col("demand") / F.greatest(F.col("available"), F.lit(1))
     rank = F.percent_rank().over(Window.partitionBy().orderBy(stretch, "feed"))
     plan = plan.withColumn("rank", rank)
-    share = F.col("demand") / F.sum("demand").over(one)
+    share = F.coalesce(F.try_divide(F.col("demand"), F.sum("demand").over(one)), F.lit(0.0))
     middle = F.sum(share * F.col("rank")).over(one)
     return plan.withColumn("tilt", F.coalesce((F.col("rank") - middle) * F.lit(float(tilt)), F.lit(0.0))).select("feed", "weight", "max_repeats", "available", "texts", "demand", "tilt")
 
@@ -66,7 +66,7 @@ def plan_mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, til
 def training_order(sizes: DataFrame, plan: DataFrame, seed: int = 1, slice_rows: int = 50_000) -> DataFrame:
     """(``doc_id``, ``feed``, ``use`` from 1, ``tokens``, ``time``) sorted by time. A text is used where the middle of
     its tokens lies within its feed's demand, so a feed misses its demand by less than one text."""
-    passes = F.ceil(F.col("demand") / F.col("available"))
+    passes = F.ceil(F.try_divide("demand", "available"))
     rows = sizes.join(plan.filter("demand > 0"), "feed").withColumn("use", F.explode(F.sequence(F.lit(1), F.greatest(passes, F.lit(1)).cast("int"))))
     rows = rows.filter("use <= max_repeats").withColumn("shuffled", F.xxhash64("id", "use", F.lit(seed)))
     slices = F.greatest(F.lit(1), F.ceil(F.col("texts") / slice_rows)).cast("long")
@@ -78,7 +78,7 @@ def training_order(sizes: DataFrame, plan: DataFrame, seed: int = 1, slice_rows:
     inside = Window.partitionBy("feed", "use", "slice").orderBy(F.shiftrightunsigned("shuffled", 1), "id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(sums, ["feed", "use", "slice"])
     start = (F.col("use") - 1) * F.col("available") + F.col("before") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))
-    rows = rows.withColumn("q", (start + F.col("tokens") / 2) / F.col("demand")).filter("q <= 1")
+    rows = rows.withColumn("q", F.try_divide(start + F.col("tokens") / 2, F.col("demand"))).filter("q <= 1")
     a = F.col("tilt")
     u = F.when(F.abs(a) < 1e-9, F.col("q")).otherwise((a - 1 + F.sqrt((1 - a) * (1 - a) + 4 * a * F.col("q"))) / (2 * a))
     return rows.withColumn("time", u).select("id", "feed", "use", "tokens", "time").orderBy("time", "id", "use")
@@ -89,4 +89,4 @@ def shares(order: DataFrame, plan: DataFrame) -> DataFrame:
     used = order.groupBy("feed").agg(F.sum("tokens").alias("tokens"), F.max("use").alias("most_uses"), F.countDistinct("id").alias("texts_used"))
     one = Window.partitionBy()
     out = plan.join(used, "feed", "left").fillna(0, ["tokens", "most_uses", "texts_used"])
-    return out.select("feed", "weight", "max_repeats", "available", "tokens", F.coalesce(F.col("tokens") / F.sum("tokens").over(one), F.lit(0.0)).alias("share"), "most_uses", "texts_used")
+    return out.select("feed", "weight", "max_repeats", "available", "tokens", F.coalesce(F.try_divide("tokens", F.sum("tokens").over(one)), F.lit(0.0)).alias("share"), "most_uses", "texts_used")

@@ -297,7 +297,7 @@ def near_duplicate_groups(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("best"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "best").alias("label"), F.col("label").alias("old"))
-        hop = labels.withColumnsRenamed({"node": "label", "label": "further"})
+        hop = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         step = step.join(hop, "label").select("node", F.least("label", "further").alias("label"), "old")
         step = stage(step, "labels")
         if step.filter("label != old").isEmpty():

@@ -137,11 +137,13 @@ def repairs(vocabulary: DataFrame, least: int = 3, ratio: float = 8.0) -> DataFr
     words = words.withColumn("skeleton", F.explode(F.array_distinct(F.array(skeleton(F.col("word")), skeleton(F.col("word"), True)))))
     # of each group: its most frequent form of letters alone; a form seen on pages that are no scans counts more
     support = F.when(F.col("plain"), F.col("n") + 3 * F.col("clean_n"))
-    best = words.groupBy("skeleton").agg(F.max(F.struct(support.alias("support"), "n", "word")).alias("best"), F.count("*").alias("forms"))
+    best = words.groupBy("skeleton").agg(F.max(F.struct(support.alias("support"), "n", "clean_n", "word")).alias("best"), F.count("*").alias("forms"))
     best = best.filter(f"forms > 1 and best.support is not null and best.n >= {least}").drop("forms")
     rows = words.join(best, "skeleton").filter("best.word <> word")
     odd = ~F.col("plain") & F.col("word").rlike(r"(?U)^(?=.*\p{L}).*[0-9@|ﬀ-ﬆ]") & ~F.col("word").rlike(r"(?U)^\p{L}?\p{N}+$")
-    rare = (F.col("clean_n") < 2) & (F.col("best.n") >= ratio * F.col("scan_n"))
+    # a word that only scans have, beside one that other pages have too
+    better_known = (F.col("best.clean_n") >= 5) & (F.col("best.clean_n") >= F.col("scan_n"))
+    rare = (F.col("clean_n") < 2) & ((F.col("best.n") >= ratio * F.col("scan_n")) | better_known)
     rows = rows.filter(odd & (F.col("best.n") > F.col("n")) | (F.col("plain") & rare))
     return rows.groupBy("word").agg(F.max("best").alias("best")).select("word", F.col("best.word").alias("better"))
 

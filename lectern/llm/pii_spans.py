@@ -210,7 +210,7 @@ def name_words(found: DataFrame, given: list[str]) -> DataFrame:
     """(``word``, ``class``): 1 likely given names, 2 likely family names, learned from all runs.
 
     A family name follows a listed given name (or stands before ", given name") in a good share of its places; a given
-    name stands before a family name in most of its places.
+    name stands before a family name, or after one and a comma, in most of its places.
     """
     listed = F.array(*[F.lit(g) for g in given]) if given else F.array().cast("array<string>")
     run = found.filter("kind = 'RUN'").select(F.col("keys").alias("w"))
@@ -220,12 +220,13 @@ def name_words(found: DataFrame, given: list[str]) -> DataFrame:
     rows = run.select("w", F.posexplode("w").alias("pos", "word")).filter("word not in (',', ';')")
     after = listed_word(near(-1)) | (initial(near(-1)) & ~near(-1).isin(",", ";") & listed_word(near(-2)))
     before_comma = (near(1) == ",") & listed_word(near(2))
-    rows = rows.select("word", F.when(~near(1).isin(",", ";") & ~initial(near(1)), near(1)).when(initial(near(1)) & ~near(1).isin(",", ";"), near(2)).alias("next"), (after | before_comma).alias("after"), listed_word(F.col("word")).alias("listed"))
+    rows = rows.select("word", F.when(~near(1).isin(",", ";") & ~initial(near(1)), near(1)).when(initial(near(1)) & ~near(1).isin(",", ";"), near(2)).alias("next"), F.when(near(-1) == ",", near(-2)).alias("ahead"), (after | before_comma).alias("after"), listed_word(F.col("word")).alias("listed"))
     rows = rows.filter(F.length("word") > 1)
     counts = rows.groupBy("word", "listed").agg(F.count("*").alias("n"), F.count(F.when(F.col("after"), 1)).alias("family"))
     family = counts.filter("not listed and family >= 1 and family >= 0.12 * n").select("word", "family", "n")
     family = stage(family, "family-names")
-    lead = rows.filter("next is not null").join(family.select(F.col("word").alias("next")), "next", "left_semi").groupBy("word").agg(F.count("*").alias("leads"))
+    places = rows.filter("next is not null").select("word", F.col("next").alias("by")).unionByName(rows.filter("ahead is not null").select("word", F.col("ahead").alias("by")))
+    lead = places.join(family.select(F.col("word").alias("by")), "by", "left_semi").groupBy("word").agg(F.count("*").alias("leads"))
     both = counts.filter("not listed").join(lead, "word", "left").join(family.select("word", F.lit(True).alias("may")), "word", "left").fillna(0, ["leads"])
     kind = F.when((F.col("leads") >= 2) & (F.col("leads") >= 0.5 * F.col("n")), 1).when(F.col("may") & (F.col("leads") < 0.5 * F.col("n")), 2)
     return both.select("word", kind.cast("int").alias("class")).filter("class is not null")

@@ -76,8 +76,8 @@ def line_counts(lines: DataFrame) -> DataFrame:
 
 
 def line_shapes(pages: DataFrame, id_col: str, text_col: str, common: list[str]) -> DataFrame:
-    """(``id``, ``kind``, ``shape``, ``lines``, ``chars``, ``starts``): one row for each shape of each page. ``starts``
-    are the different first two words of its lines; they tell repeated phrases from titles and lists of different things."""
+    """(``id``, ``kind``, ``shape``, ``lines``, ``chars``, ``starts``, ``heads``): one row for each shape of each page.
+    ``starts`` and ``heads`` count the different first two words, and first words that are no function words, of its lines; they tell repeated phrases from titles and lists of different things."""
     lines = pages.select(F.col(id_col).alias("id"), F.explode(F.split(F.col(text_col), r"\r\n|[\n\r  ]")).alias("line"))
     lines = lines.filter(F.col("line").rlike(r"\S"))
     s = {k: F.col(k) for k in ("chars", "link_chars", "links", "words", "different", "units", "different_units", "tokens", "numbers", "capitals", "separators", "ends", "hashtags", "codes")}
@@ -87,10 +87,12 @@ def line_shapes(pages: DataFrame, id_col: str, text_col: str, common: list[str])
     band = lambda c: F.floor(F.log2(c + 1)).cast("int")
     shape = F.concat_ws(".", band(s["words"]), F.round(4 * s["capitals"] / F.greatest(s["words"], F.lit(1))).cast("int"), band(s["separators"]), band(s["links"]))
     start = F.lower(F.regexp_extract("line", r"(?U)^\s*(\S+(?:\s+\S+)?)", 1))
-    rows = lines.select("id", line_kind(F.col("line"), s).alias("kind"), shape.alias("shape"), s["chars"].alias("chars"), F.when(s["words"] <= 7, start).alias("start"))
+    rows = lines.select("id", line_kind(F.col("line"), s).alias("kind"), shape.alias("shape"), s["chars"].alias("chars"), F.when(s["words"] <= 7, start).alias("start"), F.lower("line").alias("line"))
+    leading = r"^\s*(?:(?:" + "|".join(sorted(common)) + r")\s+|\p{L}['’])*(\S+)" if common else r"^\s*(\S+)"
+    rows = rows.withColumn("head", F.when(F.col("kind") == "phrase", F.regexp_extract("line", leading, 1)))
     # a phrase has its words in its kind already: its shape would scatter on word counts
     rows = rows.withColumn("shape", F.when(F.col("kind") == "phrase", "phrase").otherwise(F.concat_ws(":", "kind", "shape")))
-    return rows.groupBy("id", "kind", "shape").agg(F.count("*").alias("lines"), F.sum("chars").alias("chars"), F.approx_count_distinct("start", 0.05).alias("starts"))
+    return rows.groupBy("id", "kind", "shape").agg(F.count("*").alias("lines"), F.sum("chars").alias("chars"), F.approx_count_distinct("start", 0.05).alias("starts"), F.approx_count_distinct("head", 0.05).alias("heads"))
 
 
 def stuffed_pages(pages: DataFrame, id_col: str, text_col: str, common: list[str], share: float = 0.5) -> DataFrame:
@@ -98,7 +100,7 @@ def stuffed_pages(pages: DataFrame, id_col: str, text_col: str, common: list[str
     be unique; other columns are not read. ``common`` are function words of the languages expected (a short list; words
     that are no plain letters are ignored)."""
     shapes = line_shapes(pages, id_col, text_col, [w for w in common if w and w.isalpha()])
-    repeated = (F.col("kind") == "phrase") & (F.col("lines") >= 5) & (F.col("starts") <= 0.5 * F.col("lines"))
+    repeated = (F.col("kind") == "phrase") & (F.col("lines") >= 5) & ((F.col("starts") <= 0.5 * F.col("lines")) | (F.col("heads") <= 0.34 * F.col("lines")))
     piled = F.col("kind").isin("links", "tags", "keywords") | repeated
     page = shapes.groupBy("id").agg(
         F.sum("chars").alias("chars"),
