@@ -334,9 +334,12 @@ def arrivals(sizes: dict[int, int]) -> list[list[int]]:
 
 
 def repeated_rows(rows: DataFrame, batch_col: str, row_col: str, text_col: str, **settings) -> DataFrame:
-    """(``row``, ``of``): all rows, batch after batch, whose text repeats one accepted earlier, and a row it repeats."""
+    """(``row``, ``of``): all rows, batch after batch, whose text repeats one accepted earlier, and a row it repeats.
+
+    Rows with a null batch or id have no place in the order and are left out; ids must be unique. Null, empty and too
+    short texts are never cases and never accepted. Other columns are not read."""
     spark = rows.sparkSession
-    all_rows = rows.select(position(batch_col, row_col).alias("at"), F.col(text_col).alias("text"), F.col(batch_col).alias("batch"))
+    all_rows = rows.select(position(batch_col, row_col).alias("at"), F.col(text_col).alias("text"), F.col(batch_col).alias("batch")).filter("at is not null")
     sizes = {r["batch"]: r["n"] for r in all_rows.groupBy("batch").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     forest = HashForest(spark, buckets=max(2, total // 300_000), **settings)

@@ -26,9 +26,9 @@ def feed_name(column: str):
 
 def distinct_texts(documents: DataFrame, targets: DataFrame, id_col: str, text_col: str, source_col: str, **tokenizer) -> DataFrame:
     """(id, ``feed``, ``tokens``) of the distinct texts of the targets' feeds. A text found several times belongs to
-    the feed of the smallest id that has it. Texts without tokens and texts of other or no feeds are left out."""
+    the feed of the smallest id that has it. Texts without tokens or id and texts of other or no feeds are left out."""
     wanted = targets.select(feed_name("source").alias("feed")).distinct()
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), feed_name(source_col).alias("feed")).filter("text is not null and text <> ''")
+    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), feed_name(source_col).alias("feed")).filter("id is not null and text is not null and text <> ''")
     rows = rows.join(wanted, "feed")  # the targets are few; Spark broadcasts them by their size
     firsts = rows.groupBy(F.sha2("text", 256).alias("print")).agg(F.min(F.struct("id", "feed")).alias("first"))
     firsts = stage(firsts.select("first.id", "first.feed"), "mix-texts")

@@ -197,14 +197,14 @@ def similar_pairs(
     """(pairs, classes): ``pairs(a, b, likeness)`` of class representatives with likeness >= ``threshold``, a < b, and
     ``classes(row, class, copies)``, the class of every row that has at least ``min_words`` words.
 
-    Null, empty and too short texts are in neither. Rows with the same words in the same order are one class and give
+    Null, empty and too short texts, and rows with a null id, are in neither. Rows with the same words in the same order are one class and give
     no pair. Ids must be unique integers. ``texts`` may hold further columns under any name; they are not read.
     ``counter_bits``: 2**bits counters of 2 bytes, by default about eight a text, between 2**16 and 2**26 (128 MB).
     ``fragments``: parts of the shingle order, by default one for 50,000 texts and at least 12.
     ``hot``: a shingle in more texts than this is split into blocks of about this many.
     """
     spark = texts.sparkSession
-    texts = texts.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).alias("text"))
+    texts = texts.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("row"), F.col(text_col).alias("text"))
     classes = copy_classes(texts, "row", "text", max(min_words, width))
     n = classes.count()
     bits = counter_bits or int(np.clip(np.ceil(np.log2(8 * max(n, 1))), 16, 26))

@@ -51,7 +51,7 @@ def page_lines(pages: DataFrame, id_col: str, text_col: str, scanned: Column | N
     its lines are wrapped: many go on in the next line with a small letter, within a steady width."""
     flag = F.coalesce(scanned, F.lit(False)) if scanned is not None else F.lit(False)
     rows = pages.select(F.col(id_col).alias("id"), F.split(F.col(text_col), "\n").alias("ls"), flag.alias("told"))
-    rows = rows.filter("ls is not null")
+    rows = rows.filter("ls is not null and id is not null")
     plain = F.transform("ls", lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
     wide = F.filter(plain, lambda x: (F.length(x) >= 25) & (F.length(x) <= 100))
     open_ended = F.filter(wide, lambda x: ~x.rlike(r"[.!?:;][\"')\]]*$") & ~x.rlike(r"\||\t|\S {3,}\S|;\S"))
@@ -161,7 +161,7 @@ def running_words(rows: DataFrame, broken: DataFrame) -> DataFrame:
 def analyse(pages: DataFrame, id_col: str, text_col: str, scanned: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines with kinds, broken words, repairs by line) of the scans among ``pages``.
 
-    Null and empty texts have no lines. Ids must be unique; pages loaded twice under two ids are pages of their own.
+    Null and empty texts, and rows with a null id, have no lines. Ids must be unique; pages loaded twice under two ids are pages of their own.
     """
     lines = page_lines(pages, id_col, text_col, scanned)
     vocabulary = stage(word_counts(lines), "vocabulary")

@@ -316,10 +316,11 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 30,
 def find(texts: DataFrame, given: list[str], sample: int = 50_000) -> DataFrame:
     """(``tab``, ``item``, ``kind``, ``start``, ``end``): the personal data in ``texts(tab, item, text)``, without overlaps.
 
-    ``given`` are some given names (a short list). Null and empty texts have no spans. (tab, item) must be unique. The
+    ``given`` are some given names (a short list). Null and empty texts, and rows without a full
+    key, have no spans. (tab, item) must be unique. The
     classifier is trained on at most ``sample`` spans, drawn at random; all else is counted over all texts.
     """
-    found = stage(candidates(texts), "pii-candidates")
+    found = stage(candidates(texts.filter("tab is not null and item is not null")), "pii-candidates")
     names = name_spans(found, stage(name_words(found, given), "name-words"), given)
     spans_all = found.filter("kind <> 'RUN'").select("tab", "item", "kind", "start", "end", "votes", F.col("left").alias("surface")).unionByName(names)
     spans_all = stage(spans_all, "pii-spans")

@@ -123,5 +123,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
 
+#: Distinct runs of three words of every chunk of at least twenty words.
+_SHINGLES = r"""w AS (SELECT row_id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS l FROM chunks WHERE content IS NOT NULL),
+s AS (SELECT row_id, list_distinct(list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])) AS s FROM w WHERE len(l) >= 20),
+t AS (SELECT row_id, len(s) AS n, unnest(s) AS g FROM s)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can say over whole tables; the others are held against brute force in the tests."""
+    gap = r"[ \t\r\n]"
+    trimmed = rf"regexp_replace(page_content, '^{gap}+|{gap}+$', '', 'g')"
+    # no lookbehind: white space after a mark that ends a sentence becomes a line break
+    sentences = rf"regexp_replace(t, '([.!?]){gap}+', '\1' || chr(10), 'g')"
+
+    def fits(text: str, pattern: str) -> str:
+        return rf"list_max(list_transform(regexp_split_to_array({text}, '{pattern}'), lambda x: length(regexp_replace(x, '^{gap}+|{gap}+$', '', 'g')))) <= 512"
+
+    two, one = rf"[ \t\r]*\n[ \t\r]*\n{gap}*", rf"[ \t\r]*\n{gap}*"
+    return {
+        "p2_found": rf"""SELECT rec_id, CASE WHEN {fits("t", two)} THEN 'paragraph' WHEN {fits("t", one)} THEN 'line' WHEN {fits(sentences, one)} THEN 'sentence'
+WHEN {fits("t", gap + "+")} THEN 'word' ELSE 'none' END AS boundary FROM (SELECT rec_id, {trimmed} AS t FROM loaded_pages) WHERE length(t) > 512""",
+        "p3_found": """WITH v AS (SELECT emb_id, vector::DOUBLE[] AS v FROM embedded_chunks WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+p AS (SELECT a.emb_id AS a, b.emb_id AS b, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.emb_id <> b.emb_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 12) DESC, b) AS k FROM p)
+SELECT DISTINCT least(a, b) AS emb_a, greatest(a, b) AS emb_b FROM r WHERE k <= 5 AND c >= 0.9""",
+        "p7_found": f"""WITH {_SHINGLES}, o AS (SELECT a.row_id AS row_a, b.row_id AS row_b, count(*) AS n_both, any_value(a.n) AS na, any_value(b.n) AS nb FROM t a JOIN t b ON a.g = b.g AND a.row_id < b.row_id GROUP BY ALL)
+SELECT row_a, row_b FROM o WHERE n_both >= 0.7 * (na + nb - n_both) - 1e-9""",
+    }

@@ -79,7 +79,7 @@ def line_shapes(pages: DataFrame, id_col: str, text_col: str, common: list[str])
     """(``id``, ``kind``, ``shape``, ``lines``, ``chars``, ``starts``, ``heads``): one row for each shape of each page.
     ``starts`` and ``heads`` count the different first two words, and first words that are no function words, of its lines; they tell repeated phrases from titles and lists of different things."""
     lines = pages.select(F.col(id_col).alias("id"), F.explode(F.split(F.col(text_col), r"\r\n|[\n\r  ]")).alias("line"))
-    lines = lines.filter(F.col("line").rlike(r"\S"))
+    lines = lines.filter(F.col("id").isNotNull() & F.col("line").rlike(r"\S"))
     s = {k: F.col(k) for k in ("chars", "link_chars", "links", "words", "different", "units", "different_units", "tokens", "numbers", "capitals", "separators", "ends", "hashtags", "codes")}
     frequent = r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(sorted(common)) + r")(?![\p{L}\p{N}])" if common else "(?!)"
     s["function"] = F.regexp_count("bare", F.lit(frequent))  # only read where all else speaks for keywords
@@ -96,7 +96,7 @@ def line_shapes(pages: DataFrame, id_col: str, text_col: str, common: list[str])
 
 
 def stuffed_pages(pages: DataFrame, id_col: str, text_col: str, common: list[str], share: float = 0.5) -> DataFrame:
-    """(id, ``piled_share``, ``shapes``) of the flagged pages. Null, empty and blank texts are never flagged. Ids must
+    """(id, ``piled_share``, ``shapes``) of the flagged pages. Null, empty and blank texts, and rows with a null id, are never flagged. Ids must
     be unique; other columns are not read. ``common`` are function words of the languages expected (a short list; words
     that are no plain letters are ignored)."""
     shapes = line_shapes(pages, id_col, text_col, [w for w in common if w and w.isalpha()])

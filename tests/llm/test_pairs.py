@@ -46,7 +46,8 @@ def truth(rows, width, threshold, least):
 @pytest.mark.parametrize(("width", "threshold", "least"), [(3, 0.7, 20), (5, 0.8, 0), (2, 0.5, 3)])
 def test_join_equals_brute_force(spark, width, threshold, least):
     rows = corpus(240)
-    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "k long, content string, row string, a string")
+    dirty = [(None, rows[0][1], "x", "y"), (None, None, None, None)]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows] + dirty, "k long, content string, row string, a string")
     pairs, classes = ngram_join.similar_pairs(df, "k", "content", width, threshold, least)
     got = [(r["row_a"], r["row_b"]) for r in ngram_join.row_pairs(pairs, classes).collect()]
     assert len(got) == len(set(got)) and set(got) == truth(rows, width, threshold, least)
@@ -108,7 +109,7 @@ def greedy(rows, width, threshold, least):
 def test_history_equals_greedy(spark, seed):
     rng = random.Random(seed)
     rows = [(rng.choice([1, 1, 2, 3, 5, 8]), i, t) for i, t in corpus(240, seed)]
-    df = spark.createDataFrame([(*r, 0) for r in rows], "b int, k long, content string, at int").repartition(5)
+    df = spark.createDataFrame([(*r, 0) for r in rows] + [(None, 1, rows[0][2], 0), (1, None, rows[0][2], 0)], "b int, k long, content string, at int").repartition(5)
     got = history_dedup.repeated_rows(df, "b", "k", "content", width=3, threshold=0.7, min_words=20).collect()
     want = greedy(rows, 3, 0.7, 20)
     found = [r["row"] for r in got]

@@ -101,7 +101,7 @@ def mix(spark):
     for i in range(600):
         feed = rng.choice([" A ", "a", "A", "b", "c", "other", None]) if i > 300 else "a"
         docs.append((i, " ".join(f"t{rng.randrange(5000)}" for _ in range(rng.randint(3, 30))), feed))
-    docs += [(900, docs[5][1], "b"), (901, None, "a"), (902, "", "b"), (903, docs[7][1], "a")]
+    docs += [(None, "no id", "a"), (900, docs[5][1], "b"), (901, None, "a"), (902, "", "b"), (903, docs[7][1], "a")]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     targets = spark.createDataFrame([("A", 0.3, 1), ("b", 0.3, 4), (" C", 0.3, 3), ("none", 0.1, 2)], "source string, weight double, max_repeats int")
     return df, targets, mixing.distinct_texts(df, targets, "doc_id", "text", "source")

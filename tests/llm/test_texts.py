@@ -40,7 +40,7 @@ def pii_corpus(n=400, seed=1):
 
 def test_personal_data_is_found_where_it_starts(spark):
     rows, truth = pii_corpus()
-    df = spark.createDataFrame(rows + [("t", 9001, None), ("t", 9002, ""), ("u", 1, "A" * 30000 + " 😀 x@y.example")], "tab string, item long, text string")
+    df = spark.createDataFrame(rows + [("t", 9001, None), ("t", 9002, ""), ("t", None, "x@y.example"), (None, 5, "x@y.example"), ("u", 1, "A" * 30000 + " 😀 x@y.example")], "tab string, item long, text string")
     found = pii_spans.find(df, GIVEN).cache()
     got = {(r["item"], r["kind"], r["start"]) for r in found.filter("tab = 't'").collect()}
     assert len(got & truth) / len(truth) > 0.97 and len(got - truth) / max(1, len(got)) < 0.03
@@ -112,7 +112,7 @@ def scans():
         lines = [("OPERATIONS HANDBOOK" if i % 2 else "Operations Handbook    %d" % i), "The indepen-", "dent committee will inspect the long-", "term maintenance c0ntract every day,", "while fhe employee should read it and", "the handbook", "", "2.1 Annual claim", "Every ernployee should read the con-", "tract and the handbook.", f"Page {i} of 9"]
         pages.append((i, "\n".join(lines), "eng"))
         faults |= {(i, 0, "header"), (i, 1, "hyphen"), (i, 3, "char"), (i, 4, "char"), (i, 8, "char"), (i, 8, "hyphen"), (i, 10, "pageno")}
-    return clean + pages + [(200, None, "eng"), (201, "", "eng")], faults
+    return clean + pages + [(None, pages[0][1], "eng"), (200, None, "eng"), (201, "", "eng")], faults
 
 
 def test_faults_of_scanned_pages(spark):
@@ -151,7 +151,7 @@ FINE = [
 
 
 def test_stuffed_pages(spark):
-    rows = [(i, t) for i, t in enumerate(PILED + FINE)] + [(90, None), (91, ""), (92, "\n \n")]
+    rows = [(i, t) for i, t in enumerate(PILED + FINE)] + [(None, PILED[0]), (90, None), (91, ""), (92, "\n \n")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit("clash"))
     got = {r["doc_id"] for r in stuffing.stuffed_pages(df, "doc_id", "text", COMMON).collect()}
     assert got == set(range(len(PILED)))
