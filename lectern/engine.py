@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lectern.config import EngineConfig
 from lectern.functions.vectors import vector_id
 from lectern.operators import answer, chunk, embed, evaluate, preprocess, prompt, search, store
-from lectern.session import stage
+from lectern.session import ship, stage
 from lectern.sources import files
 from lectern.streaming.landing import LandingZone
 
@@ -23,6 +23,7 @@ class Engine:
     generator of answers, and the parsers of binary formats are replaceable."""
 
     def __init__(self, spark: SparkSession, folder: str, config: EngineConfig = EngineConfig(), provider: embed.Provider | None = None, generator: answer.Generator = answer.extractive_answer, model: str = "extractive", parsers: files.Parsers | None = None):
+        ship(spark)
         self.spark, self.folder, self.config = spark, folder.rstrip("/"), config
         self.provider, self.generator, self.model = provider or embed.hashing_provider(config.dimension), generator, model
         self.parsers = parsers or files.Parsers(docx_page_chars=config.docx_page_chars, ocr_language=config.ocr_language)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +58,26 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors, once an application, through the shared folder. Where the workers find the
+    package by themselves this changes nothing but the copy they use."""
+    package = Path(__file__).resolve().parent
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or not package.is_dir():
+        return
+    _SHIPPED.add(app)
+    target = f"{work_folder(spark, 'package')}.zip"
+    with tempfile.TemporaryDirectory() as made:
+        archive = Path(made) / "package.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for source in sorted(package.rglob("*.py")):
+                z.write(source, source.relative_to(package.parent))
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+        to = jvm_path(target)
+        to.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(True, True, jvm_path(archive.as_uri()), to)
+    spark.sparkContext.addPyFile(target)
