@@ -32,7 +32,18 @@ _DOT = r"(?:\.|\s?[\[(]dot[\])]\s?|\sdot\s|\spunkt\s|\spoint\s|\spunto\s)"
 _AT = r"(?:\s?@\s?|\s?[\[({<]\s?(?:at|arroba|ät)\s?[\])}>]\s?|\s(?:at|arroba|AT|chez)\s)"
 EMAIL = re.compile(rf"(?<![\w.@/%+-])[A-Za-z0-9][\w.%+'-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![\w@])", re.I)
 EMAIL_HINT = re.compile(r"@|[\[({<]\s?(?:at|arroba|ät)\s?[\])}>]|\s(?:at|arroba)\s[\w-]+\s?(?:\.|[\[(]?\s?(?:dot|punkt|point|punto))", re.I)
-NUMBER = re.compile(r"(?<![\w/@#=.-])\d{7,8}[ -]?[A-Z](?!\w)|(?<![\w.,/@:#=-])(?:\+|00)?\s?\(?\d[\d\s()./\-–‑]*\d(?![\w@])|(?<![\w/@#=.-])(?!(?:NI|ID|NR|NO|IP)\b)[A-Z]{1,2}[ /-]?\d[\d /-]{4,}\d(?:[ -]?[A-Z])?(?!\w)")
+_GROUPS = r"\d(?:[\s./\-–‑]?\d)+"  # at most one separator between two digits
+NUMBER = re.compile(
+    "|".join(
+        [
+            r"(?<![\w/@#=.-])\d{7,8}[ -]?[A-Z](?!\w)",
+            rf"(?<![\w.,/@:#=-])(?:\+|00)\s?\d{{1,3}}[\s./-]?\(\d{{0,4}}\)[\s./-]?{_GROUPS}(?![\w@])",
+            rf"(?<![\w.,/@:#=-])\(\+?\d{{1,5}}\)[\s./-]?{_GROUPS}(?![\w@])",
+            rf"(?<![\w.,/@:#=-])\+?\s?{_GROUPS}(?![\w@])",
+            rf"(?<![\w/@#=.-])(?!(?:NI|ID|NR|NO|IP)\b)[A-Z]{{1,2}}[ /-]?{_GROUPS}(?:[ -]?[A-Z])?(?!\w)",
+        ]
+    )
+)
 STREET = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Way|Crescent|Cres|Close|Cl|Drive|Dr|Row|Square|Sq|Place|Pl|Terrace|Gardens|Gdns|Court|Ct|Hill|Walk|Boulevard|Blvd|Mews|Park|Green|Parade|Highway|STREET|ST|ROAD|RD|LANE|AVENUE|AVE|WAY|CRESCENT|CLOSE|DRIVE|ROW|SQUARE|PLACE|TERRACE|GARDENS|COURT)"
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w.'’-]*"
 ADDRESS = re.compile(
