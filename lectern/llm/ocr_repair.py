@@ -53,7 +53,7 @@ def page_lines(pages: DataFrame, id_col: str, text_col: str, scanned: Column | N
     rows = pages.select(F.col(id_col).alias("id"), F.split(F.col(text_col), "\n").alias("ls"), flag.alias("told"))
     rows = rows.filter("ls is not null and id is not null")
     plain = F.transform("ls", lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
-    wide = F.filter(plain, lambda x: (F.length(x) >= 25) & (F.length(x) <= 100))
+    wide = F.filter(plain, lambda x: (F.length(x) >= 25) & (F.length(x) <= 100) & x.rlike(r"\S \S+ \S"))
     open_ended = F.filter(wide, lambda x: ~x.rlike(r"[.!?:;][\"')\]]*$") & ~x.rlike(r"\||\t|\S {3,}\S|;\S"))
     long_lines = F.filter(plain, lambda x: F.length(x) > 100)
     runs_on = F.size(F.filter(F.arrays_zip(F.slice(plain, 1, F.greatest(F.size(plain) - 1, F.lit(0))).alias("a"), F.slice(plain, 2, F.greatest(F.size(plain) - 1, F.lit(0))).alias("b")), lambda z: z["a"].rlike(r"(?U)[\p{L},\-‐‑¬­]$") & z["b"].rlike(r"(?U)^\p{Ll}")))
