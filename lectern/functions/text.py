@@ -17,6 +17,12 @@ def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(c: Column) -> Column:
+    """The value of ``c``, computed once for each row. A filter on a plain column is pushed below the projection that
+    makes it, with a second copy of all that makes it; a generated column is not."""
+    return F.explode(F.array(c))
+
+
 def strip(c: Column | str) -> Column:
     """Without white space of any script at both ends (``trim`` takes blanks only)."""
     return F.regexp_replace(_column(c), rf"\A[{SPACE}]+|[{SPACE}]+\z", "")

@@ -121,8 +121,8 @@ def recursive_chunks(df: DataFrame, config: EngineConfig = EngineConfig(), colum
         for s in texts:
             yield s.map(lambda t: recursive_split(t, size, overlap) if t else [])
 
-    cleaned = df.withColumn("_clean", T.clean_for_chunking(column)).filter("_clean <> ''")
-    return _numbered(cleaned.withColumn("_parts", split("_clean")).drop("_clean"), column)
+    cleaned = df.withColumn("_clean", T.once(T.clean_for_chunking(column))).filter("_clean <> ''")
+    return _numbered(cleaned.withColumn("_parts", T.once(split("_clean"))).drop("_clean"), column)
 
 
 def _numbered(df: DataFrame, column: str) -> DataFrame:
@@ -146,7 +146,7 @@ def semantic_chunks(df: DataFrame, compare: Callable[[DataFrame, str, str], Data
     few = F.size("_sentences") <= config.min_sentences
     df = compare(df.withColumn("_long", F.when(few, F.array().cast("array<string>")).otherwise(F.col("_sentences"))), "_long", "_similar")
     groups = grouped(F.col("_long"), breakpoints(F.col("_similar"), config), config.min_sentences)
-    df = df.withColumn("_parts", F.when(few, F.array(column)).otherwise(groups))
+    df = df.withColumn("_parts", T.once(F.when(few, F.array(column)).otherwise(groups)))
     return _numbered(df.drop("_sentences", "_long", "_similar"), column)
 
 

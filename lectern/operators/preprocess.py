@@ -48,7 +48,7 @@ def reject_reason(column: str = "page_content", least: int = 20) -> Column:
 
 def schema_gate(df: DataFrame, column: str = "page_content", least: int = 20) -> DataFrame:
     """Documents of at least ``least`` characters, stripped."""
-    return df.filter(F.length(T.strip(column)) >= least).withColumn(column, T.strip(column))
+    return df.withColumn(column, T.once(T.strip(column))).filter(F.length(column) >= least)
 
 
 def schema_rejects(df: DataFrame, column: str = "page_content", least: int = 20) -> DataFrame:

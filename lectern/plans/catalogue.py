@@ -285,11 +285,9 @@ def store_delete(spark, d):
 @query(STORED.format(where="true"))
 def stream_upsert(spark, d):
     """The chunk table read as a stream into a keyed table; late batches replace earlier rows."""
-    target = store.KeyedTable(spark, work_folder(spark, "stream-store"))
     schema = table(spark, d, "chunks").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/chunks.parquet*").withColumn("source", F.coalesce("source", F.lit("unknown")))
-    ordered = store.CHUNKS + ", row_id long"
-    seen = store.KeyedTable(spark, work_folder(spark, "stream-seen"), ordered)
+    seen = store.KeyedTable(spark, work_folder(spark, "stream-store"), store.CHUNKS + ", row_id long")
 
     def batch(rows: DataFrame, number: int) -> None:
         # files of one batch come in any order: rows compete by their own number, also with what is stored
@@ -299,7 +297,7 @@ def stream_upsert(spark, d):
 
     run = stream.writeStream.foreachBatch(batch).option("checkpointLocation", work_folder(spark, "stream-checkpoint")).trigger(availableNow=True).start()
     run.awaitTermination()
-    return seen.read().select(*target.schema.names)
+    return seen.read().drop("row_id")
 
 
 @query("""WITH last AS (SELECT vector_id, content, page, row_number() OVER (PARTITION BY vector_id ORDER BY row_id DESC) AS r FROM chunks)
