@@ -140,7 +140,8 @@ class HashForest:
 
     ``width`` words a shingle, ``threshold`` the likeness from which a row is a case; texts of fewer than ``min_words``
     words (null and empty ones too) are never cases and never accepted. ``trees`` and ``recall`` set the prefix length.
-    ``buckets``: ranges of the key a tree is cut into; give one for every few hundred thousand expected rows.
+    ``buckets``: ranges of the key a tree is cut into; give one for every few hundred thousand expected rows. A folder is
+    read again with the settings it was written with.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, width: int = 5, threshold: float = 0.8, min_words: int = 0, trees: int = 16, recall: float = 0.995, buckets: int = 4, max_runs: int = 8):
@@ -166,7 +167,7 @@ class HashForest:
         return self._read(self._cases, "at long")
 
     def _entries(self, texts: DataFrame) -> DataFrame:
-        width, least, trees, buckets = self.width, self.min_words, self.trees, self.buckets
+        width, least, trees, buckets, depth = self.width, self.min_words, self.trees, self.buckets, self.depth
 
         def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -181,7 +182,9 @@ class HashForest:
                     rows = np.zeros(len(at), dtype=ENTRY)
                     rows["key"], rows["at"], rows["sketch"] = keys[:, t], at, sketch
                     rows = rows[np.argsort(rows["key"])]
-                    home = (rows["key"] * np.uint64(buckets)) >> np.uint64(DIGIT * DEPTH) if buckets <= 16 else (rows["key"] >> np.uint64(DIGIT * DEPTH - 20)) * np.uint64(buckets) >> np.uint64(20)
+                    # by the leading bits of the shortest prefix searched: a subtree is never cut
+                    lead = min(36, DIGIT * depth)
+                    home = ((rows["key"] >> np.uint64(DIGIT * DEPTH - lead)) * np.uint64(buckets)) >> np.uint64(lead)
                     for b in np.unique(home):
                         tree.append(t)
                         bucket.append(int(b))

@@ -142,6 +142,13 @@ def test_forest_is_read_again_and_merged(spark, tmp_path):
     assert len(forest._runs) == 1 and forest.cases().count() == 0
 
 
+def test_buckets_cut_no_subtree(spark, tmp_path):
+    rows = corpus(150, 8)
+    everything = spark.createDataFrame(rows, "at long, text string")
+    forest = history_dedup.HashForest(spark, str(tmp_path / "forest"), width=3, threshold=0.7, min_words=20, buckets=23)
+    assert {r["at"] for r in forest.add(everything, everything).collect()} == greedy([(1, i, t) for i, t in rows], 3, 0.7, 20)
+
+
 def test_arrivals_double():
     sizes = {1: 9, 2: 2, 3: 2, 4: 2, 5: 2, 6: 2, 7: 2, 8: 50}
     assert history_dedup.arrivals(sizes) == [[1], [2, 3, 4, 5, 6], [7, 8]] and history_dedup.arrivals({}) == []
