@@ -53,6 +53,7 @@ class TreeBuilder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("")
+        self.ended = False  # an end tag ends a string, also one that closes nothing
 
     def handle_starttag(self, tag, attrs):
         node = Node(tag, self.at)
@@ -64,6 +65,7 @@ class TreeBuilder(HTMLParser):
         self.at.children.append(Node(tag, self.at))
 
     def handle_endtag(self, tag):
+        self.ended = True
         node = self.at
         while node.parent is not None and node.tag != tag:
             node = node.parent
@@ -71,10 +73,11 @@ class TreeBuilder(HTMLParser):
             self.at = node.parent
 
     def handle_data(self, data):
-        if self.at.children and isinstance(self.at.children[-1], str):
+        if self.at.children and isinstance(self.at.children[-1], str) and not self.ended:
             self.at.children[-1] += data
         else:
             self.at.children.append(data)
+        self.ended = False
 
     def handle_comment(self, data):
         self.at.children.append(Note(data))
