@@ -9,6 +9,8 @@ from __future__ import annotations
 import io
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -128,8 +130,13 @@ def parse_files(files: DataFrame, parsers: Parsers = Parsers()) -> DataFrame:
     return known.mapInPandas(parse, SCHEMA)
 
 
+def _opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.assign(content=[Path(urlparse(p).path).read_bytes() for p in pdf["path"]])
+
+
 def load(spark: SparkSession, path: str, parsers: Parsers = Parsers(), strict: bool = False) -> DataFrame:
-    """Documents of a file, or of all supported files below a folder, hidden ones included.
+    """Documents of a file, or of all supported files below a folder; hidden ones are included on file: paths.
 
     A single file of an unsupported type is an error, as is a folder without supported files. With ``strict`` a file
     that cannot be parsed ends the job when its row is read.
@@ -153,10 +160,9 @@ def load(spark: SparkSession, path: str, parsers: Parsers = Parsers(), strict: b
         if not paths:
             raise FileNotFoundError(f"no supported file below {path}")
         hidden = [p for p in paths if any(part[:1] in "._" for part in p[len(fs.makeQualified(at).toString()) :].split("/") if part)]
-        # Spark's listing leaves hidden names out; files that have one are named one by one
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        if hidden:
-            files = files.filter(~F.col("path").isin(*hidden)).unionByName(spark.read.format("binaryFile").load(hidden))
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+        if hidden and all(p.startswith("file:") for p in hidden):  # the binary source leaves hidden names out, named or not
+            files = files.unionByName(spark.createDataFrame([(p,) for p in hidden], "path string").mapInPandas(_opened, "path string, content binary"))
     out = parse_files(files.select("path", "content"), parsers)
     if strict:
         out = out.filter(F.when(F.col("error").isNotNull() & (F.col("error") != "no text"), F.raise_error(F.concat("source_path", F.lit(": "), "error"))).otherwise(True).cast("boolean"))
