@@ -31,7 +31,7 @@ VOTES = 6
 _DOT = r"(?:\.|\s?[\[(]dot[\])]\s?|\sdot\s|\spunkt\s|\spoint\s|\spunto\s)"
 _AT = r"(?:\s?@\s?|\s?[\[({<]\s?(?:at|arroba|ät)\s?[\])}>]\s?|\s(?:at|arroba|AT|chez)\s)"
 EMAIL = re.compile(rf"(?<![\w.@/%+-])[A-Za-z0-9][\w.%+'-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![\w@])", re.I)
-EMAIL_HINT = re.compile(r"@|[\[({<]\s?(?:at|arroba|ät)\s?[\])}>]|\s(?:at|arroba)\s[\w-]+\s?(?:\.|[\[(]?\s?(?:dot|punkt|point|punto))", re.I)
+EMAIL_HINT = re.compile(r"@|[\[({<]\s?(?:at|arroba|ät)\s?[\])}>]|\s(?:at|arroba|chez)\s[\w-]+\s?(?:\.|[\[(]?\s?(?:dot|punkt|point|punto))", re.I)
 _GROUPS = r"\d(?:[\s./\-–‑]?\d)+"  # at most one separator between two digits
 NUMBER = re.compile(
     "|".join(
@@ -73,8 +73,8 @@ def both(first, then):
 
 
 _SUFFIX = before_number("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ring", "damm", "ufer", "hof", "stieg", "markt", "STRASSE", "STRAßE", "WEG", "GASSE", "PLATZ", "ALLEE")
-_PLACE = both(holds("Am ", "An de", "Im ", "In der ", "Auf de", "Zum ", "Zur ", "AM ", "IM "), re.compile(r"(?:A[mnuM]|I[mnM]|Zu[mr])\s(?:der\s|dem\s)?[A-ZÄÖÜ]\w+\s\d").search)
-#: Each form of address with a cheap sign that a text may hold one.
+_PLACE = both(holds("Am", "An de", "Im", "In der", "Auf de", "Zum", "Zur", "AM", "IM"), re.compile(r"(?:A[mM]|An de[rm]|I[mM]|In der|Auf de[rm]|Zu[mr])\s[A-ZÄÖÜ]\w+\s\d").search)
+#: Each form of address with a cheap sign that a text may hold one: whatever the form matches has the sign.
 ADDRESSES = [
     (sign, re.compile(form))
     for sign, form in [
@@ -83,11 +83,11 @@ ADDRESSES = [
             rf"(?<![\w.,/-])(?:(?i:flat|apt|unit|suite|apartment|room)\.?\s\w{{1,4}},?\s)?\d{{1,4}}[A-Za-z]?,?\s(?:{_CAP}\s){{1,3}}{STREET}\b\.?(?:,?\s(?i:apt|flat|unit|suite)\.?\s\w{{1,4}})?",
         ),
         (
-            holds("House ", "house ", "HOUSE ", "Plot ", "plot ", "PLOT "),
+            re.compile(r"[HhPp](?i:ouse|lot)\s(?:no\.?\s)?\d").search,
             r"(?<![\w.,/-])(?i:house|plot)\s(?:no\.?\s)?\d{1,4}[A-Za-z]?,\s(?i:street|st\.?|lane|road|block)\s\w{1,4}(?:,\s(?i:sector|phase|block)\s[\w-]{1,6})?",
         ),
         (
-            re.compile(r"\d[A-Za-z]?(?:\s(?:bis|ter))?,?\s(?i:rue|avenue|av\.|bd|boulevard|impasse|place|allée|chemin|quai|cours|route|square|passage)\s").search,
+            re.compile(r"\d[A-Za-z]?(?:\s(?:bis|ter))?,?\s(?i:rue|avenue|av\.|bd\.?|boulevard|impasse|place|allée|chemin|quai|cours|route|square|passage)\s").search,
             r"(?<![\w.,/-])\d{1,4}[A-Za-z]?(?:\s(?:bis|ter))?,?\s(?i:rue|avenue|av\.|bd\.?|boulevard|impasse|place|allée|chemin|quai|cours|route|square|passage)\s[^\s,;|]+(?:\s[^\s,;|.]+){0,3}",
         ),
         (
@@ -95,7 +95,7 @@ ADDRESSES = [
             r"(?<!\w)(?:[A-ZÄÖÜ][a-zäöüß]+(?:-[A-ZÄÖÜ]?[a-zäöüß]+)*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer|hof|stieg|markt)|[A-ZÄÖÜ]+(?:STRASSE|STRAßE|WEG|GASSE|PLATZ|ALLEE)|(?:Am|An der|An dem|Im|In der|Auf der|Auf dem|Zum|Zur|AM|IM)\s[A-ZÄÖÜ][\wäöüß]+)\s\d{1,4}\s?[a-z]?(?![\w])",
         ),
         (
-            holds("alle ", "ALLE ", "c/", "C/", "vda", "VDA", "venida", "VENIDA", "laza ", "LAZA ", "aseo ", "ASEO ", "amino ", "AMINO ", "onda ", "ONDA ", "ravesía", "RAVESÍA", "arrer ", "ARRER "),
+            re.compile(r"[AaCcPpRrTt](?<!\w\w)(?i:alle|/|vda|venida|laza|aseo|amino|onda|ravesía|arrer)").search,
             r"(?<!\w)(?i:calle|c/|avda\.?|avenida|plaza|paseo|camino|ronda|travesía|carrer)\s?(?:(?i:de|la|del|los|las|el)\s)*[^\W\d][\w.'’-]*(?:\s(?:(?i:de|la|del|los|las|el)\s)*[A-ZÁÉÍÓÚÑ][\w.'’-]*){0,3},?\s(?:(?i:n\.?º|núm\.?|no\.?)\s?)?\d{1,4}(?![\w])",
         ),
     ]
@@ -193,7 +193,7 @@ def spans(text: str) -> Iterator[tuple[str, int, int, list[int]]]:
             s = m.group()
             link = -1 if re.search(r"(?:https?://|www\.)\S*$", text[max(0, m.start() - 40) : m.start()]) or "://" in s else 0
             plain = bool(re.match(r"^[\w.%+'-]+@[\w-]+(?:\.[\w-]+)+$", s))
-            spoken = bool(re.search(r"\s(?:at|arroba)\s", s, re.I)) and not re.search(r"[@\[(]", s)
+            spoken = bool(re.search(r"\s(?:at|arroba|chez)\s", s, re.I)) and not re.search(r"[@\[(]", s)
             dots = bool(re.search(r"dot|punkt|point|punto", s, re.I)) or plain or "@" in s or bool(re.search(r"[\[(]", s))
             yield "EMAIL", m.start(), m.end(), _vote(1 if plain else 0, (1 if dots else -1) if not plain else 0, -1 if spoken and not dots else 0, link, 1 if re.search(r"[a-z]{2,}$", s, re.I) else -1)
     for m in (m for sign, form in ADDRESSES if sign(text) for m in form.finditer(text)):

@@ -51,6 +51,28 @@ def test_personal_data_is_found_where_it_starts(spark):
     assert pii_spans.find(df.limit(0), GIVEN).count() == 0
 
 
+FORMS = [
+    ["12 Mill Pond Road", "Flat 3, 7a Juniper St.", "9 OAK GARDENS", "4 Elm Blvd", "4 Elm Boulevard", "4 Elm Crescent", "4 Elm Gdns", "1 ELM ROW"],
+    ["House 12, Street 4", "house no. 12a, block B", "Plot\u00a07, Road 3", "HOUSE\t12, lane 4", "hOUSE 12, Street 4"],
+    ["12 bd. Voltaire", "12 bd Voltaire", "3 bis, av. Foch", "3 ter rue\u00a0des Tilleuls", "8 Boulevard Nord"],
+    ["Lindenweg 4", "HAUPTSTRASSE 9", "Seestr. 4b", "Auf der Heide 12", "Auf dem Berg 12", "An der Alster 3", "An dem Bach 3", "In der Au 5", "Am\u00a0Markt 2", "Im\nGrund 2", "AM Hang 4", "Zur Linde 8", "Zum\tTor 8"],
+    ["Calle Mayor 3", "CALLE Mayor 3", "CalLe Mayor 3", "Calle\u00a0de la Luna 3", "c/Mayor, 3", "Avda. del Sol 9", "avenida\nNorte 9", "PlazaMayor 4", "Paseo Bajo 1", "camino Real 2", "Ronda Sur 5", "Travesía Alta 6", "TRAVESÍA ALTA 6", "Carrer Nou 7"],
+]
+
+
+def test_whatever_a_form_matches_has_its_sign():
+    assert len(FORMS) == len(pii_spans.ADDRESSES)
+    for (sign, form), texts in zip(pii_spans.ADDRESSES, FORMS):
+        for text in texts:
+            assert form.search(text) and sign(text), text
+            assert any(kind == "ADDRESS" for kind, *_ in pii_spans.spans(f"({text})")), text
+    for at in ("@", " @ ", " at ", " AT ", " arroba ", " chez ", " Chez ", "(at)", " [ät] ", "<arroba>"):
+        for dot in (".", " dot ", " [dot] ", "(dot)", " punkt ", " point ", " punto "):
+            text = f"selma.x{at}post{dot}fr"
+            assert pii_spans.EMAIL.search(text) and pii_spans.EMAIL_HINT.search(text), text
+            assert [kind for kind, *_ in pii_spans.spans(text)] == ["EMAIL"], text
+
+
 def test_label_model_finds_the_reliable_labelers():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.4
