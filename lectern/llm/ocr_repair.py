@@ -4,8 +4,9 @@
   whose mask recurs over many pages is a running header, a line of nothing but a number is a page number.
 * Words broken over two lines: the mark goes unless the corpus knows the word better with it.
 * Misread characters: words are grouped by their confusable-glyph skeleton (``rn`` and ``m``, ``1`` and ``l`` share one);
-  in each group the form that the corpus supports, by frequency and by the words around it, is chosen, and the rare
-  forms beside it are repaired.
+  in each group the form that the corpus supports is chosen for every place: a form that only scans have, or nearly so, by
+  frequency; any form, one that is a word itself too, by how often each form stands after the word before it and before
+  the word after it.
 * The lines left are reflowed with windows: a paragraph ends at a blank line, a heading or a short line that ends a sentence.
 
 Counts are over all pages. Words and masks are counted, grouped and joined as distributed tables; nothing of the corpus's
@@ -148,18 +149,65 @@ def repairs(vocabulary: DataFrame, least: int = 3, ratio: float = 8.0) -> DataFr
     return rows.groupBy("word").agg(F.max("best").alias("best")).select("word", F.col("best.word").alias("better"))
 
 
+def rivals(vocabulary: DataFrame, least: int = 3) -> DataFrame:
+    """(``word``, ``form``): words of letters alone that scans have, each with every supported form of its skeleton groups."""
+    words = vocabulary.filter(F.col("word").rlike(r"(?U)^[\p{L}&&[^ﬀ-ﬆ]]{2,}$"))
+    words = words.withColumn("skeleton", F.explode(F.array_distinct(F.array(skeleton(F.col("word")), skeleton(F.col("word"), True)))))
+    forms = words.filter(F.col("scan_n") + F.col("clean_n") >= least).select("skeleton", F.col("word").alias("form"))
+    return words.filter("scan_n > 0").join(forms, "skeleton").filter("word <> form").select("word", "form").distinct()
+
+
+def _in_context(tokens: Column, left: Column, right: Column) -> Column:
+    """Structs of each token with the words before and after it."""
+    around = F.concat(F.array(left), tokens, F.array(right))
+    return F.arrays_zip(F.slice(around, 1, F.size(tokens)).alias("before"), tokens.alias("word"), F.slice(around, 3, F.size(tokens)).alias("after"))
+
+
 def running_words(rows: DataFrame, broken: DataFrame) -> DataFrame:
-    """(``id``, ``line_no``, ``word``) of whole words of running text: parts of broken words are left out."""
-    starts = broken.select("id", F.col("line_no"), F.lit(True).alias("breaks"))
-    ends = broken.select("id", F.col("next_no").alias("line_no"), F.lit(True).alias("goes_on"))
+    """(``id``, ``line_no``, ``place``, ``before``, ``word``, ``after``) of whole words of running text: parts of broken
+    words are left out, but are joined as neighbours. ``place`` counts the line's words from 0; a page's first word has an
+    empty ``before`` and its last an empty ``after``."""
+    joined = F.when(F.col("drop"), F.concat(F.regexp_extract("head", r"[^-]+$", 0), F.regexp_extract("tail", r"^[^-]+", 0)))
+    starts = broken.select("id", "line_no", F.lit(True).alias("breaks"), joined.alias("glued"))
+    ends = broken.select("id", F.col("next_no").alias("line_no"), F.lit(True).alias("goes_on"), joined.alias("carried"))
     text = rows.filter("kind = 'text'").join(starts, ["id", "line_no"], "left").join(ends, ["id", "line_no"], "left")
-    line = F.when(F.col("breaks"), F.regexp_replace("line", rf"(?U)[\p{{L}}\p{{N}}@|]+[{MARKS}]\s*$", "")).otherwise(F.col("line"))
-    line = F.when(F.col("goes_on"), F.regexp_replace(line, r"(?U)^\s*[\p{L}\p{N}@|]+", "")).otherwise(line)
-    return text.select("id", "line_no", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(TOKEN), F.lit(0)))).alias("word"))
+    text = text.withColumn("tokens", F.regexp_extract_all(F.lower("line"), F.lit(TOKEN), F.lit(0)))
+    order = Window.partitionBy("id").orderBy("line_no")
+    first, last = F.get("tokens", F.lit(0)), F.get("tokens", F.size("tokens") - 1)
+    left = F.when(F.col("goes_on"), F.coalesce("carried", first)).otherwise(F.lag(last).over(order))
+    right = F.when(F.col("breaks"), F.coalesce("glued", last)).otherwise(F.lead(first).over(order))
+    skipped = F.when(F.col("goes_on"), 1).otherwise(0)
+    whole = F.slice("tokens", skipped + 1, F.greatest(F.lit(0), F.size("tokens") - skipped - F.when(F.col("breaks"), 1).otherwise(0)))
+    text = text.select("id", "line_no", skipped.alias("skipped"), whole.alias("whole"), F.coalesce(left, F.lit("")).alias("left"), F.coalesce(right, F.lit("")).alias("right"))
+    found = text.select("id", "line_no", "skipped", F.posexplode(_in_context(F.col("whole"), F.col("left"), F.col("right"))).alias("at", "w"))
+    return found.select("id", "line_no", (F.col("skipped") + F.col("at")).alias("place"), "w.before", "w.word", "w.after")
+
+
+def misplaced(words: DataFrame, lines: DataFrame, pairs: DataFrame, least: int = 3, ratio: float = 8.0) -> DataFrame:
+    """(``id``, ``line_no``, ``place``, ``word``, ``better``): places whose neighbours speak for another form of the group.
+
+    The other form must stand more often than the word, and ``least`` times, beside either neighbour, and the product of
+    the two must be ``ratio`` squared times that of the word. A place with one neighbour only is left to frequency.
+    """
+    clean = lines.filter("not scan").select(F.regexp_extract_all(F.lower("line"), F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    clean = clean.select(F.explode(_in_context(F.col("tokens"), F.lit(""), F.lit(""))).alias("w")).select("w.before", "w.word", "w.after")
+    forms = pairs.select("word").union(pairs.select("form")).distinct()
+    known = stage(words.select("before", "word", "after").unionByName(clean).join(forms, "word", "left_semi").groupBy("before", "word", "after").agg(F.count("*").alias("n")), "contexts")
+
+    def beside(side: str) -> DataFrame:
+        counts = known.filter(F.col(side) != "").groupBy(side, "word").agg(F.sum("n").alias("n"))
+        own = counts.withColumnRenamed("n", f"{side}_own").join(pairs, "word")
+        other = counts.withColumnsRenamed({"word": "form", "n": f"{side}_other"}).filter(F.col(f"{side}_other") >= least)
+        return own.join(other, [side, "form"]).filter(F.col(f"{side}_other") > F.col(f"{side}_own"))
+
+    found = words.join(beside("before"), ["before", "word"]).join(beside("after"), ["after", "word", "form"])
+    weight = F.col("before_other").cast("double") * F.col("after_other")
+    found = found.filter(weight >= ratio**2 * F.col("before_own") * F.col("after_own"))
+    return found.groupBy("id", "line_no", "place", "word").agg(F.max(F.struct(weight.alias("weight"), "form"))["form"].alias("better"))
 
 
 def analyse(pages: DataFrame, id_col: str, text_col: str, scanned: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines with kinds, broken words, repairs by line) of the scans among ``pages``.
+    """(lines with kinds, broken words, repairs by place) of the scans among ``pages``.
 
     Null and empty texts, and rows with a null id, have no lines. Ids must be unique; pages loaded twice under two ids are pages of their own.
     """
@@ -167,8 +215,11 @@ def analyse(pages: DataFrame, id_col: str, text_col: str, scanned: Column | None
     vocabulary = stage(word_counts(lines), "vocabulary")
     rows = stage(classified_lines(lines), "lines")
     broken = stage(broken_words(rows, vocabulary), "broken")
-    wrong = running_words(rows, broken).join(repairs(vocabulary), "word")
-    return rows, broken, stage(wrong.select("id", "line_no", "word", "better"), "repairs")
+    words = stage(running_words(rows, broken), "running-words")
+    rare = words.join(repairs(vocabulary), "word").select("id", "line_no", "place", "word", F.col("better").alias("frequent"))
+    placed = misplaced(words, lines, stage(rivals(vocabulary), "rivals"))
+    wrong = rare.join(placed, ["id", "line_no", "place", "word"], "full").select("id", "line_no", "place", "word", F.coalesce("better", "frequent").alias("better"))
+    return rows, broken, stage(wrong, "repairs")
 
 
 def faults(pages: DataFrame, id_col: str, text_col: str, scanned: Column | None = None) -> DataFrame:
@@ -183,14 +234,16 @@ def faults(pages: DataFrame, id_col: str, text_col: str, scanned: Column | None
 def repaired(pages: DataFrame, id_col: str, text_col: str, scanned: Column | None = None) -> DataFrame:
     """(id, ``text``) of the scans: paragraphs, divided by blank lines, without headers, page numbers and faults."""
     rows, broken, wrong = analyse(pages, id_col, text_col, scanned)
-    fixes = wrong.groupBy("id", "line_no").agg(F.collect_list(F.struct("word", "better")).alias("fixes"))
+    fixes = wrong.groupBy("id", "line_no").agg(F.collect_list(F.struct("place", "word", "better")).alias("fixes"))
     rows = rows.filter("kind not in ('header', 'pageno')").join(fixes, ["id", "line_no"], "left")
     rows = rows.join(broken.select("id", "line_no", "drop"), ["id", "line_no"], "left")
 
     def fix(line: Column, x: Column) -> Column:
-        quoted = F.concat(F.lit(r"(?iU)(?<![\p{L}\p{N}@|])\Q"), x["word"], F.lit(r"\E(?![\p{L}\p{N}@|])"))
-        upper = F.concat(F.lit(r"(?<![\p{L}\p{N}@|])\Q"), F.upper(F.substr(x["word"], F.lit(1), F.lit(1))), F.substr(x["word"], F.lit(2)), F.lit(r"\E(?![\p{L}\p{N}@|])"))
-        return F.regexp_replace(F.regexp_replace(line, upper, F.initcap(x["better"])), quoted, x["better"])
+        # the word at its place among the line's words, with a capital if it has one
+        place = F.concat(F.lit(r"(?U)^((?:[^\p{L}\p{N}@|]*+[\p{L}\p{N}@|]++){"), x["place"].cast("string"), F.lit(r"}+[^\p{L}\p{N}@|]*+)"))
+        word = F.concat(F.lit(r"(?i:\Q"), x["word"], F.lit(r"\E)(?![\p{L}\p{N}@|])"))
+        capital = F.regexp_replace(line, F.concat(place, F.lit(r"(?=\p{Lu})"), word), F.concat(F.lit("$1"), F.initcap(x["better"])))
+        return F.regexp_replace(capital, F.concat(place, F.lit(r"(?!\p{Lu})"), word), F.concat(F.lit("$1"), x["better"]))
 
     line = F.when(F.col("fixes").isNotNull(), F.aggregate("fixes", F.col("line"), fix)).otherwise(F.col("line"))
     line = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")

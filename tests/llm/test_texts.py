@@ -148,6 +148,16 @@ def test_faults_of_scanned_pages(spark):
     assert ocr_repair.faults(df.limit(0), "rec_id", "page_content").count() == 0
 
 
+def test_misread_forms_that_are_words_are_told_by_their_neighbours(spark):
+    clean = [(i, "The committee will read the handbook and the contract. A visit to the arid region is due.", None) for i in range(100, 170)]
+    scan = "The committee will read the handbook arid\nthe contract while a visit to the arid region, arid\nthe handbook arid the contract, is due"
+    df = spark.createDataFrame([*clean, (1, scan, "eng")], "rec_id long, page_content string, lang string")
+    got = {tuple(r) for r in ocr_repair.faults(df, "rec_id", "page_content", F.col("lang").isNotNull()).collect()}
+    assert got == {(1, 0, "char"), (1, 2, "char")}
+    text = ocr_repair.repaired(df, "rec_id", "page_content", F.col("lang").isNotNull()).collect()[0]["text"]
+    assert text == "The committee will read the handbook and the contract while a visit to the arid region, arid the handbook and the contract, is due"
+
+
 PILED = [
     "#pump #valve #meter #shelf #pump #boiler #gauge #pump",
     "pump cheap, valve cheap, pump buy, pump price, valve buy, pump cheap, meter buy, pump cheap",
