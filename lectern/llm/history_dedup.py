@@ -13,10 +13,11 @@ next to each other in sorted order, so a tree is a sorted array and a subtree a
    it is alike, else it is accepted.
 
 History is never signed or compared again: of old rows only the sorted entries are read, and the texts of candidates.
-Runs are merged once there are more than ``max_runs`` of them.
+A run is kept without the rows found to be cases. Runs are merged once there are more than ``max_runs`` of them.
 
 Hot groups: in a subtree of many alike new rows a row is linked to its leaders only, and every row keeps its first few
-links. Rows that are not settled by those links are searched again with wider limits until all are settled, so no link
+links, chosen while they are found. Where many new rows meet many old ones in a subtree, both are cut into blocks, and
+each two blocks meet in a task of their own. Rows that are not settled by those links are searched again with wider limits until all are settled, so no link
 is lost and no group is expanded into all its pairs.
 """
 
@@ -36,8 +37,9 @@ from lectern.session import stage, work_folder
 DEPTH, DIGIT = 5, 12  # min-hashes in a signature, and the bits kept of each
 ENTRY = np.dtype([("key", "<u8"), ("at", "<i8"), ("sketch", "<u8")])
 ROW_BITS = 44  # a position in the order: the batch above, the row id in the lower 44 bits
-SCHEMA = "tree int, bucket int, entries binary"
+SCHEMA = "tree int, bucket int, lead long, entries binary"
 SMALL_GROUP = 64
+PAIRS_AT_ONCE = 1 << 21
 
 
 def depth_for(threshold: float, trees: int, recall: float) -> int:
@@ -68,10 +70,18 @@ def sign(hashes: np.ndarray, size: np.ndarray, trees: int) -> tuple[np.ndarray,
     return keys, sketch
 
 
-def located(new: np.ndarray, old: np.ndarray, depth: int, floor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(later, earlier, agreeing bits) between new entries and the sorted old ones: widening range search."""
-    out = []
+def located(new: np.ndarray, old: np.ndarray, depth: int, floor: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(later, earlier, agreeing bits, rows that had more) between new entries and the sorted old ones: widening range
+    search. No more than ``PAIRS_AT_ONCE`` pairs and ``most`` links a row are held beside the new links of a few steps."""
+    none = np.zeros(0, np.int64)
+    kept, more, fresh, held = (none, none, none), [none], [], 0
     done_lo = done_hi = None
+
+    def limited() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        *links, left_out = strongest(*(np.concatenate(x) for x in zip(kept, *fresh)), most)
+        more[0] = np.union1d(more[0], left_out)
+        return tuple(links)
+
     for d in range(DEPTH, depth - 1, -1):
         shift = np.uint64(DIGIT * (DEPTH - d))
         prefix = new["key"] >> shift
@@ -79,16 +89,36 @@ def located(new: np.ndarray, old: np.ndarray, depth: int, floor: int) -> tuple[n
         hi = np.searchsorted(old["key"], ((prefix + np.uint64(1)) << shift) - np.uint64(1), side="right")
         ranges = [(lo, hi)] if done_lo is None else [(lo, done_lo), (done_hi, hi)]
         for a, b in ranges:
-            n = b - a
-            for at in np.array_split(np.arange(len(new)), max(1, int(n.sum()) // 2_000_000)):
-                c = n[at]
-                i = np.repeat(at, c)
-                j = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(a[at], c)
+            ends = np.cumsum(b - a)
+            for start in range(0, int(ends[-1]) if len(ends) else 0, PAIRS_AT_ONCE):
+                k = np.arange(start, min(start + PAIRS_AT_ONCE, int(ends[-1])))
+                i = np.searchsorted(ends, k, side="right")
+                j = a[i] + k - (ends[i] - (b - a)[i])
                 alike = 64 - np.bitwise_count(new["sketch"][i] ^ old["sketch"][j]).astype(np.int64)
                 ok = (alike >= floor) & (old["at"][j] < new["at"][i])
-                out.append((new["at"][i[ok]], old["at"][j[ok]], alike[ok]))
+                fresh.append((new["at"][i[ok]], old["at"][j[ok]], alike[ok]))
+                held += int(ok.sum())
+                if held > PAIRS_AT_ONCE:
+                    kept, fresh, held = limited(), [], 0
         done_lo, done_hi = lo, hi
-    return tuple(np.concatenate(x) for x in zip(*out))
+    kept = limited()
+    return *kept, more[0]
+
+
+def hot_blocks(new: np.ndarray, old: np.ndarray, depth: int, most_pairs: int, block: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, bool, bytes]]]:
+    """(new entries and sorted old entries without those of hot subtrees, blocks of hot ones: (prefix, new?, entries))."""
+    shift = np.uint64(DIGIT * (DEPTH - depth))
+    mine, theirs = new["key"] >> shift, old["key"] >> shift
+    groups, counts = np.unique(mine, return_counts=True)
+    met = np.searchsorted(theirs, groups, side="right") - np.searchsorted(theirs, groups, side="left")
+    hot = groups[counts * met > most_pairs]
+    if not len(hot):
+        return new, old, []
+    blocks = []
+    for g in hot:
+        for fresh, rows in ((True, new[mine == g]), (False, old[theirs == g])):
+            blocks += [(int(g), fresh, rows[k : k + block].tobytes()) for k in range(0, len(rows), block)]
+    return new[~np.isin(mine, hot)], old[~np.isin(theirs, hot)], blocks
 
 
 def linked(new: np.ndarray, depth: int, floor: int, leaders: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -122,17 +152,17 @@ def linked(new: np.ndarray, depth: int, floor: int, leaders: int) -> tuple[np.nd
     return later, earlier, alike, np.unique(np.concatenate(partial)) if partial else none
 
 
-def first_links(later: np.ndarray, earlier: np.ndarray, alike: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def strongest(later: np.ndarray, earlier: np.ndarray, alike: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The ``most`` strongest links of each row, the earlier row first among equals, and the rows that had more."""
     if not len(later):
-        return later, earlier, later
+        return later, earlier, alike, later
     sort = np.lexsort((earlier, -alike, later))
-    later, earlier = later[sort], earlier[sort]
+    later, earlier, alike = later[sort], earlier[sort], alike[sort]
     new = np.ones(len(later), dtype=bool)
     new[1:] = (later[1:] != later[:-1]) | (earlier[1:] != earlier[:-1])
-    later, earlier = later[new], earlier[new]
+    later, earlier, alike = later[new], earlier[new], alike[new]
     rank = np.arange(len(later)) - np.searchsorted(later, later, side="left")
-    return later[rank < most], earlier[rank < most], np.unique(later[rank >= most])
+    return later[rank < most], earlier[rank < most], alike[rank < most], np.unique(later[rank >= most])
 
 
 class HashForest:
@@ -140,15 +170,15 @@ class HashForest:
 
     ``width`` words a shingle, ``threshold`` the likeness from which a row is a case; texts of fewer than ``min_words``
     words (null and empty ones too) are never cases and never accepted. ``trees`` and ``recall`` set the prefix length.
-    ``buckets``: ranges of the key a tree is cut into; give one for every few hundred thousand expected rows. A folder is
-    read again with the settings it was written with.
+    ``buckets``: ranges of the key a tree is cut into; give one for every few hundred thousand expected rows. A subtree
+    where more than ``hot`` pairs of a new and an old entry meet is cut into blocks of ``block``. A folder is read again with the settings it was written with.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, width: int = 5, threshold: float = 0.8, min_words: int = 0, trees: int = 16, recall: float = 0.995, buckets: int = 4, max_runs: int = 8):
+    def __init__(self, spark: SparkSession, folder: str | None = None, width: int = 5, threshold: float = 0.8, min_words: int = 0, trees: int = 16, recall: float = 0.995, buckets: int = 4, max_runs: int = 8, hot: int = 1 << 24, block: int = 1 << 13):
         self.spark, self.folder = spark, folder or work_folder(spark, "forest")
         self.width, self.threshold, self.min_words, self.trees = width, threshold, max(min_words, width), trees
         self.depth, self.floor = depth_for(threshold, trees, recall), sketch_floor(threshold)
-        self.buckets, self.max_runs = buckets, max_runs
+        self.buckets, self.max_runs, self.hot, self.block = buckets, max_runs, hot, block
         fs_path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
         names = sorted(s.getPath().getName() for s in fs.listStatus(fs_path)) if fs.exists(fs_path) else []
@@ -163,7 +193,7 @@ class HashForest:
         return self._read(self._runs, SCHEMA)
 
     def cases(self) -> DataFrame:
-        """Positions (``at``) of signed rows that were found to be cases; they are left out of runs at the next merge."""
+        """Positions (``at``) of signed rows that were found to be cases; they have no entries in the runs."""
         return self._read(self._cases, "at long")
 
     def _entries(self, texts: DataFrame) -> DataFrame:
@@ -177,7 +207,8 @@ class HashForest:
                     continue
                 keys, sketch = sign(hashes, size[kept], trees)
                 at = batch.column(0).to_numpy(zero_copy_only=False)[kept]
-                tree, bucket, blobs = [], [], []
+                # the rows of one batch are told by the first of them; under tree -1 it has their positions
+                tree, bucket, blobs = [-1], [-1], [at.astype(np.int64).tobytes()]
                 for t in range(trees):
                     rows = np.zeros(len(at), dtype=ENTRY)
                     rows["key"], rows["at"], rows["sketch"] = keys[:, t], at, sketch
@@ -189,12 +220,12 @@ class HashForest:
                         tree.append(t)
                         bucket.append(int(b))
                         blobs.append(rows[home == b].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(bucket, pa.int32()), pa.array(blobs, pa.binary())], ["tree", "bucket", "entries"])
+                yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(bucket, pa.int32()), pa.array(np.full(len(tree), at.min(), np.int64)), pa.array(blobs, pa.binary())], ["tree", "bucket", "lead", "entries"])
 
         return texts.select("at", "text").mapInArrow(entries, SCHEMA)
 
     def _candidates(self, new: DataFrame, old: DataFrame, among: bool, most: int, leaders: int) -> tuple[DataFrame, DataFrame]:
-        depth, floor = self.depth, self.floor
+        depth, floor, hot, block = self.depth, self.floor, self.hot, self.block
 
         def search(pdf: pd.DataFrame) -> pd.DataFrame:
             def gather(fresh: bool) -> np.ndarray:
@@ -202,20 +233,62 @@ class HashForest:
                 return np.concatenate(parts) if parts else np.zeros(0, ENTRY)
 
             fresh, known = gather(True), gather(False)
-            found, partial = [(np.zeros(0, np.int64),) * 3], np.zeros(0, np.int64)
-            if len(fresh) and len(known):
-                found.append(located(fresh, known[np.argsort(known["key"])], depth, floor))
+            found, open_rows, blocks = [(np.zeros(0, np.int64),) * 3], [], []
             if among and len(fresh):
                 *links, partial = linked(fresh, depth, floor, leaders)
                 found.append(tuple(links))
-            later, earlier, more = first_links(*(np.concatenate(x) for x in zip(*found)), most)
-            open_rows = np.union1d(partial, more)
-            return pd.DataFrame({"a": np.concatenate([later, open_rows]), "b": np.concatenate([earlier, np.full(len(open_rows), -1)])})
-
-        both = new.withColumn("fresh", F.lit(True)).unionByName(old.withColumn("fresh", F.lit(False)))
-        found = stage(both.groupBy("tree", "bucket").applyInPandas(search, "a long, b long").distinct(), "candidates")
+                open_rows.append(partial)
+            if len(fresh) and len(known):
+                fresh, known, blocks = hot_blocks(fresh, known[np.argsort(known["key"])], depth, hot, block)
+                *links, more = located(fresh, known, depth, floor, most)
+                found.append(tuple(links))
+                open_rows.append(more)
+            later, earlier, _, more = strongest(*(np.concatenate(x) for x in zip(*found)), most)
+            open_rows = np.unique(np.concatenate([*open_rows, more]))
+            out = pd.DataFrame({"a": np.concatenate([later, open_rows]), "b": np.concatenate([earlier, np.full(len(open_rows), -1)]), "tree": -1, "fresh": False, "block": None})
+            if blocks:
+                prefix, side, blob = zip(*blocks)
+                cut = pd.DataFrame({"a": np.array(prefix, dtype=np.int64), "b": -1, "tree": pdf["tree"].iloc[0], "fresh": side, "block": blob})
+                out = pd.concat([out, cut], ignore_index=True)
+            return out
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for mine, theirs in zip(batch.column(0), batch.column(1)):
+                    later, earlier, _, more = located(np.frombuffer(mine.as_py(), ENTRY), np.frombuffer(theirs.as_py(), ENTRY), depth, floor, most)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([later, more])), pa.array(np.concatenate([earlier, np.full(len(more), -1)]))], ["a", "b"])
+
+        both = new.withColumn("fresh", F.lit(True)).unionByName(old.withColumn("fresh", F.lit(False))).filter("tree >= 0")
+        made = stage(both.groupBy("tree", "bucket").applyInPandas(search, "a long, b long, tree int, fresh boolean, block binary"), "searched")
+        cut = made.filter("block is not null").select("tree", F.col("a").alias("prefix"), "fresh", "block")
+        pairs = cut.filter("fresh").select("tree", "prefix", F.col("block").alias("mine")).join(cut.filter("not fresh").select("tree", "prefix", F.col("block").alias("theirs")), ["tree", "prefix"])
+        met = pairs.select("mine", "theirs").repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(meet, "a long, b long")
+        found = stage(made.filter("block is null").select("a", "b").unionByName(met).distinct(), "candidates")
         return found.filter("b >= 0"), found.filter("b < 0").select(F.col("a").alias("at"))
 
+    def _without(self, run: DataFrame, cases: DataFrame) -> DataFrame:
+        """A run without the entries of ``cases(at)``."""
+
+        def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lead, entries in zip(*(batch.column(k).to_pylist() for k in range(2))):
+                    at = np.frombuffer(entries, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), lead, np.int64)), pa.array(at.copy())], ["lead", "at"])
+
+        def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                blobs = []
+                for tree, entries, gone in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4))):
+                    if gone:
+                        rows = np.frombuffer(entries, ENTRY if tree >= 0 else np.int64)
+                        entries = rows[~np.isin(rows["at"] if tree >= 0 else rows, np.array(gone))].tobytes()
+                    blobs.append(entries)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(blobs, pa.binary())], ["tree", "bucket", "lead", "entries"])
+
+        homes = run.filter("tree < 0").select("lead", "entries").mapInArrow(positions, "lead long, at long")
+        gone = homes.join(cases, "at", "left_semi").groupBy("lead").agg(F.collect_list("at").alias("gone"))
+        return run.join(gone, "lead", "left").select("tree", "bucket", "lead", "entries", "gone").mapInArrow(drop, SCHEMA)
+
     def add(self, batch: DataFrame, texts: DataFrame) -> DataFrame:
         """Settle the rows of ``batch(at, text)`` and take the accepted ones into the forest.
 
@@ -227,8 +300,8 @@ class HashForest:
         copies = self._copies(batch)
         firsts = batch.join(copies.select("at"), "at", "left_anti")
         run = f"{self.folder}/run-{self._next:06d}"
-        self._entries(firsts).write.option("compression", "zstd").parquet(run)
-        fresh, known, cases, of = self._read([run], SCHEMA), self.runs(), self.cases(), []
+        own = stage(self._entries(firsts), "entries")
+        fresh, known, cases, of = own, self.runs(), self.cases(), []
         most, leaders, among = 4, 1024, True
         while True:
             pairs, partial = self._candidates(fresh, known, among, most, leaders)
@@ -242,12 +315,14 @@ class HashForest:
                 break
             waiting = stage(waiting, "waiting")
             fresh = self._entries(firsts.join(waiting, "at", "left_semi"))
-            known = self._read([*self._runs, run], SCHEMA)
+            own = stage(self._without(own, found.select("at")), "entries")
+            known = self.runs().unionByName(own)
             most, leaders, among = most * 4, leaders * 4, False
         near = of[0]
         for more in of[1:]:
             near = near.unionByName(more)
         path = f"{self.folder}/cases-{self._next:06d}"
+        self._without(own, of[-1].select("at")).write.option("compression", "zstd").parquet(run)
         near.select("at").write.parquet(path)
         self._runs.append(run)
         self._cases.append(path)
@@ -295,7 +370,9 @@ class HashForest:
 
         def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in batches:
-                for t, b, e in zip(*(part.column(k).to_pylist() for k in range(3))):
+                for t, b, e in zip(*(part.column(k).to_pylist() for k in (0, 1, 3))):
+                    if t < 0:
+                        continue
                     rows = np.frombuffer(e, dtype=ENTRY)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(rows), t, np.int32)), pa.array(np.full(len(rows), b, np.int32)), pa.array(rows["key"].astype(np.int64)), pa.array(rows["at"].copy()), pa.array(rows["sketch"].copy().view(np.int64))],
@@ -305,7 +382,7 @@ class HashForest:
         def pack(pdf: pd.DataFrame) -> pd.DataFrame:
             rows = np.zeros(len(pdf), dtype=ENTRY)
             rows["key"], rows["at"], rows["sketch"] = pdf["key"].to_numpy(), pdf["at"].to_numpy(), pdf["sketch"].to_numpy().view(np.uint64)
-            return pd.DataFrame({"tree": [pdf["tree"].iloc[0]], "bucket": [pdf["bucket"].iloc[0]], "entries": [rows[np.argsort(rows["key"])].tobytes()]})
+            return pd.DataFrame({"tree": [pdf["tree"].iloc[0]], "bucket": [pdf["bucket"].iloc[0]], "lead": [-1], "entries": [rows[np.argsort(rows["key"])].tobytes()]})
 
         flat = self.runs().mapInArrow(unpack, "tree int, bucket int, key long, at long, sketch long").join(self.cases(), "at", "left_anti")
         path = f"{self.folder}/run-{self._next:06d}"

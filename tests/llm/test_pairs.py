@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import history_dedup, ngram_join
 from lectern.llm import shingles as S
@@ -167,3 +168,30 @@ def test_shingle_sets_equal_python():
     left, right = texts[:150], texts[150:300]
     want = [likeness(shingle_set(a, 3)[0], shingle_set(b, 3)[0]) for a, b in zip(left, right)]
     assert np.allclose(S.pair_likeness(left, right, 3), want)
+
+
+def test_links_to_history_are_limited_while_they_are_found(monkeypatch):
+    monkeypatch.setattr(history_dedup, "PAIRS_AT_ONCE", 500)
+    old, new = np.zeros(300, history_dedup.ENTRY), np.zeros(40, history_dedup.ENTRY)
+    old["at"], new["at"] = np.arange(300), 1000 + np.arange(40)
+    old["sketch"], new["key"][20:] = (np.uint64(1) << (np.arange(300) % 3).astype(np.uint64)), 1 << 59
+    later, earlier, alike, more = history_dedup.located(new, old, 3, 10, 4)
+    assert list(later) == [1000 + k for k in range(20) for _ in range(4)] and list(earlier) == [0, 1, 2, 3] * 20
+    assert set(alike) == {63} and list(more) == list(range(1000, 1020))
+
+
+def test_hot_subtrees_meet_in_blocks_and_runs_hold_no_cases(spark):
+    rows = corpus(240, 7)
+    df = spark.createDataFrame([(i // 80 + 1, i, t) for i, t in rows], "batch int, row long, content string")
+    want = {r["row"] for r in history_dedup.repeated_rows(df, "batch", "row", "content", width=3, threshold=0.7, min_words=20).collect()}
+    texts = df.select(history_dedup.position("batch", "row").alias("at"), F.col("content").alias("text"))
+    forest, got = history_dedup.HashForest(spark, width=3, threshold=0.7, min_words=20, buckets=2, hot=4, block=8), set()
+    for batch in (1, 2, 3, 4):
+        found = forest.add(texts.filter(F.shiftright("at", history_dedup.ROW_BITS) == batch), texts)
+        got |= {r["at"] & ((1 << history_dedup.ROW_BITS) - 1) for r in found.collect()}
+    assert got == want
+    entries = np.zeros(40, history_dedup.ENTRY)
+    new, old, blocks = history_dedup.hot_blocks(entries[:20], entries, 3, 700, 8)
+    assert not len(new) and not len(old) and [(fresh, len(b) // 24) for _, fresh, b in blocks] == [(True, 8), (True, 8), (True, 4), *[(False, 8)] * 5]
+    held = {int(a) for r in forest.runs().filter("tree >= 0").collect() for a in np.frombuffer(r["entries"], history_dedup.ENTRY)["at"]}
+    assert held and not held & {r["at"] for r in forest.cases().collect()}
