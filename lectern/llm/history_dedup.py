@@ -137,7 +137,9 @@ def linked(new: np.ndarray, depth: int, floor: int, leaders: int) -> tuple[np.nd
         out.append((own["at"][i[ok]], own["at"][j[ok]], alike[ok]))
     for start in np.unique(first[~few]):
         rest = new[start : start + size[start]]
-        for _ in range(leaders):
+        for k in range(leaders):
+            if k:  # later leaders were never compared with the rows linked to earlier ones
+                partial.append(rest["at"][:1])
             if len(rest) < 2:
                 break
             alike = 64 - np.bitwise_count(rest["sketch"][1:] ^ rest["sketch"][0]).astype(np.int64)
@@ -146,7 +148,7 @@ def linked(new: np.ndarray, depth: int, floor: int, leaders: int) -> tuple[np.nd
             out.append((later, np.full(len(later), rest["at"][0]), alike[ok]))
             partial.append(later)
             rest = rest[1:][~ok]
-        partial.append(rest["at"][1:])
+        partial.append(rest["at"])
     none = np.zeros(0, np.int64)
     later, earlier, alike = (np.concatenate(x) for x in zip(*out)) if out else (none, none, none)
     return later, earlier, alike, np.unique(np.concatenate(partial)) if partial else none

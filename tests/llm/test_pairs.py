@@ -195,3 +195,11 @@ def test_hot_subtrees_meet_in_blocks_and_runs_hold_no_cases(spark):
     assert not len(new) and not len(old) and [(fresh, len(b) // 24) for _, fresh, b in blocks] == [(True, 8), (True, 8), (True, 4), *[(False, 8)] * 5]
     held = {int(a) for r in forest.runs().filter("tree >= 0").collect() for a in np.frombuffer(r["entries"], history_dedup.ENTRY)["at"]}
     assert held and not held & {r["at"] for r in forest.cases().collect()}
+
+
+def test_later_leaders_of_a_hot_group_are_searched_again():
+    new = np.zeros(80, history_dedup.ENTRY)
+    new["at"] = np.arange(80)
+    new["sketch"][70:79], new["sketch"][79] = ~np.uint64(0), np.uint64(0xFFFFFFFF)
+    for leaders in (1, 2, 64):  # rows 0, 70 and 79 lead; only 0 has no row before it
+        assert list(history_dedup.linked(new, 3, 50, leaders)[3]) == list(range(1, 80))
