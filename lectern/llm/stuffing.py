@@ -92,7 +92,8 @@ def line_shapes(pages: DataFrame, id_col: str, text_col: str, common: list[str])
     rows = rows.withColumn("head", F.when(F.col("kind") == "phrase", F.regexp_extract("line", leading, 1)))
     # a phrase has its words in its kind already: its shape would scatter on word counts
     rows = rows.withColumn("shape", F.when(F.col("kind") == "phrase", "phrase").otherwise(F.concat_ws(":", "kind", "shape")))
-    return rows.groupBy("id", "kind", "shape").agg(F.count("*").alias("lines"), F.sum("chars").alias("chars"), F.approx_count_distinct("start", 0.05).alias("starts"), F.approx_count_distinct("head", 0.05).alias("heads"))
+    different = lambda c: F.size(F.collect_set(F.when(F.col(c).isNotNull(), F.xxhash64(c))))  # noqa: E731  # a page's own lines bound it
+    return rows.groupBy("id", "kind", "shape").agg(F.count("*").alias("lines"), F.sum("chars").alias("chars"), different("start").alias("starts"), different("head").alias("heads"))
 
 
 def stuffed_pages(pages: DataFrame, id_col: str, text_col: str, common: list[str], share: float = 0.5) -> DataFrame:

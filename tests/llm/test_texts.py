@@ -1,5 +1,6 @@
 """Personal data, quality rules, scanned pages and stuffed pages on small fixtures and held-out labels."""
 
+import itertools
 import os
 import random
 
@@ -192,6 +193,13 @@ def test_stuffed_pages(spark):
     assert stuffing.stuffed_pages(df.limit(0), "doc_id", "text", COMMON).count() == 0
 
 
+def test_repeated_phrases_are_counted_exactly(spark):
+    names = ["".join(p) for p in itertools.product("bdfgk", "aeiou", "lmnrst", "aeiou")]
+    rows = [(n, "\n".join(f"{names[k % n]} pump" for k in range(2 * n))) for n in range(50, 400, 25)]
+    shapes = stuffing.line_shapes(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", COMMON)
+    assert [(r["id"], r["lines"], r["starts"], r["heads"]) for r in shapes.orderBy("id").collect()] == [(n, 2 * n, n, n) for n, _ in rows]
+
+
 DATA = "/root/testdata/sf0.001"
 
 
