@@ -2,7 +2,7 @@
 
 Every line is reduced to a shape: its kind of content and coarse counts of words, capitals, separators and links. Shapes
 are grouped per page. A page is flagged when more than half of its characters lie in non-sentence shapes of the piled
-kinds (links, tags, keyword lists, repeated phrases) and few such shapes make up that half. Tables, bulleted
+kinds (links, tags, keyword lists, repeated phrases), however many such shapes there are. Tables, bulleted
 and numbered lists, contents, code and data are kinds of their own and never count as piled.
 
 Everything is built-in column expressions over exploded lines, so the only exchange carries one row for each shape of a
@@ -21,7 +21,6 @@ CODE = r"""(?x)^\s*(?:def\s|return\b|for\s.*:$|if\s.*:$|import\s|class\s|while\s
 LABEL = r"(?i)^\s*(?:filed under|tags?|keywords?|labels?|categories|topics|mots-clés|schlagwörter|etiquetas)\s*[:=]"
 SEPARATOR = r"[|,;/»•·>]|\s[-–]\s"
 WORD = r"[\p{L}][\p{L}\p{M}'’-]*"
-FEW_SHAPES = 12
 
 
 def line_kind(line: Column, stats: dict[str, Column]) -> Column:
@@ -108,5 +107,5 @@ def stuffed_pages(pages: DataFrame, id_col: str, text_col: str, common: list[str
         F.sum(F.when(piled, F.col("chars")).otherwise(0)).alias("piled"),
         F.count(F.when(piled, 1)).alias("shapes"),
     )
-    out = page.filter((F.col("piled") > share * F.col("chars")) & (F.col("shapes") <= F.lit(FEW_SHAPES) + F.col("chars") / 1000))
+    out = page.filter(F.col("piled") > share * F.col("chars"))
     return out.select(F.col("id").alias(id_col), (F.col("piled") / F.col("chars")).alias("piled_share"), "shapes")

@@ -193,6 +193,14 @@ def test_stuffed_pages(spark):
     assert stuffing.stuffed_pages(df.limit(0), "doc_id", "text", COMMON).count() == 0
 
 
+def test_piled_lines_of_many_shapes(spark):
+    link = "https://a.example/" + "x" * 60
+    lines = [" ".join([link, *[w] * n]) + s * k for w in ("pump", "Pump") for n in (0, 1, 3, 7) for s, k in (("", 0), (" |", 1), (" |", 3))]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines) + "\n" + PROSE * 40)], "doc_id long, text string")
+    [found] = stuffing.stuffed_pages(df, "doc_id", "text", COMMON).collect()
+    assert found["doc_id"] == 1 and found["shapes"] > 15
+
+
 def test_repeated_phrases_are_counted_exactly(spark):
     names = ["".join(p) for p in itertools.product("bdfgk", "aeiou", "lmnrst", "aeiou")]
     rows = [(n, "\n".join(f"{names[k % n]} pump" for k in range(2 * n))) for n in range(50, 400, 25)]
