@@ -63,17 +63,18 @@ def _item(line: Column) -> Column:
     )
 
 
-def line_shares(text: Column) -> dict[str, Column]:
-    """Shares of the visible characters in lines of junk, of cells and of items; the rest reads as prose."""
+def line_shares(text: Column, single: Column) -> dict[str, Column]:
+    """For each line its visible characters, those that count for the shares of junk, cells and items, and its kind; the
+    rest reads as prose. Both numbers differ where ``single`` says that a page has one long string or link: it counts as
+    no more than a long word."""
     lines = F.filter(F.split(text, r"\r\n|[\n\r]"), lambda x: x.rlike(r"(?U)\S"))
 
     def measure(whole: Column) -> Column:
-        # one long string or link in a line is no more than a long word
-        line = F.regexp_replace(whole, r"(?<!\S)(\S{80})\S{20,}", "$1")
+        line = F.when(single, F.regexp_replace(whole, r"(?<!\S)(\S{80})\S{20,}", "$1")).otherwise(whole)
         solid = _solid(line)
         junk = solid - _solid(F.regexp_replace(line, JUNK, " "))
         kind = F.when(junk >= 0.5 * solid, 1).when(_table(line), 2).when(_item(line), 3).otherwise(0)
-        return F.struct(solid.alias("n"), kind.alias("kind"))
+        return F.struct(solid.alias("n"), kind.alias("kind"), F.when(single, _solid(whole)).otherwise(solid).alias("whole"))
 
     return {"lines": F.transform(lines, measure)}
 
@@ -88,12 +89,14 @@ def with_statistics(pages: DataFrame, text_col: str, common: list[str], prefix:
     ratio = lambda a, b: a.cast("double") / F.greatest(b, F.lit(1))
     # explode() of one element computes a value once; without it a filter on the result would be pushed down with all of it
     once = lambda value: F.explode(F.array(value))
-    made = pages.withColumn("_lines", once(line_shares(t)["lines"]))
-    chars = F.aggregate("_lines", F.lit(0), lambda a, x: a + x["n"])
+    made = pages.withColumn("_single", once(F.regexp_count(t, F.lit(r"(?<!\S)\S{100}")) == 1))
+    made = made.withColumn("_lines", once(line_shares(t, F.col("_single"))["lines"]))
+    chars = F.aggregate("_lines", F.lit(0), lambda a, x: a + x["whole"])
+    counted = F.aggregate("_lines", F.lit(0), lambda a, x: a + x["n"])
     part = lambda k: F.aggregate(F.filter("_lines", lambda x: x["kind"] == k), F.lit(0), lambda a, x: a + x["n"])
     words = F.regexp_count(t, F.lit(WORD))
-    made = made.withColumn("_c", once(F.struct(chars.alias("chars"), words.alias("words"), F.size("_lines").alias("n"))))
-    made = made.withColumns({"_chars": F.col("_c.chars"), "_words": F.col("_c.words"), "_n": F.col("_c.n")})
+    made = made.withColumn("_c", once(F.struct(chars.alias("chars"), counted.alias("counted"), words.alias("words"), F.size("_lines").alias("n"))))
+    made = made.withColumns({"_chars": F.col("_c.chars"), "_counted": F.col("_c.counted"), "_words": F.col("_c.words"), "_n": F.col("_c.n")})
     out = {
         "chars": F.col("_chars"),
         "words": F.col("_words"),
@@ -102,13 +105,13 @@ def with_statistics(pages: DataFrame, text_col: str, common: list[str], prefix:
         "digit_ratio": ratio(F.length(F.regexp_replace(t, r"[^\p{N}]+", "")), F.col("_chars")),
         "ended_lines": ratio(F.regexp_count(t, F.lit(r"(?m)[.!?:;…][\"')\]»]*[ \t\r]*$")), F.col("_n")),
         "common_words": ratio(F.regexp_count(t, F.lit(frequent)), F.col("_words")),
-        "junk_share": ratio(part(1), F.col("_chars")),
-        "table_share": ratio(part(2), F.col("_chars")),
-        "list_share": ratio(part(3), F.col("_chars")),
-        "prose_share": ratio(part(0), F.col("_chars")),
+        "junk_share": ratio(part(1), F.col("_counted")),
+        "table_share": ratio(part(2), F.col("_counted")),
+        "list_share": ratio(part(3), F.col("_counted")),
+        "prose_share": ratio(part(0), F.col("_counted")),
     }
     made = made.withColumn("_s", once(F.struct(*[v.alias(k) for k, v in out.items()])))
-    return made.withColumns({prefix + k: F.col(f"_s.{k}") for k in out}).drop("_lines", "_chars", "_words", "_n", "_c", "_s")
+    return made.withColumns({prefix + k: F.col(f"_s.{k}") for k in out}).drop("_single", "_lines", "_chars", "_counted", "_words", "_n", "_c", "_s")
 
 
 #: Statistics that rules may use.

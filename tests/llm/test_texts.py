@@ -106,6 +106,18 @@ def test_plain_rules_tell_the_kinds(spark):
         assert r["kind"] == r["want"] and r["words"] == "clash", r["page_content"]
 
 
+def test_only_a_single_long_string_is_shortened(spark):
+    blobs = ["".join(random.Random(k).choices("abcdefXYZ0123456789", k=4000)) for k in range(2)]
+    rows = [(1, "\n".join([PROSE] * 3 + blobs)), (2, "\n".join([PROSE] * 3 + blobs[:1])), (3, PROSE + " " + "#/" * 900)]
+    df = spark.createDataFrame(rows, "rec_id long, page_content string")
+    out = quality_rules.classify(df, "rec_id", "page_content", spark.createDataFrame([], "item_id long, label string"), COMMON)[0]
+    got = {r["rec_id"]: r for r in out.collect()}
+    assert [got[k]["kind"] for k in (1, 2)] == ["junk", "prose"]
+    for k, text in rows:
+        assert got[k]["stat_chars"] == len("".join(text.split())) and got[k]["stat_symbol_ratio"] <= 1 and got[k]["stat_digit_ratio"] <= 1
+        assert abs(sum(got[k][f"stat_{n}_share"] for n in ("junk", "table", "list", "prose")) - 1) < 1e-9
+
+
 def test_rules_are_learned_from_noisy_labels():
     rng = np.random.default_rng(2)
     x = {"list_share": rng.random(900), "table_share": rng.random(900), "words": rng.random(900)}
