@@ -2,27 +2,33 @@
 
 Every text has one signature of ``DEPTH`` min-hashes per tree; read as one integer, signatures that share a prefix stand
 next to each other in sorted order, so a tree is a sorted array and a subtree a range of it. The forest is a set of
-*runs*, each a Parquet table of sorted arrays, one per tree and key bucket. A new batch
+*runs* of accepted rows. A run is a Parquet table with one folder for each *slot* (a tree and a range of its keys), and
+in it the sorted entries in blocks that know their least and greatest key. A new batch
 
 1. drops its own exact copies (a copy is a case whether its first row is accepted or is a case itself);
-2. is signed, and written as a run;
-3. is located in every run by range search: first on the whole signature, then on shorter and shorter prefixes, until
-   the prefix length at which ``1 - (1 - t**d)**trees`` reaches the recall target; a 64-bit sketch that travels with each
-   entry drops what is far below the threshold ``t``;
+2. is signed;
+3. is located by range search: the slots of its keys name the folders to read, their blocks' least and greatest keys name
+   the blocks a subtree reaches into, and only those blocks are brought together with the new entries; in a block the
+   search is on the whole signature first, then on shorter and shorter prefixes, until the prefix length at which
+   ``1 - (1 - t**d)**trees`` reaches the recall target. A 64-bit sketch that travels with each entry drops what is far
+   below the threshold ``t`` (``exact_sketch`` keeps everything that shares a subtree);
 4. has its candidates verified on the texts, and its rows settled in order: a row is a case if an accepted row before
-   it is alike, else it is accepted.
+   it is alike, else it is accepted;
+5. leaves its accepted rows as a sorted run. Runs are merged once there are more than ``max_runs`` of them.
 
-History is never signed or compared again: of old rows only the sorted entries are read, and the texts of candidates.
-A run is kept without the rows found to be cases. Runs are merged once there are more than ``max_runs`` of them.
+History is never signed, sorted or exchanged as a whole again. Texts of history are scanned by id, and only those of
+candidates leave the scan.
 
-Hot groups: in a subtree of many alike new rows a row is linked to its leaders only, and every row keeps its first few
-links, chosen while they are found. Where many new rows meet many old ones in a subtree, both are cut into blocks, and
-each two blocks meet in a task of their own. Rows that are not settled by those links are searched again with wider limits until all are settled, so no link
-is lost and no group is expanded into all its pairs.
+Hot groups: rows of a subtree that many rows of one task share are linked to the first alike one before anything is
+exchanged, and the same is done among all of them; every row keeps its first few links, chosen while they are found.
+Blocks bound what meets in one call. Rows that are not settled by those links are searched again, with wider limits,
+first of all against what is accepted by then, so a group of alike rows shrinks to its accepted ones instead of being
+expanded into all its pairs, and no link is lost.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +43,9 @@ from lectern.session import stage, work_folder
 DEPTH, DIGIT = 5, 12  # min-hashes in a signature, and the bits kept of each
 ENTRY = np.dtype([("key", "<u8"), ("at", "<i8"), ("sketch", "<u8")])
 ROW_BITS = 44  # a position in the order: the batch above, the row id in the lower 44 bits
-SCHEMA = "tree int, bucket int, lead long, entries binary"
+SIGNED = "slot int, lead long, held boolean, entries binary"
+RUN = "block int, lo long, hi long, entries binary, run int, slot int"
+POSITIONS, LINKS = -1, -2  # slots that hold no entries: positions of a batch's rows, links found while signing
 SMALL_GROUP = 64
 PAIRS_AT_ONCE = 1 << 21
 
@@ -105,22 +113,6 @@ def located(new: np.ndarray, old: np.ndarray, depth: int, floor: int, most: int)
     return *kept, more[0]
 
 
-def hot_blocks(new: np.ndarray, old: np.ndarray, depth: int, most_pairs: int, block: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, bool, bytes]]]:
-    """(new entries and sorted old entries without those of hot subtrees, blocks of hot ones: (prefix, new?, entries))."""
-    shift = np.uint64(DIGIT * (DEPTH - depth))
-    mine, theirs = new["key"] >> shift, old["key"] >> shift
-    groups, counts = np.unique(mine, return_counts=True)
-    met = np.searchsorted(theirs, groups, side="right") - np.searchsorted(theirs, groups, side="left")
-    hot = groups[counts * met > most_pairs]
-    if not len(hot):
-        return new, old, []
-    blocks = []
-    for g in hot:
-        for fresh, rows in ((True, new[mine == g]), (False, old[theirs == g])):
-            blocks += [(int(g), fresh, rows[k : k + block].tobytes()) for k in range(0, len(rows), block)]
-    return new[~np.isin(mine, hot)], old[~np.isin(theirs, hot)], blocks
-
-
 def linked(new: np.ndarray, depth: int, floor: int, leaders: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(later, earlier, agreeing bits, rows with links left out) among new entries."""
     group = new["key"] >> np.uint64(DIGIT * (DEPTH - depth))
@@ -172,104 +164,153 @@ class HashForest:
 
     ``width`` words a shingle, ``threshold`` the likeness from which a row is a case; texts of fewer than ``min_words``
     words (null and empty ones too) are never cases and never accepted. ``trees`` and ``recall`` set the prefix length.
-    ``buckets``: ranges of the key a tree is cut into; give one for every few hundred thousand expected rows. A subtree
-    where more than ``hot`` pairs of a new and an old entry meet is cut into blocks of ``block``. A folder is read again with the settings it was written with.
+    ``buckets``: ranges of the key a tree is cut into; give one for every few hundred thousand expected rows (default 4,
+    or what the folder has). ``block``: entries of a block. With ``exact_sketch`` no candidate is dropped by its sketch.
+
+    The settings that shape keys and slots are kept in the folder; opening it with others raises ``ValueError``.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, width: int = 5, threshold: float = 0.8, min_words: int = 0, trees: int = 16, recall: float = 0.995, buckets: int = 4, max_runs: int = 8, hot: int = 1 << 24, block: int = 1 << 13):
+    def __init__(self, spark: SparkSession, folder: str | None = None, width: int = 5, threshold: float = 0.8, min_words: int = 0, trees: int = 16, recall: float = 0.995, buckets: int | None = None, max_runs: int = 8, block: int = 1 << 12, exact_sketch: bool = False):
         self.spark, self.folder = spark, folder or work_folder(spark, "forest")
         self.width, self.threshold, self.min_words, self.trees = width, threshold, max(min_words, width), trees
-        self.depth, self.floor = depth_for(threshold, trees, recall), sketch_floor(threshold)
-        self.buckets, self.max_runs, self.hot, self.block = buckets, max_runs, hot, block
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        names = sorted(s.getPath().getName() for s in fs.listStatus(fs_path)) if fs.exists(fs_path) else []
-        self._runs = [f"{self.folder}/{n}" for n in names if n.startswith("run-")]
-        self._cases = [f"{self.folder}/{n}" for n in names if n.startswith("cases-")]
-        self._next = 1 + max((int(n.split("-")[1]) for n in names if n.startswith("run-")), default=0)
-
-    def _read(self, paths: list[str], schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def runs(self) -> DataFrame:
-        return self._read(self._runs, SCHEMA)
-
-    def cases(self) -> DataFrame:
-        """Positions (``at``) of signed rows that were found to be cases; they have no entries in the runs."""
-        return self._read(self._cases, "at long")
-
-    def _entries(self, texts: DataFrame) -> DataFrame:
-        width, least, trees, buckets, depth = self.width, self.min_words, self.trees, self.buckets, self.depth
-
-        def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        self.depth, self.floor = depth_for(threshold, trees, recall), 0 if exact_sketch else sketch_floor(threshold)
+        self.max_runs, self.block = max_runs, block
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.buckets = self._settled(buckets)
+        self._root = f"{self.folder}/runs"
+        self._fs.mkdirs(self._path(self._root))
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self._root)))
+        self._runs = [f"{self._root}/{n}" for n in names if n.startswith("run=") and self._fs.exists(self._path(f"{self._root}/{n}/_SUCCESS"))]
+        self._next = 1 + max((int(n.split("=")[1]) for n in names if n.startswith("run=")), default=0)
+
+    def _settled(self, buckets: int | None) -> int:
+        """The number of buckets, after the folder's settings were compared, or written where there are none."""
+        at = f"{self.folder}/settings.json"
+        mine = {"width": self.width, "threshold": self.threshold, "min_words": self.min_words, "trees": self.trees, "depth": self.depth, "digit": DIGIT, "signature": DEPTH, "buckets": buckets or 4}
+        if self._fs.exists(self._path(at)):
+            stored = json.loads(self.spark.read.text(at, wholetext=True).head()[0])
+            if buckets is None:
+                mine["buckets"] = stored.get("buckets")
+            other = {k: (stored.get(k), v) for k, v in mine.items() if stored.get(k) != v}
+            if other:
+                raise ValueError(f"the forest in {self.folder} was written with other settings (stored, given): {other}")
+            return stored["buckets"]
+        self._fs.mkdirs(self._path(self.folder))
+        out = self._fs.create(self._path(at), True)
+        out.writeBytes(json.dumps(mine))
+        out.close()
+        return mine["buckets"]
+
+    def runs(self, slots: list[int] | None = None) -> DataFrame:
+        """All blocks, or those of some slots: only their folders are read."""
+        if not self._runs:
+            return self.spark.createDataFrame([], RUN)
+        rows = self.spark.read.schema(RUN).option("basePath", self._root).parquet(*self._runs)
+        return rows if slots is None else rows.filter(F.col("slot").isin(slots))
+
+    def _signed(self, texts: DataFrame, hold: bool = True) -> DataFrame:
+        """``SIGNED`` rows of ``texts(at, text)``: sorted entries of a task's rows by slot. With ``hold``, in a subtree that
+        many rows of an Arrow batch share, those alike to an earlier one are linked to it at once, and their entries are
+        ``held``: they are not searched for yet."""
+        width, least, trees, buckets, depth, floor = self.width, self.min_words, self.trees, self.buckets, self.depth, self.floor
+
+        def sign_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 hashes, size = S.shingle_sets(*S.word_hashes(batch.column(1).to_pylist()), width, least)
                 kept = np.flatnonzero(size)
                 if not len(kept):
                     continue
                 keys, sketch = sign(hashes, size[kept], trees)
-                at = batch.column(0).to_numpy(zero_copy_only=False)[kept]
-                # the rows of one batch are told by the first of them; under tree -1 it has their positions
-                tree, bucket, blobs = [-1], [-1], [at.astype(np.int64).tobytes()]
+                at = batch.column(0).to_numpy(zero_copy_only=False)[kept].astype(np.int64)
+                # the rows of one batch are told by the first of them; POSITIONS has where they stand
+                slot, held, blobs, links = [POSITIONS], [False], [at.tobytes()], []
+                lead = min(36, DIGIT * depth)  # a bucket is a range of the leading bits of the shortest prefix: no subtree lies in two
                 for t in range(trees):
                     rows = np.zeros(len(at), dtype=ENTRY)
                     rows["key"], rows["at"], rows["sketch"] = keys[:, t], at, sketch
-                    rows = rows[np.argsort(rows["key"])]
-                    # by the leading bits of the shortest prefix searched: a subtree is never cut
-                    lead = min(36, DIGIT * depth)
-                    home = ((rows["key"] >> np.uint64(DIGIT * DEPTH - lead)) * np.uint64(buckets)) >> np.uint64(lead)
+                    rows = rows[np.argsort(rows["key"], kind="stable")]
+                    group = rows["key"] >> np.uint64(DIGIT * (DEPTH - depth))
+                    many = np.searchsorted(group, group, side="right") - np.searchsorted(group, group, side="left") > SMALL_GROUP
+                    aside = np.zeros(len(rows), dtype=bool)
+                    if hold and many.any():
+                        later, earlier, alike, _ = linked(rows[many], depth, floor, 1024)
+                        links.append(np.stack([later, earlier, alike]))
+                        aside = many & np.isin(rows["at"], later)
+                    home = (((rows["key"] >> np.uint64(DIGIT * DEPTH - lead)) * np.uint64(buckets)) >> np.uint64(lead)).astype(np.int64)
                     for b in np.unique(home):
-                        tree.append(t)
-                        bucket.append(int(b))
-                        blobs.append(rows[home == b].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(bucket, pa.int32()), pa.array(np.full(len(tree), at.min(), np.int64)), pa.array(blobs, pa.binary())], ["tree", "bucket", "lead", "entries"])
-
-        return texts.select("at", "text").mapInArrow(entries, SCHEMA)
-
-    def _candidates(self, new: DataFrame, old: DataFrame, among: bool, most: int, leaders: int) -> tuple[DataFrame, DataFrame]:
-        depth, floor, hot, block = self.depth, self.floor, self.hot, self.block
-
-        def search(pdf: pd.DataFrame) -> pd.DataFrame:
-            def gather(fresh: bool) -> np.ndarray:
-                parts = [np.frombuffer(x, dtype=ENTRY) for x in pdf["entries"][pdf["fresh"] == fresh]]
-                return np.concatenate(parts) if parts else np.zeros(0, ENTRY)
-
-            fresh, known = gather(True), gather(False)
-            found, open_rows, blocks = [(np.zeros(0, np.int64),) * 3], [], []
-            if among and len(fresh):
-                *links, partial = linked(fresh, depth, floor, leaders)
-                found.append(tuple(links))
-                open_rows.append(partial)
-            if len(fresh) and len(known):
-                fresh, known, blocks = hot_blocks(fresh, known[np.argsort(known["key"])], depth, hot, block)
-                *links, more = located(fresh, known, depth, floor, most)
-                found.append(tuple(links))
-                open_rows.append(more)
-            later, earlier, _, more = strongest(*(np.concatenate(x) for x in zip(*found)), most)
-            open_rows = np.unique(np.concatenate([*open_rows, more]))
-            out = pd.DataFrame({"a": np.concatenate([later, open_rows]), "b": np.concatenate([earlier, np.full(len(open_rows), -1)]), "tree": -1, "fresh": False, "block": None})
-            if blocks:
-                prefix, side, blob = zip(*blocks)
-                cut = pd.DataFrame({"a": np.array(prefix, dtype=np.int64), "b": -1, "tree": pdf["tree"].iloc[0], "fresh": side, "block": blob})
-                out = pd.concat([out, cut], ignore_index=True)
-            return out
+                        for side in (False, True):
+                            own = rows[(home == b) & (aside == side)]
+                            if len(own):
+                                slot.append(t * buckets + int(b))
+                                held.append(side)
+                                blobs.append(own.tobytes())
+                if links:
+                    slot.append(LINKS)
+                    held.append(False)
+                    blobs.append(np.concatenate(links, axis=1).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(np.full(len(slot), at.min(), np.int64)), pa.array(held), pa.array(blobs, pa.binary())], ["slot", "lead", "held", "entries"])
+
+        return texts.select("at", "text").mapInArrow(sign_rows, SIGNED)
+
+    def _candidates(self, fresh: DataFrame, accepted: DataFrame | None, most: int, leaders: int) -> tuple[DataFrame, DataFrame]:
+        """(pairs (a, b) that may be alike, b earlier; rows ``at`` with links left out) of signed rows with the runs, with the
+        packed rows ``accepted`` since, and among each other."""
+        depth, floor, block = self.depth, self.floor, self.block
+
+        def search(new: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+            parts = [np.frombuffer(x, dtype=ENTRY) for x in new["entries"]]
+            entries = np.concatenate(parts) if parts else np.zeros(0, ENTRY)
+            later, earlier, _, more = linked(entries, depth, floor, leaders)
+            later, earlier, _, left_out = strongest(later, earlier, _, most)
+            more = np.union1d(more, left_out)
+            out = [pd.DataFrame({"a": np.concatenate([later, more]), "b": np.concatenate([earlier, np.full(len(more), -1)]), "run": -1, "slot": -1, "block": -1, "entries": None})]
+            if len(entries) and len(heads):
+                entries = entries[np.argsort(entries["key"], kind="stable")]
+                shift = np.uint64(DIGIT * (DEPTH - depth))
+                first = (entries["key"] >> shift) << shift
+                last = first + ((np.uint64(1) << shift) - np.uint64(1))
+                begin = np.searchsorted(last, heads["lo"].to_numpy().astype(np.uint64), side="left")
+                end = np.searchsorted(first, heads["hi"].to_numpy().astype(np.uint64), side="right")
+                sent = [(r, s, b, entries[k : min(k + block, e)].tobytes()) for r, s, b, a, e in zip(heads["run"], heads["slot"], heads["block"], begin, end) for k in range(a, e, block)]
+                if sent:
+                    run, slot, number, blobs = zip(*sent)
+                    out.append(pd.DataFrame({"a": -1, "b": -1, "run": run, "slot": slot, "block": number, "entries": blobs}))
+            return pd.concat(out, ignore_index=True)
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                found = []
                 for mine, theirs in zip(batch.column(0), batch.column(1)):
                     later, earlier, _, more = located(np.frombuffer(mine.as_py(), ENTRY), np.frombuffer(theirs.as_py(), ENTRY), depth, floor, most)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([later, more])), pa.array(np.concatenate([earlier, np.full(len(more), -1)]))], ["a", "b"])
-
-        both = new.withColumn("fresh", F.lit(True)).unionByName(old.withColumn("fresh", F.lit(False))).filter("tree >= 0")
-        made = stage(both.groupBy("tree", "bucket").applyInPandas(search, "a long, b long, tree int, fresh boolean, block binary"), "searched")
-        cut = made.filter("block is not null").select("tree", F.col("a").alias("prefix"), "fresh", "block")
-        pairs = cut.filter("fresh").select("tree", "prefix", F.col("block").alias("mine")).join(cut.filter("not fresh").select("tree", "prefix", F.col("block").alias("theirs")), ["tree", "prefix"])
-        met = pairs.select("mine", "theirs").repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(meet, "a long, b long")
-        found = stage(made.filter("block is null").select("a", "b").unionByName(met).distinct(), "candidates")
+                    found.append(np.stack([np.concatenate([later, more]), np.concatenate([earlier, np.full(len(more), -1)])]))
+                a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for blob in batch.column(0).to_pylist():
+                    later, earlier, alike = np.frombuffer(blob, np.int64).reshape(3, -1)
+                    a, b, _, _ = strongest(later, earlier, alike, most)
+                    more = np.unique(later)  # linked to one row only
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, more])), pa.array(np.concatenate([b, np.full(len(more), -1)]))], ["a", "b"])
+
+        slots = [r["slot"] for r in fresh.filter("slot >= 0").select("slot").distinct().collect()]  # trees x buckets at most
+        known = self.runs(slots if 2 * len(slots) <= self.trees * self.buckets else None)
+        if accepted is not None:
+            known = known.unionByName(accepted)
+        new = fresh.filter("slot >= 0 and not held").select("slot", "entries")
+        heads = known.select("run", "block", "lo", "hi", F.col("slot"))
+        made = new.groupBy("slot").cogroup(heads.groupBy("slot")).applyInPandas(search, "a long, b long, run int, slot int, block int, entries binary")
+        made = stage(made, "searched")
+        sent = made.filter("run >= 0").select("run", "slot", "block", F.col("entries").alias("mine"))
+        met = sent.join(known.select("run", "slot", "block", F.col("entries").alias("theirs")), ["run", "slot", "block"]).select("mine", "theirs").mapInArrow(meet, "a long, b long")
+        links = fresh.filter(f"slot = {LINKS}").select("entries").mapInArrow(told, "a long, b long")
+        found = stage(made.filter("run < 0").select("a", "b").unionByName(met).unionByName(links).distinct(), "candidates")
         return found.filter("b >= 0"), found.filter("b < 0").select(F.col("a").alias("at"))
 
-    def _without(self, run: DataFrame, cases: DataFrame) -> DataFrame:
-        """A run without the entries of ``cases(at)``."""
+    def _without(self, signed: DataFrame, gone: DataFrame) -> DataFrame:
+        """Signed rows without those of ``gone(at)``."""
 
         def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -280,16 +321,35 @@ class HashForest:
         def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 blobs = []
-                for tree, entries, gone in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4))):
-                    if gone:
-                        rows = np.frombuffer(entries, ENTRY if tree >= 0 else np.int64)
-                        entries = rows[~np.isin(rows["at"] if tree >= 0 else rows, np.array(gone))].tobytes()
+                for entries, out in zip(*(batch.column(k).to_pylist() for k in (3, 4))):
+                    if out:
+                        rows = np.frombuffer(entries, ENTRY)
+                        entries = rows[~np.isin(rows["at"], np.array(out))].tobytes()
                     blobs.append(entries)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(blobs, pa.binary())], ["tree", "bucket", "lead", "entries"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(blobs, pa.binary())], ["slot", "lead", "held", "entries"])
+
+        homes = signed.filter(f"slot = {POSITIONS}").select("lead", "entries").mapInArrow(positions, "lead long, at long")
+        lost = homes.join(gone, "at", "left_semi").groupBy("lead").agg(F.collect_list("at").alias("gone"))  # rows of one Arrow batch
+        return signed.filter("slot >= 0").join(lost, "lead", "left").select("slot", "lead", "held", "entries", "gone").mapInArrow(drop, SIGNED)
 
-        homes = run.filter("tree < 0").select("lead", "entries").mapInArrow(positions, "lead long, at long")
-        gone = homes.join(cases, "at", "left_semi").groupBy("lead").agg(F.collect_list("at").alias("gone"))
-        return run.join(gone, "lead", "left").select("tree", "bucket", "lead", "entries", "gone").mapInArrow(drop, SCHEMA)
+    def _packed(self, entries: DataFrame, run: int) -> DataFrame:
+        """``RUN`` rows of ``entries(slot, entries)``: the entries of a slot, sorted, in blocks."""
+        size = self.block
+
+        def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+            rows = np.concatenate([np.frombuffer(x, dtype=ENTRY) for x in pdf["entries"]])
+            rows = rows[np.argsort(rows["key"], kind="stable")]
+            blocks = [rows[k : k + size] for k in range(0, len(rows), size)]
+            ends = np.array([(b["key"][0], b["key"][-1]) for b in blocks], dtype=np.int64).reshape(-1, 2)
+            return pd.DataFrame({"block": range(len(blocks)), "lo": ends[:, 0], "hi": ends[:, 1], "entries": [b.tobytes() for b in blocks], "run": run, "slot": pdf["slot"].iloc[0]})
+
+        return entries.filter("slot >= 0").select("slot", "entries").groupBy("slot").applyInPandas(pack, RUN)
+
+    def _write(self, packed: DataFrame) -> None:
+        path = f"{self._root}/run={self._next}"
+        packed.drop("run").write.option("compression", "zstd").partitionBy("slot").mode("overwrite").parquet(path)
+        self._runs.append(path)
+        self._next += 1
 
     def add(self, batch: DataFrame, texts: DataFrame) -> DataFrame:
         """Settle the rows of ``batch(at, text)`` and take the accepted ones into the forest.
@@ -301,51 +361,37 @@ class HashForest:
         batch = batch.select("at", "text")
         copies = self._copies(batch)
         firsts = batch.join(copies.select("at"), "at", "left_anti")
-        run = f"{self.folder}/run-{self._next:06d}"
-        own = stage(self._entries(firsts), "entries")
-        fresh, known, cases, of = own, self.runs(), self.cases(), []
-        most, leaders, among = 4, 1024, True
+        own = stage(self._signed(firsts), "signed")
+        fresh, accepted, near = own, None, None
+        most, leaders = 4, 1024
         while True:
-            pairs, partial = self._candidates(fresh, known, among, most, leaders)
-            pairs = pairs.join(cases.withColumnRenamed("at", "b"), "b", "left_anti").select("a", "b")
+            pairs, partial = self._candidates(fresh, accepted, most, leaders)
             alike = S.with_likeness(pairs, texts, "at", "text", self.width)
             edges = stage(alike.filter(F.col("likeness") >= self.threshold - 1e-12).select("a", "b"), "edges")
             found, waiting = self._settle(edges, partial)
-            of.append(found)
-            cases = cases.unionByName(found.select("at"))
+            near = found if near is None else near.unionByName(found)
             if waiting.isEmpty():
                 break
             waiting = stage(waiting, "waiting")
-            fresh = self._entries(firsts.join(waiting, "at", "left_semi"))
-            own = stage(self._without(own, found.select("at")), "entries")
-            known = self.runs().unionByName(own)
-            most, leaders, among = most * 4, leaders * 4, False
-        near = of[0]
-        for more in of[1:]:
-            near = near.unionByName(more)
-        path = f"{self.folder}/cases-{self._next:06d}"
-        self._without(own, of[-1].select("at")).write.option("compression", "zstd").parquet(run)
-        near.select("at").write.parquet(path)
-        self._runs.append(run)
-        self._cases.append(path)
-        self._next += 1
+            # a row linked to a case is likely to repeat what that case repeats: most of a hot group is settled so
+            hops = edges.join(waiting.withColumnRenamed("at", "a"), "a", "left_semi").join(found.withColumnRenamed("at", "b"), "b").select("a", F.col("of").alias("b"))
+            hops = S.with_likeness(stage(hops.distinct(), "hops"), texts, "at", "text", self.width).filter(F.col("likeness") >= self.threshold - 1e-12)
+            found = stage(hops.groupBy("a").agg(F.min("b").alias("of")).withColumnRenamed("a", "at"), "found")
+            near = near.unionByName(found)
+            waiting = stage(waiting.join(found.select("at"), "at", "left_anti"), "waiting")
+            if waiting.isEmpty():
+                break
+            fresh = stage(self._signed(firsts.join(waiting, "at", "left_semi"), hold=False), "signed")
+            accepted = stage(self._packed(self._without(own, near.select("at").unionByName(waiting)), self._next), "accepted")
+            most, leaders = most * 4, leaders * 4
+        self._write(self._packed(self._without(own, near.select("at")), self._next))
         if len(self._runs) > self.max_runs:
             self.merge()
         return copies.unionByName(near)
 
     def _copies(self, batch: DataFrame) -> DataFrame:
-        least = self.min_words
-
-        def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in batches:
-                flat, counts = S.word_hashes(part.column(1).to_pylist())
-                keep = np.flatnonzero(counts >= least)
-                both = S.fingerprints(flat, counts)[keep]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), pa.array(both[:, 0]), pa.array(both[:, 1])], ["at", "p0", "p1"])
-
-        rows = stage(batch.mapInArrow(prints, "at long, p0 long, p1 long"), "prints")
-        firsts = rows.groupBy("p0", "p1").agg(F.min("at").alias("of"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        return stage(rows.join(firsts, ["p0", "p1"]).filter("at != of").select("at", "of"), "copies")
+        """(``at``, ``of``) of the rows whose words are those of an earlier row of the batch."""
+        return stage(S.first_of_copies(S.text_prints(batch, "at", "text", self.min_words)).filter("row <> first").select(F.col("row").alias("at"), F.col("first").alias("of")), "copies")
 
     def _settle(self, edges: DataFrame, partial: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(cases with a row they repeat, rows that these links can't settle).
@@ -368,32 +414,13 @@ class HashForest:
         return found, unsettled.join(found.select("at"), "at", "left_anti")
 
     def merge(self) -> None:
-        """Write all runs as one, without the rows found to be cases."""
-
-        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in batches:
-                for t, b, e in zip(*(part.column(k).to_pylist() for k in (0, 1, 3))):
-                    if t < 0:
-                        continue
-                    rows = np.frombuffer(e, dtype=ENTRY)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(rows), t, np.int32)), pa.array(np.full(len(rows), b, np.int32)), pa.array(rows["key"].astype(np.int64)), pa.array(rows["at"].copy()), pa.array(rows["sketch"].copy().view(np.int64))],
-                        ["tree", "bucket", "key", "at", "sketch"],
-                    )
-
-        def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-            rows = np.zeros(len(pdf), dtype=ENTRY)
-            rows["key"], rows["at"], rows["sketch"] = pdf["key"].to_numpy(), pdf["at"].to_numpy(), pdf["sketch"].to_numpy().view(np.uint64)
-            return pd.DataFrame({"tree": [pdf["tree"].iloc[0]], "bucket": [pdf["bucket"].iloc[0]], "lead": [-1], "entries": [rows[np.argsort(rows["key"])].tobytes()]})
-
-        flat = self.runs().mapInArrow(unpack, "tree int, bucket int, key long, at long, sketch long").join(self.cases(), "at", "left_anti")
-        path = f"{self.folder}/run-{self._next:06d}"
-        flat.groupBy("tree", "bucket").applyInPandas(pack, SCHEMA).write.option("compression", "zstd").parquet(path)
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = fs_path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for old in [*self._runs, *self._cases]:
-            fs.delete(fs_path(old), True)
-        self._runs, self._cases, self._next = [path], [], self._next + 1
+        """Write all runs as one; a slot's blocks are sorted together."""
+        old = list(self._runs)
+        packed = self._packed(self.runs(), self._next)
+        self._runs = []
+        self._write(packed)
+        for path in old:
+            self._fs.delete(self._path(path), True)
 
 
 def position(batch_col: str, row_col: str):

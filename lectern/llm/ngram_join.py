@@ -8,7 +8,8 @@ Pairs that reach the count every true pair must reach are verified on their text
 What makes it bounded at any size:
 
 * copies of one sequence of words are one class; only its first row takes part, and membership is kept beside it;
-* the order comes from a table of counters of fixed size (documented at ``counter_bits``), summed over all texts. Any
+* the order comes from a table of counters of fixed size (documented at ``counter_bits``), summed over all texts. They
+  are kept as 16-bit codes that round large counts up, so no shingle is too frequent to be split by its true count. Any
   order that all texts share gives a right result, so collisions in it cost time, never a pair;
 * a shingle counted once cannot be shared and is never sent;
 * a segment carries a 128-bit parity map of its text. Its Hamming distance to another's never exceeds the size of the
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,6 @@ ELL = 3  # shared shingles of the extended prefixes that every true pair has
 TEXT = np.dtype([("row", "<i8"), ("size", "<u4"), ("map0", "<u8"), ("map1", "<u8")])  # once a text and fragment
 MEET = np.dtype([("token", "<u4"), ("text", "<u2"), ("pos", "<u2")])  # 32 bits of a shingle's hash, text in the segment, position and side
 MOST_TEXTS, MOST_POS = 60_000, 32_767
-BROADCAST_ROWS = 500_000  # ids of copies are broadcast up to this many (8 bytes each), else joined by shuffle
 
 
 def copy_classes(texts: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -42,50 +43,66 @@ def copy_classes(texts: DataFrame, id_col: str, text_col: str, min_words: int) -
 
     Texts of fewer than ``min_words`` words, null and empty ones are left out.
     """
+    return stage(S.first_of_copies(S.text_prints(texts, id_col, text_col, min_words)).select("row", F.col("first").alias("class"), "copies"), "classes")
+
+
+MANTISSA = 11
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, counts = S.word_hashes(batch.column(1).to_pylist())
-            keep = np.flatnonzero(counts >= max(min_words, 1))
-            both = S.fingerprints(flat, counts)[keep]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)).cast(pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])], ["row", "p0", "p1"])
 
-    rows = texts.select(F.col(id_col).cast("long").alias("row"), text_col).mapInArrow(prints, "row long, p0 long, p1 long")
-    rows = stage(rows, "prints")
-    firsts = rows.groupBy("p0", "p1").agg(F.min("row").alias("class"), F.count("*").alias("copies"))
-    return stage(rows.join(firsts, ["p0", "p1"]).select("row", "class", "copies"), "classes")
+def as_code(count: np.ndarray) -> np.ndarray:
+    """Counts as 16-bit codes in the same order: exact below 2**12, above it rounded up to 12 leading bits. No count
+    saturates below 2**42."""
+    count = count.astype(np.int64)
+    shift = np.maximum(0, np.frexp(count.astype(np.float64))[1] - (MANTISSA + 1))
+    top = -(-count >> shift)  # rounded up
+    over = top >> (MANTISSA + 1) > 0
+    shift, top = shift + over, np.where(over, top >> 1, top)
+    return np.where(shift == 0, top, ((shift + 1) << MANTISSA) + (top - (1 << MANTISSA))).astype("<u2")
 
 
-def shingle_counters(texts: DataFrame, text_col: str, width: int, min_words: int, bits: int) -> np.ndarray:
-    """Upper bounds of the number of texts that have a shingle, in ``2**bits`` counters of 16 bits.
+def as_count(code: np.ndarray) -> np.ndarray:
+    """The least count with this code or more: never below the count it was made of."""
+    code = code.astype(np.int64)
+    shift = np.maximum(0, (code >> MANTISSA) - 1)
+    return np.where(shift == 0, code, ((code & ((1 << MANTISSA) - 1)) + (1 << MANTISSA)) << shift)
 
-    Every task sums its own counters and sends them in compressed blocks; blocks are added in parallel. The driver
-    receives 2 bytes a counter, whatever the number of texts.
+
+def shingle_counters(texts: DataFrame, text_col: str, width: int, min_words: int, bits: int, fan: int = 64) -> np.ndarray:
+    """Upper bounds of the number of texts that have a shingle, as codes (``as_code``) in ``2**bits`` cells.
+
+    Every task sums its own cells and sends them in compressed blocks; a block of up to ``fan`` tasks is summed in one
+    task, then those sums by block. The driver receives 2 bytes a cell, whatever the number of texts.
     """
     blocks = max(1, 2**bits // 2**18)
     part = 2**bits // blocks
+    schema = "block int, home int, cells binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(2**bits, dtype=np.int32)
+        table = np.zeros(2**bits, dtype=np.uint32)
         for batch in batches:
             hashes, _ = S.shingle_sets(*S.word_hashes(batch.column(0).to_pylist()), width, min_words)
             cells, n = np.unique(hashes >> np.uint64(64 - bits), return_counts=True)
-            table[cells.astype(np.int64)] += n.astype(np.int32)
-        table = np.minimum(table, 65_535).astype("<u2")
+            table[cells.astype(np.int64)] += n.astype(np.uint32)
+        home = TaskContext.get().partitionId() // fan
         for k in range(blocks):
             piece = table[k * part : (k + 1) * part]
             if piece.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary())], ["block", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([home], pa.int32()), pa.array([zlib.compress(piece.astype("<u4").tobytes(), 1)], pa.binary())], ["block", "home", "cells"])
+
+    def add(kind_in: str, kind_out):
+        def total(pdf: pd.DataFrame) -> pd.DataFrame:
+            cells = np.zeros(part, dtype=np.int64)
+            for blob in pdf["cells"]:
+                cells += np.frombuffer(zlib.decompress(blob), dtype=kind_in)
+            return pd.DataFrame({"block": [pdf["block"].iloc[0]], "home": [0], "cells": [zlib.compress(kind_out(cells).tobytes(), 1)]})
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(part, dtype=np.int64)
-        for cells in pdf["cells"]:
-            total += np.frombuffer(zlib.decompress(cells), dtype="<u2")
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "cells": [zlib.compress(np.minimum(total, 65_535).astype("<u2").tobytes(), 1)]})
+        return total
 
-    counted = texts.select(text_col).mapInArrow(count, "block int, cells binary")
+    counted = texts.select(text_col).mapInArrow(count, schema)
+    counted = counted.groupBy("block", "home").applyInPandas(add("<u4", lambda c: c.astype("<i8")), schema)
+    counted = counted.groupBy("block").applyInPandas(add("<i8", as_code), schema)
     out = np.zeros(2**bits, dtype="<u2")
-    for row in counted.groupBy("block").applyInPandas(add, "block int, cells binary").toLocalIterator():
+    for row in counted.toLocalIterator():
         out[row["block"] * part : (row["block"] + 1) * part] = np.frombuffer(zlib.decompress(row["cells"]), dtype="<u2")
     return out
 
@@ -200,7 +217,7 @@ def similar_pairs(
     Null, empty and too short texts, and rows with a null id, are in neither. Rows with the same words in the same order are one class and give
     no pair. Ids must be unique integers. ``texts`` may hold further columns under any name; they are not read.
     ``counter_bits``: 2**bits counters of 2 bytes, by default about eight a text, between 2**16 and 2**26 (128 MB).
-    ``fragments``: parts of the shingle order, by default one for 50,000 texts and at least 12.
+    ``fragments``: parts of the shingle order, by default one for 25,000 texts and at least 12.
     ``hot``: a shingle in more texts than this is split into blocks of about this many.
     """
     spark = texts.sparkSession
@@ -208,10 +225,10 @@ def similar_pairs(
     classes = copy_classes(texts, "row", "text", max(min_words, width))
     n = classes.count()
     bits = counter_bits or int(np.clip(np.ceil(np.log2(8 * max(n, 1))), 16, 26))
-    parts = fragments or max(12, n // 50_000)
+    parts = fragments or max(12, n // 25_000)
     counters = shingle_counters(texts, "text", width, min_words, bits)
     copies = classes.filter("row != class").select("row")
-    firsts = texts.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "row", "left_anti")
+    firsts = texts.join(F.broadcast(copies) if copies.count() <= S.BROADCAST_ROWS else copies, "row", "left_anti")
 
     shared = spark.sparkContext.broadcast(counters)
 
@@ -242,7 +259,7 @@ def similar_pairs(
             meets["pos"] = np.minimum(p["pos"], MOST_POS).astype(np.uint16) << np.uint16(1)
             home = np.searchsorted(cuts, p["order"], side="right").astype(np.int64)
             lo = np.zeros(len(home), np.int64)
-            splits = -(-p["count"].astype(np.int64) // hot)
+            splits = -(-as_count(p["count"]) // hot)
             many = np.flatnonzero(splits > 1)  # hot shingles: this text's block meets every other block in a task of its own
             lo[many] = (S.mix(ids[p["row"][many]].astype(np.int64).view(np.uint64)) % splits[many].astype(np.uint64)).astype(np.int64)
             hi = lo.copy()
@@ -271,7 +288,7 @@ def similar_pairs(
 
     sent = firsts.mapInArrow(segments, "fragment long, lo long, hi long, entries binary")
     partial = sent.groupBy("fragment", "lo", "hi").applyInPandas(overlaps, "a long, b long, n long, least long")
-    pairs = partial.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least")).filter("n >= least").select("a", "b")
+    pairs = stage(partial.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least")).filter("n >= least").select("a", "b"), "candidates")
     return S.with_likeness(pairs, texts, "row", "text", width).filter(F.col("likeness") >= threshold - 1e-12), classes
 
 

@@ -16,6 +16,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.session import stage
+
+BROADCAST_ROWS = 500_000  # ids are broadcast up to this many (8 bytes each), else joined by shuffle
+HOT_PRINTS = 1_000  # prints with more than one row in this many are told to all tasks: there cannot be more of them
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -112,12 +116,44 @@ def pair_likeness(left: list, right: list, width: int = 3) -> np.ndarray:
     return np.where(either > 0, both / np.maximum(either, 1), 0.0)
 
 
+def text_prints(texts: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(``row``, ``p0``, ``p1``): a written table of the prints of the word sequences of all texts of ``min_words`` words
+    or more, of one at least."""
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, counts = word_hashes(batch.column(1).to_pylist())
+            keep = np.flatnonzero(counts >= max(min_words, 1))
+            both = fingerprints(flat, counts)[keep]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)).cast(pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])], ["row", "p0", "p1"])
+
+    return stage(texts.select(F.col(id_col).cast("long").alias("row"), text_col).mapInArrow(prints, "row long, p0 long, p1 long"), "prints")
+
+
+def first_of_copies(rows: DataFrame) -> DataFrame:
+    """``rows(row, p0, p1)``, a written table, as (``row``, ``first``, ``copies``): the smallest row with the same print, and
+    how many there are.
+
+    Counting is partial. Prints that very many rows share (at most ``HOT_PRINTS`` of them, whatever the number of rows) are
+    broadcast, so their rows stay where they are; those of the others are joined by print.
+    """
+    key = ["p0", "p1"]
+    groups = stage(rows.groupBy(*key).agg(F.min("row").alias("first"), F.count("*").alias("copies")).filter("copies > 1"), "copied")
+    least = max(rows.count() // HOT_PRINTS, 1) + 1
+    told = rows.join(F.broadcast(groups.filter(F.col("copies") >= least)), key, "left")
+    rest = told.filter("first is null").select("row", *key).join(groups.filter(F.col("copies") < least), key, "left")
+    out = told.filter("first is not null").select("row", "first", "copies")
+    return out.unionByName(rest.select("row", F.coalesce("first", "row").alias("first"), F.coalesce("copies", F.lit(1).cast("long")).alias("copies")))
+
+
 def with_likeness(pairs: DataFrame, texts: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``pairs(a, b)`` with the likeness of their texts.
+    """``pairs(a, b)``, a written table, with the likeness of their texts.
 
-    The texts are exchanged by id once: both joins read the same exchange.
+    Only texts that a pair names leave their scan; they are exchanged by id once, for both sides.
     """
+    ids = stage(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "paired")
     side = texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    side = side.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "_id", "left_semi")
     both = (
         pairs.join(side.withColumnsRenamed({"_id": "a", "_text": "_left"}), "a")
         .join(side.withColumnsRenamed({"_id": "b", "_text": "_right"}), "b")

@@ -63,6 +63,29 @@ def test_hot_shingles_are_split_without_a_loss(spark):
     assert got == truth(rows, 3, 0.7, 20) and len(got) == 120 * 119 // 2
 
 
+def test_counts_as_codes_never_saturate():
+    counts = np.unique(np.concatenate([np.arange(9000), np.random.default_rng(1).integers(0, 2**41, 2000), 2 ** np.arange(42)]))
+    codes = ngram_join.as_code(counts)
+    back = ngram_join.as_count(codes)
+    assert (back >= counts).all() and (back[counts < 4096] == counts[counts < 4096]).all() and ((back - counts) <= counts / 2000).all()
+    assert (np.diff(codes.astype(int)) >= 0).all()  # the order stays
+
+
+def test_counters_are_summed_in_steps_and_beyond_16_bits(spark):
+    texts = spark.range(70_000).repartition(9).selectExpr("'a b c' || if(id % 7 = 0, ' d' || id, '') AS text")
+    codes = ngram_join.shingle_counters(texts, "text", 3, 0, 16, fan=2)
+    counts = ngram_join.as_count(codes)
+    assert 70_000 <= counts.max() <= 70_000 * 1.002 and codes.dtype == np.dtype("<u2")
+
+
+@pytest.mark.parametrize("hot", [3, 10**6])
+def test_first_of_copies_with_a_hot_print(spark, hot, monkeypatch):
+    monkeypatch.setattr(S, "HOT_PRINTS", hot)
+    rows = spark.createDataFrame([(i, 1 if i % 3 else i, 5) for i in range(60)], "row long, p0 long, p1 long")
+    got = {tuple(r) for r in S.first_of_copies(rows).collect()}
+    assert got == {(i, 1, 41) if i % 3 or i == 1 else (i, i, 1) for i in range(60)} or got == {(i, 1, 40) if i % 3 else (i, i, 1) for i in range(60)}
+
+
 def test_short_texts_with_few_shingles(spark):
     rows = [(1, "a b c"), (2, "a b c"), (3, "A, b. C!"), (4, "a b c d"), (5, "x y z"), (6, "a b")]
     pairs, classes = ngram_join.similar_pairs(spark.createDataFrame(rows, "k long, content string"), "k", "content", 3, 0.5)
@@ -131,6 +154,10 @@ def test_a_hot_group_of_small_edits(spark):
     assert {r["row"] for r in got.collect()} == greedy(rows, 3, 0.7, 20)
 
 
+def held_rows(forest):
+    return {int(a) for r in forest.runs().collect() for a in np.frombuffer(r["entries"], history_dedup.ENTRY)["at"]}
+
+
 def test_forest_is_read_again_and_merged(spark, tmp_path):
     rows = corpus(120, 7)
     settings = {"width": 3, "threshold": 0.7, "min_words": 20, "max_runs": 1}
@@ -140,7 +167,65 @@ def test_forest_is_read_again_and_merged(spark, tmp_path):
         forest = history_dedup.HashForest(spark, str(tmp_path / "forest"), **settings)
         cases |= {r["at"] for r in forest.add(everything.filter(f"at >= {lo} and at < {hi}"), everything.filter(f"at < {hi}")).collect()}
     assert cases == greedy([(1, i, t) for i, t in rows], 3, 0.7, 20)
-    assert len(forest._runs) == 1 and forest.cases().count() == 0
+    assert len(forest._runs) == 1 and held_rows(forest) == {i for i, t in rows if shingle_set(t, 3)[1] >= 20} - cases
+
+
+def test_a_forest_keeps_its_settings(spark, tmp_path):
+    rows = corpus(120, 3)
+    everything = spark.createDataFrame(rows, "at long, text string")
+    settings = {"width": 3, "threshold": 0.7, "min_words": 20}
+    first = history_dedup.HashForest(spark, str(tmp_path / "forest"), buckets=7, **settings)
+    cases = {r["at"] for r in first.add(everything.filter("at < 60"), everything).collect()}
+    for other in ({"buckets": 23}, {"threshold": 0.8}, {"width": 4}, {"trees": 8}):
+        with pytest.raises(ValueError, match="other settings"):
+            history_dedup.HashForest(spark, str(tmp_path / "forest"), **(settings | other))
+    again = history_dedup.HashForest(spark, str(tmp_path / "forest"), **settings)
+    assert again.buckets == 7
+    cases |= {r["at"] for r in again.add(everything.filter("at >= 60"), everything).collect()}
+    assert cases == greedy([(1, i, t) for i, t in rows], 3, 0.7, 20)
+
+
+def test_a_small_batch_reads_few_slots_and_blocks(spark, tmp_path, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{rng.randrange(50_000)}" for _ in range(25))) for i in range(6000)]
+    rows += [(6000 + k, rows[100 * k][1] + " more") for k in range(3)]
+    everything = spark.createDataFrame(rows, "at long, text string")
+    forest = history_dedup.HashForest(spark, str(tmp_path / "forest"), width=3, threshold=0.7, min_words=20, buckets=128, block=16)
+    assert forest.add(everything.filter("at < 6000"), everything).count() == 0
+    read, met = [], []
+    runs, located = forest.runs, history_dedup.located
+    monkeypatch.setattr(forest, "runs", lambda slots=None: read.append(slots) or runs(slots))
+    got = {tuple(r) for r in forest.add(everything.filter("at >= 6000"), everything).collect()}
+    assert got == {(6000 + k, 100 * k) for k in range(3)}
+    files, some = runs().inputFiles(), runs(read[0]).select("slot").distinct().count()
+    assert len(read[0]) <= 48 and some <= 0.05 * 16 * 128 and len(files) >= some
+    plan = runs(read[0])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "slot" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_alike_rows_of_one_group_leave_one_in_history(spark, monkeypatch):
+    base = [f"w{k}" for k in range(40)]
+    rng = random.Random(5)
+    rows = []
+    for i in range(3000):
+        t = list(base)
+        t[rng.randrange(40)] = f"e{i}"
+        rows.append((1 + (i >= 1500), i, " ".join(t)))
+    df = spark.createDataFrame(rows, "b int, k long, content string").repartition(3)
+    pairs = []
+    measure = S.with_likeness
+    monkeypatch.setattr(S, "with_likeness", lambda p, *rest: pairs.append(p.count()) or measure(p, *rest))
+    got = {r["row"] for r in history_dedup.repeated_rows(df, "b", "k", "content", width=3, threshold=0.7, min_words=20).collect()}
+    assert got == greedy(rows, 3, 0.7, 20) and len(got) >= 2990
+    assert sum(pairs) < 25 * len(rows)  # all pairs would be 4.5 million
+
+
+def test_without_the_sketch_nothing_is_dropped_before_verification(spark, tmp_path):
+    rows = corpus(150, 9)
+    everything = spark.createDataFrame(rows, "at long, text string")
+    forest = history_dedup.HashForest(spark, str(tmp_path / "forest"), width=3, threshold=0.7, min_words=20, exact_sketch=True)
+    assert forest.floor == 0
+    assert {r["at"] for r in forest.add(everything, everything).collect()} == greedy([(1, i, t) for i, t in rows], 3, 0.7, 20)
 
 
 def test_buckets_cut_no_subtree(spark, tmp_path):
@@ -180,21 +265,21 @@ def test_links_to_history_are_limited_while_they_are_found(monkeypatch):
     assert set(alike) == {63} and list(more) == list(range(1000, 1020))
 
 
-def test_hot_subtrees_meet_in_blocks_and_runs_hold_no_cases(spark):
+def test_subtrees_over_many_blocks_and_runs_without_cases(spark):
     rows = corpus(240, 7)
     df = spark.createDataFrame([(i // 80 + 1, i, t) for i, t in rows], "batch int, row long, content string")
     want = {r["row"] for r in history_dedup.repeated_rows(df, "batch", "row", "content", width=3, threshold=0.7, min_words=20).collect()}
     texts = df.select(history_dedup.position("batch", "row").alias("at"), F.col("content").alias("text"))
-    forest, got = history_dedup.HashForest(spark, width=3, threshold=0.7, min_words=20, buckets=2, hot=4, block=8), set()
+    forest, got, low = history_dedup.HashForest(spark, width=3, threshold=0.7, min_words=20, buckets=2, block=4), set(), (1 << history_dedup.ROW_BITS) - 1
     for batch in (1, 2, 3, 4):
         found = forest.add(texts.filter(F.shiftright("at", history_dedup.ROW_BITS) == batch), texts)
-        got |= {r["at"] & ((1 << history_dedup.ROW_BITS) - 1) for r in found.collect()}
-    assert got == want
-    entries = np.zeros(40, history_dedup.ENTRY)
-    new, old, blocks = history_dedup.hot_blocks(entries[:20], entries, 3, 700, 8)
-    assert not len(new) and not len(old) and [(fresh, len(b) // 24) for _, fresh, b in blocks] == [(True, 8), (True, 8), (True, 4), *[(False, 8)] * 5]
-    held = {int(a) for r in forest.runs().filter("tree >= 0").collect() for a in np.frombuffer(r["entries"], history_dedup.ENTRY)["at"]}
-    assert held and not held & {r["at"] for r in forest.cases().collect()}
+        got |= {r["at"] & low for r in found.collect()}
+    assert got == want == greedy([(i // 80 + 1, i, t) for i, t in rows], 3, 0.7, 20)
+    held = {a & low for a in held_rows(forest)}
+    assert held and not held & got
+    for r in forest.runs().collect():
+        keys = np.frombuffer(r["entries"], history_dedup.ENTRY)["key"]
+        assert len(keys) <= 4 and (r["lo"], r["hi"]) == (keys[0], keys[-1]) and (np.diff(keys.astype(np.int64)) >= 0).all()
 
 
 def test_later_leaders_of_a_hot_group_are_searched_again():
