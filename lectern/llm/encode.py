@@ -25,7 +25,7 @@ VOCABULARIES = "/opt/tokenizers"
 #: The public splitting pattern of the vocabulary (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SAFE = re.compile(r"\S(?= \S)")
-LEAF = 1 << 18
+LEAF = 1 << 12  # characters; longer texts are encoded in parts
 
 
 @lru_cache(maxsize=4)
