@@ -19,11 +19,11 @@ in it the sorted entries in blocks that know their least and greatest key. A new
 History is never signed, sorted or exchanged as a whole again. Texts of history are scanned by id, and only those of
 candidates leave the scan.
 
-Hot groups: rows of a subtree that many rows of one task share are linked to the first alike one before anything is
-exchanged, and the same is done among all of them; every row keeps its first few links, chosen while they are found.
-Blocks bound what meets in one call. Rows that are not settled by those links are searched again, with wider limits,
-first of all against what is accepted by then, so a group of alike rows shrinks to its accepted ones instead of being
-expanded into all its pairs, and no link is lost.
+Hot groups: in a subtree that many new rows share, rows are linked to the first alike ones only, its leaders; every row
+keeps its first few links, chosen while they are found, and blocks bound what meets in one call. A row linked to a case is
+compared with what that case repeats, which settles most of a hot group. Rows that are still not settled are searched
+again with wider limits, against what is accepted by then and among each other, until all are settled: a group of alike
+rows shrinks to its accepted ones instead of being expanded into all its pairs, and no link is lost.
 """
 
 from __future__ import annotations
@@ -43,11 +43,12 @@ from lectern.session import stage, work_folder
 DEPTH, DIGIT = 5, 12  # min-hashes in a signature, and the bits kept of each
 ENTRY = np.dtype([("key", "<u8"), ("at", "<i8"), ("sketch", "<u8")])
 ROW_BITS = 44  # a position in the order: the batch above, the row id in the lower 44 bits
-SIGNED = "slot int, lead long, held boolean, entries binary"
+SIGNED = "slot int, lead long, entries binary"
 RUN = "block int, lo long, hi long, entries binary, run int, slot int"
-POSITIONS, LINKS = -1, -2  # slots that hold no entries: positions of a batch's rows, links found while signing
-SMALL_GROUP = 64
+POSITIONS = -1  # the slot that holds no entries but the positions of an Arrow batch's rows
+SMALL_GROUP = 1024  # new rows of a subtree that are all compared with each other in the first search
 PAIRS_AT_ONCE = 1 << 21
+SENT_BYTES = 1 << 24  # new entries are broadcast to the blocks they hit up to this size, else both are exchanged
 
 
 def depth_for(threshold: float, trees: int, recall: float) -> int:
@@ -113,37 +114,51 @@ def located(new: np.ndarray, old: np.ndarray, depth: int, floor: int, most: int)
     return *kept, more[0]
 
 
-def linked(new: np.ndarray, depth: int, floor: int, leaders: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(later, earlier, agreeing bits, rows with links left out) among new entries."""
+def linked(new: np.ndarray, depth: int, floor: int, leaders: int, small: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(later, earlier, rows with links left out) among new entries: at most ``most`` links a row.
+
+    In a subtree of more than ``small`` entries the first is a leader, the rows alike to it are linked to it and set aside,
+    and so on with the rest. Rows set aside, and leaders after rows were set aside, have links that were not looked for."""
     group = new["key"] >> np.uint64(DIGIT * (DEPTH - depth))
     sort = np.lexsort((new["at"], group))
     new, group = new[sort], group[sort]
     first = np.searchsorted(group, group, side="left")
     size = np.searchsorted(group, group, side="right") - first
-    out, partial = [], []
-    few = size <= SMALL_GROUP
+    none = np.zeros(0, np.int64)
+    kept, fresh, partial, held = (none, none, none), [], [none], 0
+
+    def limited() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        *links, left_out = strongest(*(np.concatenate(x) for x in zip(kept, *fresh)), most)
+        partial.append(left_out)
+        return tuple(links)
+
+    few = size <= small
+    own = new[few]
     for i, j in S.earlier_in_group(group[few]):
-        own = new[few]
         alike = 64 - np.bitwise_count(own["sketch"][i] ^ own["sketch"][j]).astype(np.int64)
         ok = alike >= floor
-        out.append((own["at"][i[ok]], own["at"][j[ok]], alike[ok]))
+        fresh.append((own["at"][i[ok]], own["at"][j[ok]], alike[ok]))
+        held += int(ok.sum())
+        if held > PAIRS_AT_ONCE:
+            kept, fresh, held = limited(), [], 0
     for start in np.unique(first[~few]):
-        rest = new[start : start + size[start]]
-        for k in range(leaders):
-            if k:  # later leaders were never compared with the rows linked to earlier ones
+        rest, aside = new[start : start + size[start]], False
+        for _ in range(leaders):
+            if aside:
                 partial.append(rest["at"][:1])
             if len(rest) < 2:
                 break
             alike = 64 - np.bitwise_count(rest["sketch"][1:] ^ rest["sketch"][0]).astype(np.int64)
             ok = alike >= floor
             later = rest["at"][1:][ok]
-            out.append((later, np.full(len(later), rest["at"][0]), alike[ok]))
+            fresh.append((later, np.full(len(later), rest["at"][0]), alike[ok]))
             partial.append(later)
+            aside = aside or len(later) > 0
             rest = rest[1:][~ok]
-        partial.append(rest["at"])
-    none = np.zeros(0, np.int64)
-    later, earlier, alike = (np.concatenate(x) for x in zip(*out)) if out else (none, none, none)
-    return later, earlier, alike, np.unique(np.concatenate(partial)) if partial else none
+        else:
+            partial.append(rest["at"])
+    kept = limited()
+    return kept[0], kept[1], np.unique(np.concatenate(partial))
 
 
 def strongest(later: np.ndarray, earlier: np.ndarray, alike: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -209,11 +224,9 @@ class HashForest:
         rows = self.spark.read.schema(RUN).option("basePath", self._root).parquet(*self._runs)
         return rows if slots is None else rows.filter(F.col("slot").isin(slots))
 
-    def _signed(self, texts: DataFrame, hold: bool = True) -> DataFrame:
-        """``SIGNED`` rows of ``texts(at, text)``: sorted entries of a task's rows by slot. With ``hold``, in a subtree that
-        many rows of an Arrow batch share, those alike to an earlier one are linked to it at once, and their entries are
-        ``held``: they are not searched for yet."""
-        width, least, trees, buckets, depth, floor = self.width, self.min_words, self.trees, self.buckets, self.depth, self.floor
+    def _signed(self, texts: DataFrame) -> DataFrame:
+        """``SIGNED`` rows of ``texts(at, text)``: the sorted entries of each Arrow batch by slot."""
+        width, least, trees, buckets, depth = self.width, self.min_words, self.trees, self.buckets, self.depth
 
         def sign_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -223,37 +236,21 @@ class HashForest:
                     continue
                 keys, sketch = sign(hashes, size[kept], trees)
                 at = batch.column(0).to_numpy(zero_copy_only=False)[kept].astype(np.int64)
-                # the rows of one batch are told by the first of them; POSITIONS has where they stand
-                slot, held, blobs, links = [POSITIONS], [False], [at.tobytes()], []
+                slot, blobs = [POSITIONS], [at.tobytes()]  # the rows of one batch are told by the first of them
                 lead = min(36, DIGIT * depth)  # a bucket is a range of the leading bits of the shortest prefix: no subtree lies in two
                 for t in range(trees):
                     rows = np.zeros(len(at), dtype=ENTRY)
                     rows["key"], rows["at"], rows["sketch"] = keys[:, t], at, sketch
                     rows = rows[np.argsort(rows["key"], kind="stable")]
-                    group = rows["key"] >> np.uint64(DIGIT * (DEPTH - depth))
-                    many = np.searchsorted(group, group, side="right") - np.searchsorted(group, group, side="left") > SMALL_GROUP
-                    aside = np.zeros(len(rows), dtype=bool)
-                    if hold and many.any():
-                        later, earlier, alike, _ = linked(rows[many], depth, floor, 1024)
-                        links.append(np.stack([later, earlier, alike]))
-                        aside = many & np.isin(rows["at"], later)
                     home = (((rows["key"] >> np.uint64(DIGIT * DEPTH - lead)) * np.uint64(buckets)) >> np.uint64(lead)).astype(np.int64)
                     for b in np.unique(home):
-                        for side in (False, True):
-                            own = rows[(home == b) & (aside == side)]
-                            if len(own):
-                                slot.append(t * buckets + int(b))
-                                held.append(side)
-                                blobs.append(own.tobytes())
-                if links:
-                    slot.append(LINKS)
-                    held.append(False)
-                    blobs.append(np.concatenate(links, axis=1).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(np.full(len(slot), at.min(), np.int64)), pa.array(held), pa.array(blobs, pa.binary())], ["slot", "lead", "held", "entries"])
+                        slot.append(t * buckets + int(b))
+                        blobs.append(rows[home == b].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(np.full(len(slot), at.min(), np.int64)), pa.array(blobs, pa.binary())], ["slot", "lead", "entries"])
 
         return texts.select("at", "text").mapInArrow(sign_rows, SIGNED)
 
-    def _candidates(self, fresh: DataFrame, accepted: DataFrame | None, most: int, leaders: int) -> tuple[DataFrame, DataFrame]:
+    def _candidates(self, fresh: DataFrame, accepted: DataFrame | None, most: int, leaders: int, small: int) -> tuple[DataFrame, DataFrame]:
         """(pairs (a, b) that may be alike, b earlier; rows ``at`` with links left out) of signed rows with the runs, with the
         packed rows ``accepted`` since, and among each other."""
         depth, floor, block = self.depth, self.floor, self.block
@@ -261,9 +258,7 @@ class HashForest:
         def search(new: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
             parts = [np.frombuffer(x, dtype=ENTRY) for x in new["entries"]]
             entries = np.concatenate(parts) if parts else np.zeros(0, ENTRY)
-            later, earlier, _, more = linked(entries, depth, floor, leaders)
-            later, earlier, _, left_out = strongest(later, earlier, _, most)
-            more = np.union1d(more, left_out)
+            later, earlier, more = linked(entries, depth, floor, leaders, small, most)
             out = [pd.DataFrame({"a": np.concatenate([later, more]), "b": np.concatenate([earlier, np.full(len(more), -1)]), "run": -1, "slot": -1, "block": -1, "entries": None})]
             if len(entries) and len(heads):
                 entries = entries[np.argsort(entries["key"], kind="stable")]
@@ -287,26 +282,19 @@ class HashForest:
                 a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-        def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for blob in batch.column(0).to_pylist():
-                    later, earlier, alike = np.frombuffer(blob, np.int64).reshape(3, -1)
-                    a, b, _, _ = strongest(later, earlier, alike, most)
-                    more = np.unique(later)  # linked to one row only
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, more])), pa.array(np.concatenate([b, np.full(len(more), -1)]))], ["a", "b"])
-
         slots = [r["slot"] for r in fresh.filter("slot >= 0").select("slot").distinct().collect()]  # trees x buckets at most
         known = self.runs(slots if 2 * len(slots) <= self.trees * self.buckets else None)
         if accepted is not None:
             known = known.unionByName(accepted)
-        new = fresh.filter("slot >= 0 and not held").select("slot", "entries")
+        new = fresh.filter("slot >= 0").select("slot", "entries")
         heads = known.select("run", "block", "lo", "hi", F.col("slot"))
         made = new.groupBy("slot").cogroup(heads.groupBy("slot")).applyInPandas(search, "a long, b long, run int, slot int, block int, entries binary")
         made = stage(made, "searched")
         sent = made.filter("run >= 0").select("run", "slot", "block", F.col("entries").alias("mine"))
+        size = sent.agg(F.sum(F.octet_length("mine"))).head()[0] or 0
+        sent = F.broadcast(sent) if size <= SENT_BYTES else sent
         met = sent.join(known.select("run", "slot", "block", F.col("entries").alias("theirs")), ["run", "slot", "block"]).select("mine", "theirs").mapInArrow(meet, "a long, b long")
-        links = fresh.filter(f"slot = {LINKS}").select("entries").mapInArrow(told, "a long, b long")
-        found = stage(made.filter("run < 0").select("a", "b").unionByName(met).unionByName(links).distinct(), "candidates")
+        found = stage(made.filter("run < 0").select("a", "b").unionByName(met).distinct(), "candidates")
         return found.filter("b >= 0"), found.filter("b < 0").select(F.col("a").alias("at"))
 
     def _without(self, signed: DataFrame, gone: DataFrame) -> DataFrame:
@@ -321,16 +309,16 @@ class HashForest:
         def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 blobs = []
-                for entries, out in zip(*(batch.column(k).to_pylist() for k in (3, 4))):
+                for entries, out in zip(*(batch.column(k).to_pylist() for k in (2, 3))):
                     if out:
                         rows = np.frombuffer(entries, ENTRY)
                         entries = rows[~np.isin(rows["at"], np.array(out))].tobytes()
                     blobs.append(entries)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(blobs, pa.binary())], ["slot", "lead", "held", "entries"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(2)), pa.array(blobs, pa.binary())], ["slot", "lead", "entries"])
 
         homes = signed.filter(f"slot = {POSITIONS}").select("lead", "entries").mapInArrow(positions, "lead long, at long")
         lost = homes.join(gone, "at", "left_semi").groupBy("lead").agg(F.collect_list("at").alias("gone"))  # rows of one Arrow batch
-        return signed.filter("slot >= 0").join(lost, "lead", "left").select("slot", "lead", "held", "entries", "gone").mapInArrow(drop, SIGNED)
+        return signed.filter("slot >= 0").join(lost, "lead", "left").select("slot", "lead", "entries", "gone").mapInArrow(drop, SIGNED)
 
     def _packed(self, entries: DataFrame, run: int) -> DataFrame:
         """``RUN`` rows of ``entries(slot, entries)``: the entries of a slot, sorted, in blocks."""
@@ -363,9 +351,9 @@ class HashForest:
         firsts = batch.join(copies.select("at"), "at", "left_anti")
         own = stage(self._signed(firsts), "signed")
         fresh, accepted, near = own, None, None
-        most, leaders = 4, 1024
+        most, leaders, small = 4, 1024, SMALL_GROUP
         while True:
-            pairs, partial = self._candidates(fresh, accepted, most, leaders)
+            pairs, partial = self._candidates(fresh, accepted, most, leaders, small)
             alike = S.with_likeness(pairs, texts, "at", "text", self.width)
             edges = stage(alike.filter(F.col("likeness") >= self.threshold - 1e-12).select("a", "b"), "edges")
             found, waiting = self._settle(edges, partial)
@@ -376,14 +364,17 @@ class HashForest:
             # a row linked to a case is likely to repeat what that case repeats: most of a hot group is settled so
             hops = edges.join(waiting.withColumnRenamed("at", "a"), "a", "left_semi").join(found.withColumnRenamed("at", "b"), "b").select("a", F.col("of").alias("b"))
             hops = S.with_likeness(stage(hops.distinct(), "hops"), texts, "at", "text", self.width).filter(F.col("likeness") >= self.threshold - 1e-12)
-            found = stage(hops.groupBy("a").agg(F.min("b").alias("of")).withColumnRenamed("a", "at"), "found")
-            near = near.unionByName(found)
-            waiting = stage(waiting.join(found.select("at"), "at", "left_anti"), "waiting")
+            more = stage(hops.groupBy("a").agg(F.min("b").alias("of")).withColumnRenamed("a", "at"), "found")
+            near, found_now = near.unionByName(more), found.unionByName(more)
+            waiting = stage(waiting.join(more.select("at"), "at", "left_anti"), "waiting")
             if waiting.isEmpty():
                 break
-            fresh = stage(self._signed(firsts.join(waiting, "at", "left_semi"), hold=False), "signed")
-            accepted = stage(self._packed(self._without(own, near.select("at").unionByName(waiting)), self._next), "accepted")
-            most, leaders = most * 4, leaders * 4
+            # what is accepted among those that wait stays with them: they are searched again among each other
+            searched = waiting if accepted is None else stage(searched.join(found_now.select("at"), "at", "left_anti"), "searched-again")
+            if accepted is None:
+                accepted = stage(self._packed(self._without(own, near.select("at").unionByName(waiting)), self._next), "accepted")
+            fresh = stage(self._signed(firsts.join(searched, "at", "left_semi")), "signed")
+            most, leaders, small = most * 16, leaders * 16, small * 8
         self._write(self._packed(self._without(own, near.select("at")), self._next))
         if len(self._runs) > self.max_runs:
             self.merge()

@@ -187,18 +187,17 @@ def test_a_forest_keeps_its_settings(spark, tmp_path):
 
 def test_a_small_batch_reads_few_slots_and_blocks(spark, tmp_path, monkeypatch):
     rng = random.Random(11)
-    rows = [(i, " ".join(f"w{rng.randrange(50_000)}" for _ in range(25))) for i in range(6000)]
-    rows += [(6000 + k, rows[100 * k][1] + " more") for k in range(3)]
+    rows = [(i, " ".join(f"w{rng.randrange(50_000)}" for _ in range(25))) for i in range(1500)]
+    rows += [(1500, rows[100][1] + " more")]
     everything = spark.createDataFrame(rows, "at long, text string")
-    forest = history_dedup.HashForest(spark, str(tmp_path / "forest"), width=3, threshold=0.7, min_words=20, buckets=128, block=16)
-    assert forest.add(everything.filter("at < 6000"), everything).count() == 0
-    read, met = [], []
-    runs, located = forest.runs, history_dedup.located
+    forest = history_dedup.HashForest(spark, str(tmp_path / "forest"), width=3, threshold=0.7, min_words=20, buckets=32, block=16)
+    assert forest.add(everything.filter("at < 1500"), everything).count() == 0
+    read, runs = [], forest.runs
     monkeypatch.setattr(forest, "runs", lambda slots=None: read.append(slots) or runs(slots))
-    got = {tuple(r) for r in forest.add(everything.filter("at >= 6000"), everything).collect()}
-    assert got == {(6000 + k, 100 * k) for k in range(3)}
+    got = {tuple(r) for r in forest.add(everything.filter("at >= 1500"), everything).collect()}
+    assert got == {(1500, 100)}
     files, some = runs().inputFiles(), runs(read[0]).select("slot").distinct().count()
-    assert len(read[0]) <= 48 and some <= 0.05 * 16 * 128 and len(files) >= some
+    assert len(read[0]) <= 16 and some <= 0.05 * 16 * 32 and len(files) >= some
     plan = runs(read[0])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "slot" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
@@ -282,9 +281,16 @@ def test_subtrees_over_many_blocks_and_runs_without_cases(spark):
         assert len(keys) <= 4 and (r["lo"], r["hi"]) == (keys[0], keys[-1]) and (np.diff(keys.astype(np.int64)) >= 0).all()
 
 
-def test_later_leaders_of_a_hot_group_are_searched_again():
+def test_rows_that_may_miss_a_link_are_searched_again():
     new = np.zeros(80, history_dedup.ENTRY)
     new["at"] = np.arange(80)
     new["sketch"][70:79], new["sketch"][79] = ~np.uint64(0), np.uint64(0xFFFFFFFF)
     for leaders in (1, 2, 64):  # rows 0, 70 and 79 lead; only 0 has no row before it
-        assert list(history_dedup.linked(new, 3, 50, leaders)[3]) == list(range(1, 80))
+        assert list(history_dedup.linked(new, 3, 50, leaders, 64, 4)[2]) == list(range(1, 80))
+    later, earlier, more = history_dedup.linked(new, 3, 50, 1, 80, 100)  # all are compared
+    assert len(later) == 70 * 69 // 2 + 9 * 8 // 2 and not len(more)
+    assert list(history_dedup.linked(new, 3, 50, 1, 80, 4)[2]) == [*range(5, 70), *range(75, 79)]
+    apart = new.copy()
+    apart["sketch"] = S.mix(np.arange(80).astype(np.uint64))
+    assert not len(history_dedup.linked(apart, 3, 60, 100, 64, 4)[2])  # nothing set aside, nothing missed
+
