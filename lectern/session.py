@@ -38,11 +38,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def work_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder, shared by all executors, for tables that cut lineage.
 
-    It lies under ``spark.checkpoint.dir``. Only where the session sets none (tests, local runs) is a folder of this
-    machine's own taken, and then it is set for the session too.
+    It lies under ``spark.checkpoint.dir``. Only where a local session sets none (tests, the command line) is a folder of
+    this machine's own taken, and then it is set for the session too; on a cluster executors would not share it, so a
+    missing setting is an error there.
     """
     base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set(CHECKPOINT_KEY, base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
@@ -57,7 +60,16 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._staged_at = path
+    return made
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete tables that ``stage`` wrote and nothing reads any more."""
+    for df in staged:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _SHIPPED: set[str] = set()
