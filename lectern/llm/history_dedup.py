@@ -38,17 +38,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import shingles as S
-from lectern.session import stage, work_folder
+from lectern.session import discard, stage, work_folder
 
 DEPTH, DIGIT = 5, 12  # min-hashes in a signature, and the bits kept of each
 ENTRY = np.dtype([("key", "<u8"), ("at", "<i8"), ("sketch", "<u8")])
 ROW_BITS = 44  # a position in the order: the batch above, the row id in the lower 44 bits
-SIGNED = "slot int, lead long, entries binary"
-RUN = "block int, lo long, hi long, entries binary, run int, slot int"
+SIGNED = "slot int, lead long, n int, entries binary"
+RUN = "block int, n int, lo long, hi long, entries binary, run int, slot int"
 POSITIONS = -1  # the slot that holds no entries but the positions of an Arrow batch's rows
 SMALL_GROUP = 1024  # new rows of a subtree that are all compared with each other in the first search
 PAIRS_AT_ONCE = 1 << 21
-SENT_BYTES = 1 << 24  # new entries are broadcast to the blocks they hit up to this size, else both are exchanged
+FEW_ENTRIES = 1 << 19  # new entries (24 bytes each) are broadcast to what they are searched in up to this number
+FEW_SHARE = 1 / 8  # of history, below which only the blocks that new entries hit are brought to them
 
 
 def depth_for(threshold: float, trees: int, recall: float) -> int:
@@ -236,7 +237,7 @@ class HashForest:
                     continue
                 keys, sketch = sign(hashes, size[kept], trees)
                 at = batch.column(0).to_numpy(zero_copy_only=False)[kept].astype(np.int64)
-                slot, blobs = [POSITIONS], [at.tobytes()]  # the rows of one batch are told by the first of them
+                slot, n, blobs = [POSITIONS], [len(at)], [at.tobytes()]  # the rows of one batch are told by the first of them
                 lead = min(36, DIGIT * depth)  # a bucket is a range of the leading bits of the shortest prefix: no subtree lies in two
                 for t in range(trees):
                     rows = np.zeros(len(at), dtype=ENTRY)
@@ -245,56 +246,83 @@ class HashForest:
                     home = (((rows["key"] >> np.uint64(DIGIT * DEPTH - lead)) * np.uint64(buckets)) >> np.uint64(lead)).astype(np.int64)
                     for b in np.unique(home):
                         slot.append(t * buckets + int(b))
-                        blobs.append(rows[home == b].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(np.full(len(slot), at.min(), np.int64)), pa.array(blobs, pa.binary())], ["slot", "lead", "entries"])
+                        own = rows[home == b]
+                        n.append(len(own))
+                        blobs.append(own.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(np.full(len(slot), at.min(), np.int64)), pa.array(n, pa.int32()), pa.array(blobs, pa.binary())], ["slot", "lead", "n", "entries"])
 
         return texts.select("at", "text").mapInArrow(sign_rows, SIGNED)
 
-    def _candidates(self, fresh: DataFrame, accepted: DataFrame | None, most: int, leaders: int, small: int) -> tuple[DataFrame, DataFrame]:
+    def _candidates(self, fresh: DataFrame, since: DataFrame | None, most: int, leaders: int, small: int) -> tuple[DataFrame, DataFrame]:
         """(pairs (a, b) that may be alike, b earlier; rows ``at`` with links left out) of signed rows with the runs, with the
-        packed rows ``accepted`` since, and among each other."""
+        signed rows ``since`` that were accepted after them, and among each other.
+
+        Where the new rows are few beside history, they are first held against the ends of the blocks alone, and only blocks
+        they hit are read; else both sides are exchanged by slot."""
         depth, floor, block = self.depth, self.floor, self.block
 
-        def search(new: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+        def reached(entries: np.ndarray, heads: pd.DataFrame) -> Iterator[tuple[int, int]]:
+            """The range of sorted entries that may share a subtree with each block."""
+            shift = np.uint64(DIGIT * (DEPTH - depth))
+            first = (entries["key"] >> shift) << shift
+            last = first + ((np.uint64(1) << shift) - np.uint64(1))
+            begin = np.searchsorted(last, heads["lo"].to_numpy().astype(np.uint64), side="left")
+            return zip(begin, np.searchsorted(first, heads["hi"].to_numpy().astype(np.uint64), side="right"))
+
+        def search(new: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
             parts = [np.frombuffer(x, dtype=ENTRY) for x in new["entries"]]
             entries = np.concatenate(parts) if parts else np.zeros(0, ENTRY)
             later, earlier, more = linked(entries, depth, floor, leaders, small, most)
-            out = [pd.DataFrame({"a": np.concatenate([later, more]), "b": np.concatenate([earlier, np.full(len(more), -1)]), "run": -1, "slot": -1, "block": -1, "entries": None})]
-            if len(entries) and len(heads):
+            found, sent = [np.stack([later, earlier]), np.stack([more, np.full(len(more), -1)])], []
+            if len(entries) and len(known):
                 entries = entries[np.argsort(entries["key"], kind="stable")]
-                shift = np.uint64(DIGIT * (DEPTH - depth))
-                first = (entries["key"] >> shift) << shift
-                last = first + ((np.uint64(1) << shift) - np.uint64(1))
-                begin = np.searchsorted(last, heads["lo"].to_numpy().astype(np.uint64), side="left")
-                end = np.searchsorted(first, heads["hi"].to_numpy().astype(np.uint64), side="right")
-                sent = [(r, s, b, entries[k : min(k + block, e)].tobytes()) for r, s, b, a, e in zip(heads["run"], heads["slot"], heads["block"], begin, end) for k in range(a, e, block)]
-                if sent:
-                    run, slot, number, blobs = zip(*sent)
-                    out.append(pd.DataFrame({"a": -1, "b": -1, "run": run, "slot": slot, "block": number, "entries": blobs}))
-            return pd.concat(out, ignore_index=True)
+                blobs = known["entries"] if "entries" in known else [None] * len(known)
+                for run, slot, number, blob, (a, e) in zip(known["run"], known["slot"], known["block"], blobs, reached(entries, known)):
+                    if blob is None:
+                        sent += [(run, slot, number, entries[k : min(k + block, e)].tobytes()) for k in range(a, e, block)]
+                    elif a < e:
+                        later, earlier, _, more = located(entries[a:e], np.frombuffer(blob, ENTRY), depth, floor, most)
+                        found += [np.stack([later, earlier]), np.stack([more, np.full(len(more), -1)])]
+            a, b = np.concatenate(found, axis=1)
+            out = pd.DataFrame({"a": a, "b": b, "run": -1, "slot": -1, "block": -1, "entries": None})
+            if sent:
+                run, slot, number, blobs = zip(*sent)
+                out = pd.concat([out, pd.DataFrame({"a": -1, "b": -1, "run": run, "slot": slot, "block": number, "entries": blobs})], ignore_index=True)
+            return out
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = []
+                found = [np.zeros((2, 0), np.int64)]
                 for mine, theirs in zip(batch.column(0), batch.column(1)):
                     later, earlier, _, more = located(np.frombuffer(mine.as_py(), ENTRY), np.frombuffer(theirs.as_py(), ENTRY), depth, floor, most)
-                    found.append(np.stack([np.concatenate([later, more]), np.concatenate([earlier, np.full(len(more), -1)])]))
-                a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+                    found += [np.stack([later, earlier]), np.stack([more, np.full(len(more), -1)])]
+                a, b = np.concatenate(found, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-        slots = [r["slot"] for r in fresh.filter("slot >= 0").select("slot").distinct().collect()]  # trees x buckets at most
+        own = fresh.filter("slot >= 0")
+        per_slot = own.groupBy("slot").agg(F.sum("n").alias("n")).collect()  # trees x buckets at most
+        slots, entries = [r["slot"] for r in per_slot], sum(r["n"] for r in per_slot)
         known = self.runs(slots if 2 * len(slots) <= self.trees * self.buckets else None)
-        if accepted is not None:
-            known = known.unionByName(accepted)
-        new = fresh.filter("slot >= 0").select("slot", "entries")
-        heads = known.select("run", "block", "lo", "hi", F.col("slot"))
-        made = new.groupBy("slot").cogroup(heads.groupBy("slot")).applyInPandas(search, "a long, b long, run int, slot int, block int, entries binary")
-        made = stage(made, "searched")
-        sent = made.filter("run >= 0").select("run", "slot", "block", F.col("entries").alias("mine"))
-        size = sent.agg(F.sum(F.octet_length("mine"))).head()[0] or 0
-        sent = F.broadcast(sent) if size <= SENT_BYTES else sent
-        met = sent.join(known.select("run", "slot", "block", F.col("entries").alias("theirs")), ["run", "slot", "block"]).select("mine", "theirs").mapInArrow(meet, "a long, b long")
-        found = stage(made.filter("run < 0").select("a", "b").unionByName(met).distinct(), "candidates")
+        heads = known.select("run", "slot", "block", "n", "lo", "hi")
+        few = entries < FEW_SHARE * (heads.agg(F.sum("n")).head()[0] or 0)
+        sides = own.select("slot", "entries").groupBy("slot").cogroup((heads if few else known).groupBy("slot"))
+        found = sides.applyInPandas(search, "a long, b long, run int, slot int, block int, entries binary")
+        if few:
+            found = stage(found, "searched")
+            sent = found.filter("run >= 0").select("run", "slot", "block", F.col("entries").alias("mine"))
+            sent = F.broadcast(sent) if entries <= FEW_ENTRIES else sent
+            met = sent.join(known.select("run", "slot", "block", F.col("entries").alias("theirs")), ["run", "slot", "block"])
+            found = found.filter("run < 0").select("a", "b").unionByName(met.select("mine", "theirs").mapInArrow(meet, "a long, b long"))
+        found = found.select("a", "b")
+        if since is not None and entries <= FEW_ENTRIES:
+            mine = F.broadcast(own.select("slot", F.col("entries").alias("mine")))
+            met = since.filter("slot >= 0").select("slot", F.col("entries").alias("theirs")).join(mine, "slot")
+            found = found.unionByName(met.select("mine", "theirs").mapInArrow(meet, "a long, b long"))
+        elif since is not None:
+            packed = self._packed(since, self._next).select("run", "slot", "block", "n", "lo", "hi", "entries")
+            met = own.select("slot", "entries").groupBy("slot").cogroup(packed.groupBy("slot")).applyInPandas(search, "a long, b long, run int, slot int, block int, entries binary")
+            found = found.unionByName(met.select("a", "b"))
+        found = stage(found.distinct(), "candidates")
         return found.filter("b >= 0"), found.filter("b < 0").select(F.col("a").alias("at"))
 
     def _without(self, signed: DataFrame, gone: DataFrame) -> DataFrame:
@@ -309,16 +337,16 @@ class HashForest:
         def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 blobs = []
-                for entries, out in zip(*(batch.column(k).to_pylist() for k in (2, 3))):
+                for entries, out in zip(*(batch.column(k).to_pylist() for k in (3, 4))):
                     if out:
                         rows = np.frombuffer(entries, ENTRY)
                         entries = rows[~np.isin(rows["at"], np.array(out))].tobytes()
                     blobs.append(entries)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(2)), pa.array(blobs, pa.binary())], ["slot", "lead", "entries"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(blobs, pa.binary())], ["slot", "lead", "n", "entries"])
 
         homes = signed.filter(f"slot = {POSITIONS}").select("lead", "entries").mapInArrow(positions, "lead long, at long")
         lost = homes.join(gone, "at", "left_semi").groupBy("lead").agg(F.collect_list("at").alias("gone"))  # rows of one Arrow batch
-        return signed.filter("slot >= 0").join(lost, "lead", "left").select("slot", "lead", "entries", "gone").mapInArrow(drop, SIGNED)
+        return signed.filter("slot >= 0").join(lost, "lead", "left").select("slot", "lead", "n", "entries", "gone").mapInArrow(drop, SIGNED)
 
     def _packed(self, entries: DataFrame, run: int) -> DataFrame:
         """``RUN`` rows of ``entries(slot, entries)``: the entries of a slot, sorted, in blocks."""
@@ -329,7 +357,7 @@ class HashForest:
             rows = rows[np.argsort(rows["key"], kind="stable")]
             blocks = [rows[k : k + size] for k in range(0, len(rows), size)]
             ends = np.array([(b["key"][0], b["key"][-1]) for b in blocks], dtype=np.int64).reshape(-1, 2)
-            return pd.DataFrame({"block": range(len(blocks)), "lo": ends[:, 0], "hi": ends[:, 1], "entries": [b.tobytes() for b in blocks], "run": run, "slot": pdf["slot"].iloc[0]})
+            return pd.DataFrame({"block": range(len(blocks)), "n": [len(b) for b in blocks], "lo": ends[:, 0], "hi": ends[:, 1], "entries": [b.tobytes() for b in blocks], "run": run, "slot": pdf["slot"].iloc[0]})
 
         return entries.filter("slot >= 0").select("slot", "entries").groupBy("slot").applyInPandas(pack, RUN)
 
@@ -372,10 +400,11 @@ class HashForest:
             # what is accepted among those that wait stays with them: they are searched again among each other
             searched = waiting if accepted is None else stage(searched.join(found_now.select("at"), "at", "left_anti"), "searched-again")
             if accepted is None:
-                accepted = stage(self._packed(self._without(own, near.select("at").unionByName(waiting)), self._next), "accepted")
+                accepted = self._without(own, stage(near.select("at").unionByName(waiting), "unsettled"))
             fresh = stage(self._signed(firsts.join(searched, "at", "left_semi")), "signed")
             most, leaders, small = most * 16, leaders * 16, small * 8
         self._write(self._packed(self._without(own, near.select("at")), self._next))
+        discard(own)
         if len(self._runs) > self.max_runs:
             self.merge()
         return copies.unionByName(near)
