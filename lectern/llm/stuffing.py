@@ -1,111 +1,142 @@
 """Keyword-stuffed and link-list pages, by the shapes of their lines.
 
-Every line is reduced to a shape: its kind of content and coarse counts of words, capitals, separators and links. Shapes
-are grouped per page. A page is flagged when more than half of its characters lie in non-sentence shapes of the piled
-kinds (links, tags, keyword lists, repeated phrases), however many such shapes there are. Tables, bulleted
-and numbered lists, contents, code and data are kinds of their own and never count as piled.
+Every line is reduced to a shape: bands of its numbers of words, capitals, separators, links, sentence ends and numbers. A
+page's lines are grouped by shape, and a group is judged as a whole: a sentence shape (marks that end sentences, few
+separators) is never piled; of the others those are piled whose lines are mostly links, tags or coded products, repeat
+the same units or words again and again, or begin again and again with the same words. A page is flagged when piled
+groups hold more than half of its characters. Tables, lists of different things, contents, glossaries and code have
+shapes that are no sentences either, but they do not repeat themselves.
 
-Everything is built-in column expressions over exploded lines, so the only exchange carries one row for each shape of a
-page.
+A page is one row, so its groups need no exchange: the whole operator is one pass over the texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-LINK = r"(?i)<a\s[^>]*>[^<]*</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+"
-BULLET = r"^\s*(?:[-*•–]\s|\(?\w{1,3}[.)]\s|\d+(?:\.\d+)+\.?\s)"
-LEADER = r"\.{4,}\s*\d*\s*$"
-CODE = r"""(?x)^\s*(?:def\s|return\b|for\s.*:$|if\s.*:$|import\s|class\s|while\s|[{}\[\]]+,?\s*$|[{\[]?\s*"[^"]*"\s*:|rows\.|\w+\s*=\s*[\w\[("'])"""
-LABEL = r"(?i)^\s*(?:filed under|tags?|keywords?|labels?|categories|topics|mots-clés|schlagwörter|etiquetas)\s*[:=]"
-SEPARATOR = r"[|,;/»•·>]|\s[-–]\s"
-WORD = r"[\p{L}][\p{L}\p{M}'’-]*"
-
-
-def line_kind(line: Column, stats: dict[str, Column]) -> Column:
-    """The kind of content of a line; ``stats`` are the columns of ``line_counts``."""
-    s = stats
-    words, units = s["words"], s["separators"] + 1
-    tokens = F.greatest(s["tokens"], F.lit(1))
-    return (
-        F.when((s["links"] > 0) & (s["link_chars"] >= 0.4 * s["chars"]), "links")
-        .when((s["links"] >= 3) & (words / F.greatest(s["links"], F.lit(1)) <= 8), "links")
-        .when((s["hashtags"] >= 3) & (s["hashtags"] >= 0.5 * tokens), "tags")
-        .when((s["codes"] >= 2) & (words / F.greatest(s["codes"], F.lit(1)) <= 6), "tags")
-        .when(line.rlike(LABEL) & (s["separators"] >= 2) & (words / units <= 5), "tags")
-        .when(line.rlike(CODE), "code")
-        .when(line.rlike(LEADER), "list")
-        .when((s["numbers"] >= 0.25 * tokens) & (tokens >= 2), "table")
-        .when(line.rlike(BULLET), "list")
-        .when((s["separators"] >= 5) & (words / units <= 4.5) & ((s["different_units"] <= 0.8 * s["units"]) | (s["different"] <= 0.45 * words)), "keywords")
-        .when((s["separators"] >= 5) & (words / units <= 8) & (s["different"] <= 0.35 * words) & (s["ends"] <= units / 4), "keywords")
-        .when(line.rlike(r"^\s*\|.*\|\s*$|\t.*\t|\S {2,}\S+ {2,}\S|^[^;]*(?:;[^;]*){2,}$") & (s["ends"] <= 1) & (words <= 30), "table")
-        .when((s["ends"] >= 5) & (words / F.greatest(s["ends"], F.lit(1)) <= 5), "keywords")
-        .when((words >= 20) & (s["ends"] <= words / 30) & (s["different"] <= 0.62 * words) & (s["separators"] <= words / 8) & (s["function"] <= 0.25 * words), "keywords")
-        .when((words <= 7) & (s["ends"] == 0) & ~line.rlike(r"[:?]\s*$"), "phrase")
-        .otherwise("sentence")
-    )
-
-
-def line_counts(lines: DataFrame) -> DataFrame:
-    """``lines(id, line)`` with counts of characters, words, capitals, separators, links and so on. What several counts
-    read (the line without links, its words, its units) is a column of its own, so it is made once."""
-    bare, found, units = F.col("bare"), F.col("found"), F.col("parts")
-    rows = lines.withColumn("bare", F.regexp_replace("line", LINK, " "))
-    rows = rows.withColumns({"found": F.regexp_extract_all(F.lower(bare), F.lit(WORD), F.lit(0)), "parts": F.split(F.lower(bare), SEPARATOR)})
-    return rows.withColumns(
-        {
-            "chars": F.length(F.regexp_replace("line", r"(?U)^\s+|\s+$", "")),
-            "link_chars": F.length("line") - F.length(bare) + F.regexp_count("line", F.lit(LINK)),
-            "links": F.regexp_count("line", F.lit(LINK)),
-            "words": F.size(found),
-            "different": F.size(F.array_distinct(found)),
-            "units": F.size(units),
-            "different_units": F.when(F.size(units) > 5, F.size(F.array_distinct(F.transform(units, F.trim)))).otherwise(F.size(units)),
-            "tokens": F.regexp_count(bare, F.lit(r"\S+")),
-            "numbers": F.regexp_count(bare, F.lit(r"(?<![\p{L}\p{N}])(?:\p{Lu}?\p{N}[\p{N}.,]*|n/a|-|yes|no|ok)(?![\p{L}\p{N}])")),
-            "capitals": F.regexp_count(bare, F.lit(r"(?<!\p{L})\p{Lu}")),
-            "separators": F.size(units) - 1,
-            "ends": F.regexp_count(bare, F.lit(r"[.!?](?=[\s\"')\]]|$)")),
-            "hashtags": F.regexp_count(bare, F.lit(r"(?<!\S)#\p{L}")),
-            "codes": F.regexp_count(bare, F.lit(r"\b(?i:sku|art|ref|ean)[- .:]?\d{3,}")),
-        }
-    )
-
-
-def line_shapes(pages: DataFrame, id_col: str, text_col: str, common: list[str]) -> DataFrame:
-    """(``id``, ``kind``, ``shape``, ``lines``, ``chars``, ``starts``, ``heads``): one row for each shape of each page.
-    ``starts`` and ``heads`` count the different first two words, and first words that are no function words, of its lines; they tell repeated phrases from titles and lists of different things."""
-    lines = pages.select(F.col(id_col).alias("id"), F.explode(F.split(F.col(text_col), r"\r\n|[\n\r  ]")).alias("line"))
-    lines = lines.filter(F.col("id").isNotNull() & F.col("line").rlike(r"\S"))
-    s = {k: F.col(k) for k in ("chars", "link_chars", "links", "words", "different", "units", "different_units", "tokens", "numbers", "capitals", "separators", "ends", "hashtags", "codes")}
-    frequent = r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(sorted(common)) + r")(?![\p{L}\p{N}])" if common else "(?!)"
-    s["function"] = F.regexp_count("bare", F.lit(frequent))  # only read where all else speaks for keywords
-    lines = line_counts(lines)
-    band = lambda c: F.floor(F.log2(c + 1)).cast("int")
-    shape = F.concat_ws(".", band(s["words"]), F.round(4 * s["capitals"] / F.greatest(s["words"], F.lit(1))).cast("int"), band(s["separators"]), band(s["links"]))
-    start = F.lower(F.regexp_extract("line", r"(?U)^\s*(\S+(?:\s+\S+)?)", 1))
-    rows = lines.select("id", line_kind(F.col("line"), s).alias("kind"), shape.alias("shape"), s["chars"].alias("chars"), F.when(s["words"] <= 7, start).alias("start"), F.lower("line").alias("line"))
-    leading = r"^\s*(?:(?:" + "|".join(sorted(common)) + r")\s+|\p{L}['’])*(\S+)" if common else r"^\s*(\S+)"
-    rows = rows.withColumn("head", F.when(F.col("kind") == "phrase", F.regexp_extract("line", leading, 1)))
-    # a phrase has its words in its kind already: its shape would scatter on word counts
-    rows = rows.withColumn("shape", F.when(F.col("kind") == "phrase", "phrase").otherwise(F.concat_ws(":", "kind", "shape")))
-    different = lambda c: F.size(F.collect_set(F.when(F.col(c).isNotNull(), F.xxhash64(c))))  # noqa: E731  # a page's own lines bound it
-    return rows.groupBy("id", "kind", "shape").agg(F.count("*").alias("lines"), F.sum("chars").alias("chars"), different("start").alias("starts"), different("head").alias("heads"))
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+LINK = re.compile(r"<a\s[^>]*>[^<]*</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+", re.I)
+WORD = re.compile(r"[^\W\d_][^\W\d_'’-]*(?:['’-][^\W\d_]+)*")
+LINE = re.compile(r"[\n\r  ]")
+END = re.compile(r"[.!?](?=[\s\"')\]]|$)")
+UNIT = re.compile(r"[|,;/»•·>]|\s[-–]\s")
+CODED = re.compile(r"\b[A-Za-z]{2,5}[- .:]?\d{3,}")  # letters and a number: a product's code
+NUMBER = re.compile(r"(?<!\w)(?:[A-Z]?\d[\d.,]*|n/a|-|yes|no|ok)(?!\w)")
+BULLET = re.compile(r"\s*(?:[-*•–]\s|\(?\w{1,3}[.)]\s|\d+(?:\.\d+)+\.?\s)")
+SYNTAX = re.compile(r"""\s*(?:def\s|return\b|for\s.*:$|if\s.*:$|import\s|class\s|while\s|[{}\[\]]+,?\s*$|[{\[]?\s*"[^"]*"\s*:|\w+[.(]\w*.*\)$|\w+\s*=\s*[\w\[("'])""")
+LEADER = re.compile(r"\.{4,}\s*\d*\s*$")
+CELLS = re.compile(r"\s*\|.*\|\s*$|.*\t.*\t|.*\S {2,}\S+ {2,}\S|[^;]*(?:;[^;]*){2,}$")
+SHORT = 7  # words of a line that may be a phrase
+
+
+def _band(n: int) -> int:
+    return n.bit_length()
+
+
+class Group:
+    """The lines of one shape: totals, and the words, units, first words and leading words seen."""
+
+    __slots__ = ("lines", "chars", "links", "link_chars", "words", "seen", "units", "units_seen", "ends", "hashtags", "coded", "tokens", "frequent", "starts", "heads")
+
+    def __init__(self):
+        self.lines = self.chars = self.links = self.link_chars = self.words = self.units = self.ends = self.hashtags = self.coded = self.tokens = self.frequent = 0
+        self.seen, self.units_seen, self.starts, self.heads = set(), set(), set(), set()
+
+
+def shapes(text: str, frequent: frozenset[str]) -> dict[tuple, Group]:
+    """The groups of a text's lines by shape. The first part of a shape names its outline: bullet, syntax, leader, cells,
+    numbers, or none of them."""
+    groups: dict[tuple, Group] = {}
+    for line in LINE.split(text):
+        solid = line.strip()
+        if not solid:
+            continue
+        links = LINK.findall(line) if "http" in line or "www." in line or "](" in line or "<" in line or "HTTP" in line or "WWW." in line else ()
+        bare = LINK.sub(" ", line) if links else line
+        low = bare.lower()
+        words, tokens = WORD.findall(low), bare.split()
+        n = len(words)
+        parts = UNIT.split(low)
+        ends = len(END.findall(bare)) if "." in bare or "!" in bare or "?" in bare else 0
+        digits = any(map(str.isdigit, bare))
+        numbers = len(NUMBER.findall(bare)) if digits or " - " in bare or "n/a" in low else 0
+        coded = len(CODED.findall(bare)) if digits else 0
+        hashtags = sum(t[0] == "#" and t[1:2].isalpha() for t in tokens) if "#" in bare else 0
+        capitals = sum(t[0].isupper() for t in tokens)
+        outline = (
+            "" if links or hashtags or coded > 1
+            else "syntax" if len(parts) < 6 and SYNTAX.match(bare) else "leader" if "...." in bare and LEADER.search(bare)
+            else "numbers" if max(len(tokens), len(parts)) > 1 and numbers >= 0.25 * max(len(tokens), len(parts))
+            else "bullet" if BULLET.match(bare) else "cells" if ends <= 1 and n <= 30 and CELLS.match(bare) and len(parts) <= 5 else ""
+        )
+        short = n <= SHORT and not ends and len(parts) < 4 and not outline and not links and solid[-1] not in ":?"
+        # a short phrase is told by what it repeats, so its few words and capitals are no part of its shape
+        key = ("phrase",) if short else (outline, _band(n), round(4 * capitals / max(1, len(tokens))), _band(len(parts) - 1), _band(len(links)), _band(ends))
+        g = groups.get(key)
+        if g is None:
+            g = groups[key] = Group()
+        g.lines += 1
+        g.chars += len(solid)
+        g.links += len(links)
+        g.link_chars += len(line) - len(bare) + len(links)
+        g.words += n
+        g.seen.update(words)
+        g.units += len(parts)
+        g.units_seen.update(p.strip() for p in parts)
+        g.ends += ends
+        g.hashtags += hashtags
+        g.coded += coded
+        g.tokens += len(tokens)
+        g.frequent += sum(w in frequent for w in words)
+        if short:
+            g.starts.add(" ".join(low.split()[:2]))
+            g.heads.add(next((w for w in words if w not in frequent), low))
+    return groups
+
+
+def piled(shape: tuple, g: Group) -> bool:
+    """Whether the lines of a shape are piled-up links, tags or keywords."""
+    words, lines = max(1, g.words), g.lines
+    if g.links and (g.link_chars >= 0.4 * g.chars or (g.links >= 3 * lines and g.words <= 8 * g.links)):
+        return True
+    if g.hashtags >= 3 and g.hashtags >= 0.5 * g.tokens:
+        return True
+    if g.coded >= 2 * lines and g.words <= 6 * g.coded:
+        return True
+    if shape[0] == "phrase":
+        return lines >= 5 and (len(g.starts) <= 0.5 * lines or len(g.heads) <= 0.34 * lines)
+    if shape[0]:
+        return False
+    again = len(g.seen) / words
+    if g.units >= 6 * lines and g.words <= 8 * g.units:  # a row of units
+        few = len(g.units_seen) <= 0.85 * g.units or again <= 0.45
+        return (few and g.words <= 4.5 * g.units) or (again <= 0.35 and g.ends <= g.units / 4)
+    if g.ends >= 5 * lines and g.words <= 5 * g.ends:  # one or two words between full stops
+        return True
+    return g.words >= 20 * lines and g.ends <= g.words / 30 and again <= 0.62 and g.units - lines <= g.words / 8 and g.frequent <= 0.25 * g.words
+
+
+def page_shares(text: str | None, frequent: frozenset[str]) -> tuple[int, int, int]:
+    """(characters, characters in piled groups, piled groups) of a text; outer white space of lines does not count."""
+    groups = shapes(text or "", frequent)
+    own = [g.chars for shape, g in groups.items() if piled(shape, g)]
+    return sum(g.chars for g in groups.values()), sum(own), len(own)
 
 
 def stuffed_pages(pages: DataFrame, id_col: str, text_col: str, common: list[str], share: float = 0.5) -> DataFrame:
-    """(id, ``piled_share``, ``shapes``) of the flagged pages. Null, empty and blank texts, and rows with a null id, are never flagged. Ids must
-    be unique; other columns are not read. ``common`` are function words of the languages expected (a short list; words
-    that are no plain letters are ignored)."""
-    shapes = line_shapes(pages, id_col, text_col, [w for w in common if w and w.isalpha()])
-    repeated = (F.col("kind") == "phrase") & (F.col("lines") >= 5) & ((F.col("starts") <= 0.5 * F.col("lines")) | (F.col("heads") <= 0.34 * F.col("lines")))
-    piled = F.col("kind").isin("links", "tags", "keywords") | repeated
-    page = shapes.groupBy("id").agg(
-        F.sum("chars").alias("chars"),
-        F.sum(F.when(piled, F.col("chars")).otherwise(0)).alias("piled"),
-        F.count(F.when(piled, 1)).alias("shapes"),
-    )
-    out = page.filter(F.col("piled") > share * F.col("chars"))
-    return out.select(F.col("id").alias(id_col), (F.col("piled") / F.col("chars")).alias("piled_share"), "shapes")
+    """(id, ``piled_share``, ``shapes``) of the flagged pages, ``shapes`` being the number of piled groups. Null, empty and
+    blank texts, and rows with a null id, are never flagged. Other columns are not read; rows that repeat an id are judged
+    each for itself. ``common`` are function words of the languages expected (a short list)."""
+    frequent = frozenset(w.lower() for w in common if w)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, held / chars, n) for i, text in enumerate(batch.column(1).to_pylist()) for chars, held, n in (page_shares(text, frequent),) if held > share * chars]
+            rows, shares, counts = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(shares, pa.float64()), pa.array(counts, pa.int64())], [id_col, "piled_share", "shapes"])
+
+    kind = pages.schema[id_col].dataType.simpleString()
+    return pages.select(id_col, text_col).filter(pages[id_col].isNotNull()).mapInArrow(judge, f"`{id_col}` {kind}, piled_share double, shapes long")

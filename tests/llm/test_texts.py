@@ -213,11 +213,21 @@ def test_piled_lines_of_many_shapes(spark):
     assert found["doc_id"] == 1 and found["shapes"] > 15
 
 
-def test_repeated_phrases_are_counted_exactly(spark):
+def test_repeated_phrases_are_counted_exactly():
     names = ["".join(p) for p in itertools.product("bdfgk", "aeiou", "lmnrst", "aeiou")]
-    rows = [(n, "\n".join(f"{names[k % n]} pump" for k in range(2 * n))) for n in range(50, 400, 25)]
-    shapes = stuffing.line_shapes(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", COMMON)
-    assert [(r["id"], r["lines"], r["starts"], r["heads"]) for r in shapes.orderBy("id").collect()] == [(n, 2 * n, n, n) for n, _ in rows]
+    for n in range(50, 400, 25):
+        [(shape, g)] = stuffing.shapes("\n".join(f"{names[k % n]} pump" for k in range(2 * n)), frozenset(COMMON)).items()
+        assert shape == ("phrase",) and (g.lines, len(g.starts), len(g.heads)) == (2 * n, n, n) and stuffing.piled(shape, g)
+        g.starts.add("one more")
+        assert not stuffing.piled(shape, g)
+
+
+def test_the_shape_and_what_its_lines_repeat_decide():
+    row = "pump valve, meter shelf, boiler gauge, lamp cable, desk chair, floor tile, roof beam"
+    judged = lambda text: [(s[0], stuffing.piled(s, g)) for s, g in stuffing.shapes(text, frozenset(COMMON)).items()]
+    assert judged(row) == [("", False)] and judged("\n".join([row] * 3)) == [("", True)]  # one group, the same units again
+    assert judged("\n".join("- " + row for _ in range(3))) == [("bullet", False)]
+    assert judged(PROSE) == [("", False)] and judged(PROSE + "\n" + row + "\n" + row)[1:] == [("", True)]
 
 
 DATA = "/root/testdata/sf0.001"
