@@ -1,117 +1,171 @@
 """Text statistics per document, and an ordered rule list that tells prose from lists, tables and junk.
 
-The statistics are built-in column expressions (words, mean word length, symbols, line endings, common words, and the
-shares of characters in lines that look like cells, like items, or like nothing readable). Rules over them are induced
-on labelled documents by incremental reduced-error pruning: a rule is grown on two thirds of the labels, pruned on the
-rest, kept while it is right more often than not there, and its documents are removed. The learned thresholds are
-exported as one SQL CASE expression and applied natively to every document.
+The statistics (words, mean word length, symbols, line endings, common words, and the shares of characters in lines that
+look like cells, like items, or like nothing readable) are made in one pass over the texts; what a word adds to them is
+looked up, so patterns run once for each different word. Rules over all of them are induced on labelled documents by
+incremental reduced-error pruning: a rule is grown on two thirds of the labels, pruned on the rest, kept while it is right
+more often than not there, and its documents are removed. The labels of all kinds but prose are pooled: the rules tell
+prose from the rest, and the rest's kind is the one with the largest share. So a handful of labels of any kind is enough,
+and the same is done at every size. The learned thresholds are exported as one SQL CASE expression and applied natively.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[\p{L}][\p{L}\p{M}'’-]*"
-JUNK = "|".join(
-    [
-        r"(?<!\S)\S*?(?:[�□▒█¤¶]|Ã[\u0080-¿]|â€)\S*",  # wrong decoding
-        r"<[^<>\n]{1,80}>|&nbsp;|(?<!\S)(?:NaN|undefined)(?!\S)|(?<=>)(?:NaN|undefined)(?=<)",  # empty markup
-        r"0x[0-9a-fA-F]+|(?<!\S)(?=\S*[0-9])(?=\S*[a-f])[0-9a-f]{6,}(?!\S)|(?<!\S)[0-9a-f]{8,}(?!\S)|(?<!\S)\.[&!?%][0-9a-f]{2,}",  # dumps
-        r"(?<!\S)(?=\S*[a-z])(?=\S*[A-Z])(?=\S*[0-9])[A-Za-z0-9+/=_-]{24,}(?!\S)",  # encoded data
-        r"(?<!\S)([^\s.])\1{2,}(?!\S)",  # one character again and again
-        r"(?<!\S)(?!\.+(?!\S))[^\p{L}\p{N}\s]{2,}(?!\S)|(?<!\S)[~^<>=*_+\\{}\[\]§$%&#@](?!\S)",  # symbols alone
-        r"(?<!\S)[\p{L}]*[~^<>=*_+\\{}\[\]§$%&#]{2,}\S*|(?<!\S)(?!https?://|www\.)\S*?[~^\\{}§$%&]\S*",
-        r"(?<![\p{L}\p{N}'’])[bcdfghjklmnpqrstvwxz]{2,}(?![\p{L}\p{N}.'’])",  # no vowel
-    ]
-)
-BULLET = r"^\s*(?:[-*•–]\s|\(?\w{1,3}[.)]\s|\d+(?:\.\d+)+\.?\s)"
-LEADER = r"\.{4,}\s*\d*\s*$"
-CELL = r"(?U)(?<!\S)(?:\p{Lu}?\p{N}[\p{N}.,]*%?|n/a|-|yes|no|ok)(?!\S)"
-
-
-def _solid(line: Column) -> Column:
-    return F.length(F.regexp_replace(line, r"(?U)\s+", ""))
-
-
-def _table(line: Column) -> Column:
-    tokens = F.regexp_count(line, F.lit(r"(?U)\S+"))
-    ends = line.rlike(r"[.!?]\s*$")
-    cells = F.regexp_count(line, F.lit(CELL))
-    return (
-        line.rlike(r"^\s*\|.*\|")
-        | line.rlike(r"\S\t+\S")
-        | (line.rlike(r"^[^;]*;[^;]*;") & (line.rlike(r";;|\S;\S.*\S;\S") | line.rlike(r";\s*$")) & (F.regexp_count(line, F.lit("; ")) < 3))
-        | ((F.regexp_count(line, F.lit(r"(?<=\S) {2,}(?=\S)")) >= 2) & ~ends & (tokens <= 14))
-        | (line.rlike(r"\S {3,}\S") & ~ends & (tokens <= 8))
-        | ((cells >= 0.4 * tokens) & (tokens >= 2) & ~ends & ~line.rlike(BULLET))
+WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f'’-])*")
+#: What makes a word of visible characters, or a part of it, unreadable.
+JUNK = re.compile(
+    "|".join(
+        [
+            r"^\S*?(?:[�□▒█¤¶]|Ã[\u0080-¿]|â€)\S*",  # wrong decoding
+            r"&nbsp;|^(?:NaN|undefined)$",  # empty markup
+            r"0x[0-9a-fA-F]+|^(?=\S*[0-9])(?=\S*[a-f])[0-9a-f]{6,}$|^[0-9a-f]{8,}$|^\.[&!?%][0-9a-f]{2,}",  # dumps
+            r"^(?=\S*[a-z])(?=\S*[A-Z])(?=\S*[0-9])[A-Za-z0-9+/=_-]{24,}$",  # encoded data
+            r"^([^\s.])\1{2,}$",  # one character again and again
+            r"^(?!\.+$)[\W_]{2,}$|^[~^<>=*_+\\{}\[\]§$%&#@]$",  # symbols alone
+            r"^[^\W\d_]*[~^<>=*_+\\{}\[\]§$%&#]{2,}\S*|^(?!https?://|www\.)\S*?[~^\\{}§$%&]\S*",
+            r"(?<![\w'’])[bcdfghjklmnpqrstvwxz]{2,}(?![\w.'’])",  # no vowel
+        ]
     )
-
-
-def _item(line: Column) -> Column:
-    words = F.regexp_count(line, F.lit(WORD))
-    ends = line.rlike(r"[.!?][\"')\]]*\s*$")
-    units = F.regexp_count(line, F.lit(r";\s"))
+)
+TAG = re.compile(r"<[^<>\n]{1,80}>")
+BULLET = re.compile(r"\s*(?:[-*•–]\s|\(?\w{1,3}[.)]\s|\d+(?:\.\d+)+\.?\s)")
+LEADER = re.compile(r"\.{4,}\s*\d*\s*$")
+CELL = re.compile(r"(?:[^\W\d_]?\d[\d.,]*%?|n/a|-|yes|no|ok)$")
+LINE = re.compile(r"\r\n|[\n\r]")
+ENDED = re.compile(r"[.!?][\"')\]]*\s*$")
+CLOSED = re.compile(r"[.!?:;…][\"')\]»]*[ \t\r]*$")
+LONG = 100  # visible characters in a row from which a string is long
+STATISTICS = ["chars", "words", "mean_word_length", "symbol_ratio", "digit_ratio", "ended_lines", "common_words", "junk_share", "table_share", "list_share", "prose_share"]
+
+
+class Tokens(dict):
+    """For a run of visible characters: (its unreadable characters, whether it fills a cell, words, letters, digits, common
+    words). Kept for the next place that has it; emptied when it grows beyond ``LIMIT``."""
+
+    LIMIT = 300_000
+
+    def __init__(self, common: frozenset[str]):
+        super().__init__()
+        self.common = common
+
+    def __missing__(self, token: str) -> tuple[int, bool, int, int, int, int]:
+        words = WORD.findall(token)
+        made = (
+            len(token) - len(JUNK.sub("", token)),
+            bool(CELL.match(token)),
+            len(words),
+            sum(c.isalpha() for c in token),
+            sum(c.isnumeric() for c in token),
+            sum(w.lower() in self.common for w in re.findall(r"[^\W\d_]+", token)),
+        )
+        if len(token) > LONG:
+            return made
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[token] = made
+        return made
+
+
+def _is_table(line: str, tokens: list[str], cells: int) -> bool:
+    n = len(tokens)
+    if line.lstrip().startswith("|") and line.count("|") > 1 or "\t" in line.strip():
+        return True
+    if line.count(";") >= 2 and line.count("; ") < 3 and (";;" in line or re.search(r"\S;\S.*\S;\S", line) or re.search(r";\s*$", line)):
+        return True
+    if ENDED.search(line):
+        return False
+    if "  " in line and ((n <= 14 and len(re.findall(r"(?<=\S) {2,}(?=\S)", line)) >= 2) or (n <= 8 and re.search(r"\S {3,}\S", line))):
+        return True
+    return n >= 2 and cells >= 0.4 * n and not BULLET.match(line)
+
+
+def _is_item(line: str, words: int) -> bool:
+    if "...." in line and LEADER.search(line):
+        return True
+    if BULLET.match(line) and not (words >= 6 and ENDED.search(line)):
+        return True
+    units = len(re.findall(r";\s", line))
+    if units >= 3 and words <= 6 * (units + 1):
+        return True
+    first = line.lstrip()[:1]
+    return words <= 6 and len(line) <= 42 and (first.isupper() or first.isnumeric() or first == "(") and not re.search(r"[.!?,]\s*$|[^\W\d_][-‐­]\s*$", line)
+
+
+def statistics(text: str | None, known: Tokens) -> tuple:
+    """The ``STATISTICS`` of a text; 0 for null, empty and blank ones.
+
+    Shares are of the visible characters in lines of a kind. Both numbers are of whole strings but for a page's only string
+    of ``LONG`` characters or more, which weighs as a long word of 80 in the shares."""
+    kinds, chars, words, letters, digits, common, ended, lines = [0, 0, 0, 0], 0, 0, 0, 0, 0, 0, 0
+    single = bool(text) and len(text) >= LONG and sum(len(t) >= LONG for t in text.split()) == 1
+    for line in LINE.split(text or ""):
+        tokens = line.split()
+        if not tokens:
+            continue
+        lines += 1
+        whole = sum(map(len, tokens))
+        chars += whole
+        junk, cut = 0, None
+        long = next((t for t in tokens if len(t) >= LONG), None) if single and whole >= LONG else None
+        if long:  # all of it counts for the numbers, its start for the shares
+            _, _, w, n, d, c = known[long]
+            words, letters, digits, common, whole = words + w, letters + n, digits + d, common + c, whole - len(long) + 80
+            line = line.replace(long, long[:80])
+            at = tokens.index(long)
+            tokens = line.split()
+            cut = tokens[at]
+        seen = tokens
+        if "<" in line and ">" in line:
+            bare = TAG.sub(" ", line)
+            seen = bare.split()
+            junk = whole - sum(map(len, seen))
+        own_words = cells = 0
+        for t in tokens:
+            j, cell, w, n, d, c = known[t]
+            own_words += w
+            cells += cell
+            if t is not cut:
+                words, letters, digits, common = words + w, letters + n, digits + d, common + c
+            if seen is tokens:
+                junk += j
+        if seen is not tokens:
+            junk += sum(known[t][0] for t in seen)
+        if CLOSED.search(line):
+            ended += 1
+        kinds[1 if junk >= 0.5 * whole else 2 if _is_table(line, tokens, cells) else 3 if _is_item(line, own_words) else 0] += whole
+    counted = max(1, sum(kinds))
+    symbols = chars - letters - digits
     return (
-        line.rlike(LEADER)
-        | (line.rlike(BULLET) & ~(ends & (words >= 6)))
-        | ((units >= 3) & (words / (units + 1) <= 6))
-        | ((words <= 6) & (F.length(line) <= 42) & ~line.rlike(r"[.!?,]\s*$|\p{L}[-‐­]\s*$") & line.rlike(r"^\s*(?:\p{Lu}|\p{N}|\()"))
-    )
-
-
-def line_shares(text: Column, single: Column) -> dict[str, Column]:
-    """For each line its visible characters, those that count for the shares of junk, cells and items, and its kind; the
-    rest reads as prose. Both numbers differ where ``single`` says that a page has one long string or link: it counts as
-    no more than a long word."""
-    lines = F.filter(F.split(text, r"\r\n|[\n\r]"), lambda x: x.rlike(r"(?U)\S"))
-
-    def measure(whole: Column) -> Column:
-        line = F.when(single, F.regexp_replace(whole, r"(?<!\S)(\S{80})\S{20,}", "$1")).otherwise(whole)
-        solid = _solid(line)
-        junk = solid - _solid(F.regexp_replace(line, JUNK, " "))
-        kind = F.when(junk >= 0.5 * solid, 1).when(_table(line), 2).when(_item(line), 3).otherwise(0)
-        return F.struct(solid.alias("n"), kind.alias("kind"), F.when(single, _solid(whole)).otherwise(solid).alias("whole"))
-
-    return {"lines": F.transform(lines, measure)}
+        chars, words, letters / max(1, words), symbols / max(1, chars), digits / max(1, chars), ended / max(1, lines), common / max(1, words),
+        kinds[1] / counted, kinds[2] / counted, kinds[3] / counted, kinds[0] / counted,
+    )
 
 
 def with_statistics(pages: DataFrame, text_col: str, common: list[str], prefix: str = "") -> DataFrame:
-    """``pages`` with one column for each statistic, under ``prefix`` so that no name clashes.
+    """``pages`` with one column for each statistic, under ``prefix`` so that no name clashes, in one pass over the texts.
 
-    Null, empty and blank texts have counts of 0 and ratios of 0. ``common`` are the frequent words of the languages.
+    ``common`` are the frequent words of the languages (a short list).
     """
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    frequent = r"(?iuU)(?<![\p{L}\p{N}])(?:" + "|".join(sorted(w for w in common if w.isalpha())) + r")(?![\p{L}\p{N}])"
-    ratio = lambda a, b: a.cast("double") / F.greatest(b, F.lit(1))
+    frequent = frozenset(w.lower() for w in common if w and w.isalpha())
+
+    @F.pandas_udf("struct<" + ",".join(f"{k}:{'long' if k in ('chars', 'words') else 'double'}" for k in STATISTICS) + ">")
+    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = Tokens(frequent)
+        for texts in batches:
+            yield pd.DataFrame([statistics(t, known) for t in texts], columns=STATISTICS)
+
     # explode() of one element computes a value once; without it a filter on the result would be pushed down with all of it
-    once = lambda value: F.explode(F.array(value))
-    made = pages.withColumn("_single", once(F.regexp_count(t, F.lit(r"(?<!\S)\S{100}")) == 1))
-    made = made.withColumn("_lines", once(line_shares(t, F.col("_single"))["lines"]))
-    chars = F.aggregate("_lines", F.lit(0), lambda a, x: a + x["whole"])
-    counted = F.aggregate("_lines", F.lit(0), lambda a, x: a + x["n"])
-    part = lambda k: F.aggregate(F.filter("_lines", lambda x: x["kind"] == k), F.lit(0), lambda a, x: a + x["n"])
-    words = F.regexp_count(t, F.lit(WORD))
-    made = made.withColumn("_c", once(F.struct(chars.alias("chars"), counted.alias("counted"), words.alias("words"), F.size("_lines").alias("n"))))
-    made = made.withColumns({"_chars": F.col("_c.chars"), "_counted": F.col("_c.counted"), "_words": F.col("_c.words"), "_n": F.col("_c.n")})
-    out = {
-        "chars": F.col("_chars"),
-        "words": F.col("_words"),
-        "mean_word_length": ratio(F.length(F.regexp_replace(t, r"[^\p{L}]+", "")), F.col("_words")),
-        "symbol_ratio": ratio(F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s]+", "")), F.col("_chars")),
-        "digit_ratio": ratio(F.length(F.regexp_replace(t, r"[^\p{N}]+", "")), F.col("_chars")),
-        "ended_lines": ratio(F.regexp_count(t, F.lit(r"(?m)[.!?:;…][\"')\]»]*[ \t\r]*$")), F.col("_n")),
-        "common_words": ratio(F.regexp_count(t, F.lit(frequent)), F.col("_words")),
-        "junk_share": ratio(part(1), F.col("_counted")),
-        "table_share": ratio(part(2), F.col("_counted")),
-        "list_share": ratio(part(3), F.col("_counted")),
-        "prose_share": ratio(part(0), F.col("_counted")),
-    }
-    made = made.withColumn("_s", once(F.struct(*[v.alias(k) for k, v in out.items()])))
-    return made.withColumns({prefix + k: F.col(f"_s.{k}") for k in out}).drop("_single", "_lines", "_chars", "_counted", "_words", "_n", "_c", "_s")
+    made = pages.withColumn("_s", F.explode(F.array(measure(F.col(text_col)))))
+    return made.withColumns({prefix + k: F.col(f"_s.{k}") for k in STATISTICS}).drop("_s")
 
 
 #: Statistics that rules may use.
@@ -164,9 +218,8 @@ def _best_condition(x: dict[str, np.ndarray], y: np.ndarray, slack: float = 0.9)
     return max((f for f in found if f[0] >= slack * top), key=lambda f: (f[1], f[0]))[2]
 
 
-def induce(x: dict[str, np.ndarray], labels: np.ndarray, default: str, plain: tuple[str, ...] = (), seed: int = 5, most_rules: int = 8) -> list[Rule]:
-    """Ordered rules for every label but the default, rarest label first. A label of ``plain`` that has too few
-    documents to induce a rule from gets the plain one: half of the characters in lines of its kind."""
+def induce(x: dict[str, np.ndarray], labels: np.ndarray, default: str, seed: int = 5, most_rules: int = 8) -> list[Rule]:
+    """Ordered rules for every label but the default, rarest label first."""
     rng = np.random.default_rng(seed)
     names, counts = np.unique(labels, return_counts=True)
     left = np.ones(len(labels), dtype=bool)
@@ -204,14 +257,17 @@ def induce(x: dict[str, np.ndarray], labels: np.ndarray, default: str, plain: tu
                 break
             rules.append(rule)
             left &= ~rule.covers(x)
-    made = {r.label for r in rules}
-    return rules + [Rule(((f"{k}_share", ">=", 0.5),), k) for k in plain if k not in made]
+    return rules
 
 
-def case_expression(rules: list[Rule], default: str, prefix: str = "") -> str:
+def case_expression(rules: list[Rule], default: str, kinds: tuple[str, ...], prefix: str = "") -> str:
+    """The rules as one CASE expression; where one covers a document, its kind is the first of ``kinds`` with the largest share."""
     if not rules:
         return f"'{default}'"
-    return "CASE " + " ".join(f"WHEN {r.sql(prefix)} THEN '{r.label}'" for r in rules) + f" ELSE '{default}' END"
+    shares = [f"`{prefix}{k}_share`" for k in kinds]
+    largest = " ".join(f"WHEN {s} >= greatest({', '.join(shares)}) THEN '{k}'" for s, k in zip(shares, kinds)) if len(kinds) > 1 else ""
+    kind = f"CASE {largest} END" if largest else f"'{kinds[0]}'"
+    return "CASE " + " ".join(f"WHEN {r.sql(prefix)} THEN {kind if r.label != default else repr(default)}" for r in rules) + f" ELSE '{default}' END"
 
 
 def labelled(labels: DataFrame, item_col: str, label_col: str, kinds: list[str], most: int) -> DataFrame:
@@ -224,16 +280,29 @@ def labelled(labels: DataFrame, item_col: str, label_col: str, kinds: list[str],
     return best.select("item", F.col("top.label").alias("label")).orderBy(F.xxhash64("item"), "item").limit(most)
 
 
-def classify(pages: DataFrame, id_col: str, text_col: str, labels: DataFrame, common: list[str], default: str = "prose", kinds: tuple[str, ...] = ("prose", "list", "table", "junk"), most_labels: int = 20_000) -> tuple[DataFrame, list[Rule]]:
+OTHER = "other"
+
+
+def classify(pages: DataFrame, id_col: str, text_col: str, labels: DataFrame, common: list[str], default: str = "prose", kinds: tuple[str, ...] = ("junk", "table", "list"), most_labels: int = 20_000) -> tuple[DataFrame, list[Rule]]:
     """(pages with their statistics under ``stat_`` and ``kind``, the rules).
 
     ``labels(item_col='item_id', 'label')`` are used up to ``most_labels`` items (the bound of what is collected and
-    broadcast). Pages without visible text have a null kind. Without usable labels the plain rules of ``induce`` decide.
+    broadcast). Pages without visible text have a null kind. Without usable labels nothing is told from the default.
     """
     made = with_statistics(pages, text_col, common, "stat_")
-    known = F.broadcast(labelled(labels, "item_id", "label", list(kinds), most_labels))
+    known = F.broadcast(labelled(labels, "item_id", "label", [default, *kinds], most_labels))
     seen = pages.select(F.col(id_col).alias("item"), F.col(text_col).alias("_text")).join(known, "item").dropDuplicates(["item"])
-    rows = with_statistics(seen, "_text", common).filter("chars > 0").orderBy("item").select("label", *FEATURES).toPandas()
-    rules = induce({k: rows[k].to_numpy(dtype=float) for k in FEATURES}, rows["label"].to_numpy(dtype=object).astype(str), default, tuple(k for k in kinds if k != default))
-    kind = F.when(F.col("stat_chars") > 0, F.expr(case_expression(rules, default, "stat_")))
+    rows = with_statistics(seen, "_text", common).filter("chars > 0").select("item", "label", *FEATURES).toPandas().sort_values("item")
+    pooled = np.where(rows["label"].to_numpy(dtype=object) == default, default, OTHER).astype(str)
+    rules = induce({k: rows[k].to_numpy(dtype=float) for k in FEATURES}, pooled, default)
+    kind = F.when(F.col("stat_chars") > 0, F.expr(case_expression(rules, default, kinds, "stat_")))
     return made.withColumn("kind", kind), rules
+
+
+def as_metadata(pages: DataFrame, metadata_col: str = "metadata") -> DataFrame:
+    """``pages`` with their ``stat_`` columns and ``kind`` as values of a map of texts; earlier values of these keys go."""
+    names = [c for c in pages.columns if c.startswith("stat_")]
+    old = F.coalesce(F.map_filter(metadata_col, lambda k, _: ~k.startswith("stat_")), F.create_map().cast("map<string,string>"))
+    text = lambda c: (F.round(c, 6) if c != "stat_chars" and c != "stat_words" and c != "kind" else F.col(c)).cast("string")
+    more = F.map_from_arrays(F.array(*[F.lit(n) for n in names], F.lit("stat_kind")), F.array(*[text(n) for n in names], text("kind")))
+    return pages.withColumn(metadata_col, F.map_concat(old, more)).drop(*names)

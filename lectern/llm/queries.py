@@ -64,16 +64,20 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii_spans.redacted(texts, pii_spans.find(texts, _given_names(spark, d)))
 
 
-def p5_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Text statistics and kind of every page."""
+def _judged_pages(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "review_labels").filter("tab = 'loaded_pages'")
-    pages = table(spark, d, "loaded_pages").select("rec_id", "page_content")
+    pages = table(spark, d, "loaded_pages").select("rec_id", "page_content", "metadata")
     return quality_rules.classify(pages, "rec_id", "page_content", labels, _words(spark, d, "common"))[0].drop("page_content")
 
 
+def p5_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every page's metadata with its text statistics and kind."""
+    return quality_rules.as_metadata(_judged_pages(spark, d)).select("rec_id", "metadata", "kind")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pages most of whose text is not prose."""
-    return p5_pages(spark, d).filter("kind <> 'prose'").select("rec_id", "kind")
+    return _judged_pages(spark, d).filter("kind <> 'prose'").select("rec_id", "kind")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -96,25 +96,48 @@ KINDS = {
 }
 
 
-def test_plain_rules_tell_the_kinds(spark):
+def labelled_pages(n=3):
+    """The pages of KINDS, each with ``n`` labelled copies, and labels that call some of them otherwise."""
+    known = [(1000 + 100 * c + i, t, k) for c in range(n) for i, (k, t) in enumerate((k, t) for k, ts in KINDS.items() for t in ts)]
+    return known, [(i, k.upper() if i % 3 else f" {k} ") for i, _, k in known] + [(1000, "junk"), (None, "list"), (1, None)]
+
+
+@pytest.mark.parametrize("copies", [1, 3])
+def test_rules_tell_the_kinds(spark, copies):
     rows = [(i, t, k) for i, (k, t) in enumerate((k, t) for k, ts in KINDS.items() for t in ts)] + [(90, None, None), (91, "", None), (92, " \n", None)]
-    df = spark.createDataFrame(rows, "rec_id long, page_content string, want string").withColumn("words", F.lit("clash"))
-    labels = spark.createDataFrame([], "item_id long, label string")
-    out, rules = quality_rules.classify(df, "rec_id", "page_content", labels, COMMON)
-    assert len(rules) == 3
+    known, labels = labelled_pages(copies)
+    df = spark.createDataFrame(rows + known, "rec_id long, page_content string, want string").withColumns({"words": F.lit("clash"), "metadata": F.create_map(F.lit("page"), F.lit("3"), F.lit("stat_words"), F.lit("old"))})
+    out, rules = quality_rules.classify(df, "rec_id", "page_content", spark.createDataFrame(labels, "item_id long, label string"), COMMON)
+    assert rules and all(r.label == "other" for r in rules)
     for r in out.collect():
         assert r["kind"] == r["want"] and r["words"] == "clash", r["page_content"]
+    for r in quality_rules.as_metadata(out).filter("rec_id < 1000").collect():
+        assert r["metadata"]["page"] == "3" and r["metadata"]["stat_kind"] == r["want"] and r["metadata"]["stat_words"] != "old" and "stat_words" not in r.asDict()
+    none, rules = quality_rules.classify(df.filter("rec_id < 90"), "rec_id", "page_content", spark.createDataFrame([], "item_id long, label string"), COMMON)
+    assert not rules and {r["kind"] for r in none.collect()} == {"prose"}
+    assert quality_rules.classify(df.limit(0), "rec_id", "page_content", spark.createDataFrame(labels, "item_id long, label string"), COMMON)[0].count() == 0
+
+
+def test_rules_use_other_statistics_where_these_tell_more():
+    rng = np.random.default_rng(3)
+    y = np.where(rng.random(600) < 0.3, "other", "prose")
+    x = {k: rng.random(600) for k in quality_rules.FEATURES}
+    x["mean_word_length"] = np.where(y == "other", 9 + rng.random(600), 4 + rng.random(600))
+    x["common_words"] = np.where(y == "other", 0.1, 0.4) + 0.05 * rng.random(600)
+    rules = quality_rules.induce(x, y.astype(str), "prose")
+    assert {c[0] for r in rules for c in r.conditions} <= {"mean_word_length", "common_words"}
 
 
 def test_only_a_single_long_string_is_shortened(spark):
     blobs = ["".join(random.Random(k).choices("abcdefXYZ0123456789", k=4000)) for k in range(2)]
-    rows = [(1, "\n".join([PROSE] * 3 + blobs)), (2, "\n".join([PROSE] * 3 + blobs[:1])), (3, PROSE + " " + "#/" * 900)]
-    df = spark.createDataFrame(rows, "rec_id long, page_content string")
-    out = quality_rules.classify(df, "rec_id", "page_content", spark.createDataFrame([], "item_id long, label string"), COMMON)[0]
+    rows = [(1, "\n".join([PROSE] * 3 + blobs)), (2, "\n".join([PROSE] * 3 + blobs[:1])), (3, PROSE + " " + "#/" * 900), (4, "see " + "z" * 80 + " and " + "https://a.example/" + "y" * 200)]
+    known, labels = labelled_pages()
+    df = spark.createDataFrame(rows + [k[:2] for k in known], "rec_id long, page_content string")
+    out = quality_rules.classify(df, "rec_id", "page_content", spark.createDataFrame(labels, "item_id long, label string"), COMMON)[0]
     got = {r["rec_id"]: r for r in out.collect()}
     assert [got[k]["kind"] for k in (1, 2)] == ["junk", "prose"]
     for k, text in rows:
-        assert got[k]["stat_chars"] == len("".join(text.split())) and got[k]["stat_symbol_ratio"] <= 1 and got[k]["stat_digit_ratio"] <= 1
+        assert got[k]["stat_chars"] == len("".join(text.split())) and 0 <= got[k]["stat_symbol_ratio"] <= 1 and got[k]["stat_digit_ratio"] <= 1
         assert abs(sum(got[k][f"stat_{n}_share"] for n in ("junk", "table", "list", "prose")) - 1) < 1e-9
 
 
@@ -130,7 +153,7 @@ def test_rules_are_learned_from_noisy_labels():
     for rule in reversed(rules):
         out[rule.covers({k: v[600:] for k, v in x.items()})] = rule.label
     assert (out == y[600:]).mean() > 0.93
-    assert quality_rules.case_expression(rules, "prose").startswith("CASE WHEN `")
+    assert quality_rules.case_expression(rules, "prose", ("list",)).startswith("CASE WHEN `") and quality_rules.case_expression([], "prose", ("list",)) == "'prose'"
 
 
 def test_votes_of_reviewers(spark):
