@@ -102,24 +102,27 @@ ADDRESSES = [
 ]
 TOWN = re.compile(r"^[\s,]*(?:\d{1,2}\.?º\s?\w?,\s*)?(?:(?i:apt|flat|unit)\.?\s\w{1,4},\s*)?(?:\d{4,5}\s)?[A-ZÀ-ÖØ-Þ]\w+")
 POSTCODE = re.compile(r"\b\d{5}\s[A-ZÀ-Þ]\w+|\b[A-Z]{1,2}\d{1,2}[A-Z]?\s\d[A-Z]{2}\b|\b[A-Z]{2}\s\d{5}\b")
-AFTER_STREET = re.compile(r"^\s(?:workshop|depot|refurbishment|project|site|terminal|annex|portal|module)\b")
+#: A street's name before a common noun names something else; common nouns are told from function words (fixed values).
+AFTER_STREET = re.compile(r"^\s(?!(?:and|are|as|at|but|by|for|from|has|have|if|in|into|is|near|next|of|off|on|onto|opposite|or|since|than|that|the|then|to|until|was|were|when|where|while|who|will|with|and|und|ist|oder|mit|bei|et|ou|est|avec|près|y|o|es|con|cerca)\b)[a-z]{3,}")
 RUN = re.compile(r"(?<![\w@.+'’/-])[A-ZÀ-ÖØ-Þ](?:[\w'’]*(?:-[A-ZÀ-ÖØ-Þ][\w'’]*)*|\.)\.?(?:,?\s(?:(?:van der|van den|van|von|de la|de|del|der|da|di|el|al|bin|ter|ten|la|le)\s){0,1}[A-ZÀ-ÖØ-Þ](?:[\w'’]*(?:-[A-ZÀ-ÖØ-Þ][\w'’]*)*)\.?)+(?![\w@+])")
 PARTICLE = re.compile(r"^(?:(?:van der|van den|van|von|de la|de|del|der|da|di|el|al|bin|ter|ten|la|le)\s)+", re.I)
 WORD_IN_RUN = re.compile(r"(?:(?:van der|van den|van|von|de la|de|del|der|da|di|el|al|bin|ter|ten|la|le|VAN DER|VAN DEN|VAN|VON|DE LA|DEL|DER)\s)?[A-ZÀ-ÖØ-Þ][\w'’]*(?:-[A-ZÀ-ÖØ-Þ][\w'’]*)*|,(?:\s*\n)?")
 
 PHONE_FORMAT = re.compile(
-    r"^(?:(?:\+|00)\s?\d{1,3}[\s./-]?(?:\(0?\d*\)[\s./-]?)?\d[\d\s./–-]{6,14}|\(0?\d{2,5}\)[\s./-]?\d[\d\s./–-]{5,10}|0\d{1,4}[\s./–-]?\d[\d\s./–-]{5,10}|1[-.\s]\d{3}[-.\s]\d{3}[-.\s]\d{4}|\d{3}[-.\s]\d{3}[-.\s–]\d{4})$"
+    r"^(?:(?:\+|00)\s?\d{1,3}[\s./-]?(?:\(0?\d*\)[\s./-]?)?\d[\d\s./–-]{6,14}|\(0?\d{2,5}\)[\s./-]?\d[\d\s./–-]{5,10}|0\d{1,4}[\s./–-]?\d[\d\s./–-]{5,10}|1[-–.\s]\d{3}[-–.\s]\d{3}[-–.\s]\d{4}|\d{3}[-–.\s]\d{3}[-.\s–]\d{4})$"
 )
 ID_FORMAT = re.compile(
-    r"^(?:\d{5}[- ]\d{7}[- ]\d|\d{13}|\d{3}[- ]\d{2}[- ]\d{4}|\d{8}[- ]?[A-Z]|[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]|[A-Z]{2}\d{6}[A-D]|[0-3]\s\d{2}\s\d{2}\s\d{2}\s\d{3}\s\d{3}(?:\s\d{2})?|[0-3]\d{12}(?:\d{2})?|\d{2}\s\d{3}\s\d{3}\s\d{3}|\d{11}|[A-Z]{2}\s?\d{3}\s?\d{4}|[A-Z]\d{8}|[A-Z]{2}\d{7}|IC/\d{4}/\d{5})$"
+    r"^(?:\d{5}[- ]\d{7}[- ]\d|\d{13}|\d{3}[- ]\d{2}[- ]\d{4}|\d{8}[- ]?[A-Z]|[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]|[A-Z]{2}\d{6}[A-D]|[0-3]\s\d{2}\s\d{2}\s\d{2}\s\d{3}\s\d{3}(?:\s\d{2})?|[0-3]\d{12}(?:\d{2})?|\d{2}\s\d{3}\s\d{3}\s\d{3}|\d{11}|[A-Z]{2}\s?\d{3}\s?\d{4}|[A-Z]\d{8}|[A-Z]{2}\d{7}|[A-Z]{2}/\d{4}/\d{5})$"
 )
+#: Groups of digits that no phone number has.
+ID_GROUPS = re.compile(r"^(?:\d{5}-\d{7}-\d|\d{3}-\d{2}-\d{4})$")
 _E = r"[\s:.#°º]*$"
-PHONE_CUE = re.compile(r"(?:tel|tél|telefon|teléfono|téléphone|phone|mobil|móvil|mobile|mob|cell|fax|call|ring|dial|hotline is|text me on|me on|reach me (?:on|at)|rückruf unter|unter der|appeler le|appelez le|rappeler au|au numéro|joindre au|llame al|llamar al|atiende en el|en el|number is|numéro|nummer)" + _E, re.I)
-ID_CUE = re.compile(r"(?:passport(?: no)?|passeport(?: n)?|reisepass|pasaporte|identity card(?: no)?|cnic(?: no)?|ssn|social security(?: number)?|sécurité sociale|seguridad social|national insurance(?: number)?|ni no|nin|dni|nie|nif|steuer-?\s?id|steuernummer|personalausweis|ausweis(?:nummer)?|id(?: number| no| on file)?|licen[cs]e no|driving licen[cs]e|card no|holder of|under|the copy shows|quote|nir|n°|numéro|tax id|holder|file)" + _E, re.I)
-AGAINST_CUE = re.compile(r"(?:order|part|ticket|invoice|batch|version|port|gateway at|serial|sku|item|case|contract|ref(?:erence)?|stock|rechnung|bestellung|facture|commande|factura|pedido|lote|lot|model|form|build|release|iso|din|article|isbn|account|use part|use|dated|on|at|to version|replaced order|ends on|cost)" + _E, re.I)
-ADDRESS_CUE = re.compile(r"(?:address|adresse|anschrift|dirección|domicilio|lives at|living at|lives in|deliver to|livrer au|entregar en|liefern an|lieferung an|moved to|go to|going to|keys go to|wohnt|wohnt in|habite|habite au|vive en|based at|sent to|send to|ship to|résidence|umgezogen nach|zog nach|zog in|a déménagé au|se mudó a|home address|in|at|en|au|an)[\s:(]*$", re.I)
+PHONE_CUE = re.compile(r"(?:tel|tél|telefon|teléfono|téléphone|phone|mobil|móvil|mobile|mob|cell|fax|call|ring|dial|hotline(?: is)?|reach (?:me|us) (?:on|at)|rückruf unter|appeler le|appelez le|rappeler au|au numéro|joindre au|llame al|llamar al|number is|numéro|nummer)" + _E, re.I)
+ID_CUE = re.compile(r"(?:passport(?: no)?|passeport(?: n)?|reisepass|pasaporte|identity card(?: no)?|cnic(?: no)?|ssn|social security(?: number)?|sécurité sociale|seguridad social|national insurance(?: number)?|ni no|nin|dni|nie|nif|steuer-?\s?id|steuernummer|personalausweis|ausweis(?:nummer)?|id(?: number| no| on file)?|licen[cs]e no|driving licen[cs]e|card no|nir|n°|numéro|tax id)" + _E, re.I)
+AGAINST_CUE = re.compile(r"(?:order|part|ticket|invoice|batch|version|port|serial|sku|item|case|contract|ref(?:erence)?|stock|rechnung|bestellung|facture|commande|factura|pedido|lote|lot|model|form|build|release|iso|din|article|isbn|account|dated|on|at|cost)" + _E, re.I)
+ADDRESS_CUE = re.compile(r"(?:address|adresse|anschrift|dirección|domicilio|lives at|living at|lives in|deliver to|livrer au|entregar en|liefern an|lieferung an|moved to|wohnt|wohnt in|habite|habite au|vive en|based at|sent to|send to|ship to|résidence|umgezogen nach|zog nach|zog in|a déménagé au|se mudó a|home address|in|at|en|au|an)[\s:(]*$", re.I)
 NAME_CUE = re.compile(r"(?:mr|mrs|ms|miss|dr|prof|sir|herr|frau|herrn|m|mme|mlle|sr|sra|srta|don|doña|señor|señora|monsieur|madame|by|with|to|owner|signed|reviewed|attendees|contact|contact person|contacto|kontakt|ansprechpartner|responsable|signé|gezeichnet|firmado|firmada por|regards|thanks|gruß|grüßen|merci|gracias|saludos|cordialement|sincerely|cheers|dear|hello|hi|hallo|bonjour|hola|from|para|à|an|bei|von|par|por|submitted by|taken by|run by|--|spoke with|and|und|et|y)[\s:.,\n(-]*$", re.I)
-NAME_AFTER = re.compile(r"^[\s,/|)]*(?:approved|was on duty|hat die|a validé|aprobó|alone|about the|at six|hoy|hier\b|before friday|was settled|on (?:monday|tuesday|wednesday|thursday|friday)|\(|\+?\d|[\w.+-]+\s?(?:@|[\[(]at))", re.I)
+NAME_AFTER = re.compile(r"^[\s,/|)]*(?:\(|\+?\d|[\w.+-]+\s?(?:@|[\[(]at))", re.I)
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "sir", "herr", "frau", "herrn", "mme", "mlle", "sr", "sra", "srta", "señor", "señora", "monsieur", "madame", "don", "doña"}
 
 
@@ -170,20 +173,17 @@ def _number(text: str, start: int, end: int) -> Iterator[tuple[str, int, int, li
     flat = raw.replace("\xa0", " ")
     left = text[max(0, start - 32) : start].replace("\xa0", " ")
     right = text[end : end + 14]
-    phone, ident = bool(PHONE_FORMAT.match(flat)), bool(ID_FORMAT.match(flat))
-    if digits < 7 and not ident:
-        return
+    grouped = bool(ID_GROUPS.match(flat))
+    phone, ident = bool(PHONE_FORMAT.match(flat)) and not grouped, bool(ID_FORMAT.match(flat))
     letters = any(c.isalpha() for c in raw)
-    if not phone and not ident and not letters and digits < 9:
-        return
-    against = -1 if AGAINST_CUE.search(left) and not PHONE_CUE.search(left) and not ID_CUE.search(left) else 0
-    date = -1 if re.match(r"^(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}|\d{1,3}(?:\.\d{1,3}){3}|\d+\.\d+|\d{1,3}(?:[, ]\d{3})+)$", flat) and not (phone or ident) else 0
     phone_cue, id_cue = bool(PHONE_CUE.search(left)), bool(ID_CUE.search(left))
+    against = -1 if AGAINST_CUE.search(left) and not phone_cue and not id_cue else 0
+    date = -1 if re.match(r"^(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}|\d{1,3}(?:\.\d{1,3}){3}|\d+\.\d+|\d{1,3}(?:[, ]\d{3})+)$", flat) and not (phone or ident) else 0
     signature = bool(re.search(r"[\w'’-]+\s?[|/,\n]\s?\(?$", left) and (re.match(r"^\s?[|/,\n]|^\)", right) or not right.strip()))
-    if (phone or phone_cue) and not letters:
-        yield "PHONE", start, end, _vote(1 if phone else -1, 1 if phone_cue else (-1 if id_cue else 0), 1 if signature or text[start - 1 : start] == "(" else 0, against, 1 if 9 <= digits <= 13 else -1, date)
-    if ident or id_cue:
-        yield "ID_NUMBER", start, end, _vote(1 if ident else -1, 1 if id_cue else 0, -1 if phone_cue else 0, against, -1 if phone and (raw[0] in "+(0") and not id_cue else 0, date)
+    # every number is proposed for both kinds; the labelers tell them apart
+    if not letters and digits >= 7:
+        yield "PHONE", start, end, _vote(1 if phone else -1, 1 if phone_cue else (-1 if id_cue else 0), 1 if signature or text[start - 1 : start] == "(" else 0, against, 1 if 9 <= digits <= 13 else -1, -1 if grouped else date)
+    yield "ID_NUMBER", start, end, _vote(1 if ident else -1, 1 if id_cue else 0, -1 if phone_cue else 0, against, -1 if phone and (raw[0] in "+(0") and not id_cue else 0, date)
 
 
 def spans(text: str) -> Iterator[tuple[str, int, int, list[int]]]:
@@ -326,7 +326,7 @@ def name_spans(found: DataFrame, classes: DataFrame, given: list[str]) -> DataFr
                         1 if "G" in part else 0, 1 if "g" in part else 0, 1 if "S" in part else -1,
                         1 if NAME_CUE.search(before) or before.lower().rstrip(".") in TITLES else 0,
                         1 if NAME_AFTER.search(after) else 0,
-                        -1 if AFTER_STREET.search(after) or re.match(r"^\s(?:Street|Road|Lane|Avenue|Way|Console|Court|Gate|Hall|House|Suite)\b", after) else 0,
+                        -1 if re.match(rf"^\s(?:{STREET}|Console|Gate|Hall|House|Suite|Ltd|Inc|GmbH)\b", after) else 0,
                     )
                     rows.append((i, "NAME", begin, end, votes, " ".join(words[a:b])))
             index = pa.array([r[0] for r in rows], pa.int64())
