@@ -15,9 +15,16 @@ vocabulary goes to the driver.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.shingles import BROADCAST_ROWS
 from lectern.session import stage
 
 MARKS = "-‐‑¬­"
@@ -28,7 +35,13 @@ PAIRS_LAST = (("ci", "d"), ("ri", "n"), ("rn", "m"), ("ii", "u"), ("vv", "w"))
 PAIRS_FIRST = (("ii", "u"), ("vv", "w"), ("cl", "d"), ("ri", "n"), ("rn", "m"))
 BLANK = r"(?U)^\s*$"
 HEADING = r"(?U)^\s*\p{N}+(?:\.\p{N}+)+\.?\s+\S"
-NUMBER_LINE = r"(?iU)^[\s\p{P}\p{S}]*(?:(?:p(?:a[g9]e?|g)?|pagina|página|pág|seite|blatt|s)\b\.?)?[\s\p{P}\p{S}]*[\p{N}ilo|]*\p{N}[\p{N}ilo|]*(?:\s*(?:of|/|de|von|sur|out of)\s*[\p{N}ilo|]*\p{N}[\p{N}ilo|]*)?[\s\p{P}\p{S}]*$"
+NUMBER_LINE = re.compile(r"[\W_]*(?:(?:p(?:a[g9]e?|g)?|pagina|página|pág|seite|blatt|s)\b\.?)?[\W_]*[\dilo|]*\d[\dilo|]*(?:\s*(?:of|/|de|von|sur|out of)\s*[\dilo|]*\d[\dilo|]*)?[\W_]*$", re.I)
+WORDS = re.compile(r"(?:[^\W_]|[@|])+")
+WHOLE = re.compile(r"(?:[^\W_]|[@|])+(?:[-‐](?:[^\W_]|[@|])+)+")
+CLOSED = re.compile(r"[.!?:;][\"')\]]*$")
+CELLS = re.compile(r"\||\t|\S {3,}\S|;\S")
+GOES_ON = re.compile(r"(?:[^\W\d_]|[,\-‐‑¬­])$")
+LINES = "id long, line_no int, line string, scan boolean, tokens array<string>, wholes array<string>, number boolean, beside boolean, edge boolean"
 
 
 def skeleton(word: Column, pairs_first: bool = False) -> Column:
@@ -47,20 +60,44 @@ def skeleton(word: Column, pairs_first: bool = False) -> Column:
     return F.translate(s, SINGLES, SINGLES_TO) if pairs_first else s
 
 
+def wrapped(lines: list[str]) -> bool:
+    """Whether a page's lines are wrapped like those of a scan: many go on in the next line with a small letter, within a
+    steady width."""
+    if any(len(x) > 100 for x in lines):
+        return False
+    if sum(25 <= len(x) <= 100 and x.count(" ") > 1 and not CLOSED.search(x) and not CELLS.search(x) for x in lines) < 3:
+        return False
+    on = sum(bool(GOES_ON.search(a)) and b[:1].islower() for a, b in zip(lines, lines[1:]))
+    return on >= 2 and on >= 0.25 * len(lines)
+
+
 def page_lines(pages: DataFrame, id_col: str, text_col: str, scanned: Column | None) -> DataFrame:
-    """(``id``, ``line_no``, ``line``, ``scan``) of all lines. A page is a scan if the column ``scanned`` says so, or if
-    its lines are wrapped: many go on in the next line with a small letter, within a steady width."""
+    """``LINES`` of all pages in one pass. A page is a scan if the column ``scanned`` says so, or if its lines are
+    ``wrapped``. Of scans it is told whether a line is a page number, stands ``beside`` one, and stands at the page's
+    ``edge`` (the three first and last lines that are not blank). ``wholes`` are words with inner hyphens."""
     flag = F.coalesce(scanned, F.lit(False)) if scanned is not None else F.lit(False)
-    rows = pages.select(F.col(id_col).alias("id"), F.split(F.col(text_col), "\n").alias("ls"), flag.alias("told"))
-    rows = rows.filter("ls is not null and id is not null")
-    plain = F.transform("ls", lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
-    wide = F.filter(plain, lambda x: (F.length(x) >= 25) & (F.length(x) <= 100) & x.rlike(r"\S \S+ \S"))
-    open_ended = F.filter(wide, lambda x: ~x.rlike(r"[.!?:;][\"')\]]*$") & ~x.rlike(r"\||\t|\S {3,}\S|;\S"))
-    long_lines = F.filter(plain, lambda x: F.length(x) > 100)
-    runs_on = F.size(F.filter(F.arrays_zip(F.slice(plain, 1, F.greatest(F.size(plain) - 1, F.lit(0))).alias("a"), F.slice(plain, 2, F.greatest(F.size(plain) - 1, F.lit(0))).alias("b")), lambda z: z["a"].rlike(r"(?U)[\p{L},\-‐‑¬­]$") & z["b"].rlike(r"(?U)^\p{Ll}")))
-    wrapped = (F.size(open_ended) >= 3) & (F.size(long_lines) == 0) & (runs_on >= 2) & (runs_on >= 0.25 * F.size(plain))
-    rows = rows.select("id", "ls", (F.col("told") | wrapped).alias("scan"))
-    return rows.select("id", "scan", F.posexplode("ls").alias("line_no", "line")).withColumn("line", F.regexp_replace("line", r"\r", ""))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), flag.alias("told")).filter("id is not null and text is not null")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for page, text, told in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                lines = text.split("\n")
+                plain = [x.rstrip() for x in lines]
+                scan = told or wrapped(plain)
+                numbers = [scan and any(map(str.isdigit, x)) and bool(NUMBER_LINE.match(x)) for x in plain]
+                filled = [k for k, x in enumerate(plain) if x.strip()] if scan else []
+                edges = {*filled[:3], *filled[-3:]}
+                for k, line in enumerate(lines):
+                    low = line.lower()
+                    wholes = [w.replace("‐", "-") for w in WHOLE.findall(low)] if "-" in low or "‐" in low else []
+                    beside = (k > 0 and numbers[k - 1]) or (k + 1 < len(lines) and numbers[k + 1])
+                    out.append((page, k, line.replace("\r", ""), scan, WORDS.findall(low), wholes, numbers[k], beside, k in edges))
+            columns = list(zip(*out)) if out else [()] * 9
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [c.split()[0] for c in LINES.split(", ")])
+
+    return rows.mapInArrow(cut, LINES)
 
 
 def mask(line: Column) -> Column:
@@ -71,41 +108,48 @@ def mask(line: Column) -> Column:
     return F.trim(F.regexp_replace(skeleton(F.regexp_replace(words, r"(?U)[^\p{L}\p{N}@|]+", " ")), " +", " "))
 
 
-def classified_lines(lines: DataFrame, least_pages: int = 3) -> DataFrame:
-    """Lines of scans with ``kind``: blank, pageno, header, heading or text."""
-    scans = lines.filter("scan").drop("scan")
+def classified_lines(lines: DataFrame, least_pages: int = 3, at_edge: float = 0.6) -> DataFrame:
+    """Lines of scans with ``kind``: blank, pageno, header, heading or text.
+
+    A title recurs on ``least_pages`` pages; whatever the size of the corpus, at least ``at_edge`` of its places are at the
+    edge of a page or beside its number, and it hardly ever starts with a small letter, as a line of running text does
+    about as often as not."""
     bare = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
     words = F.regexp_count(bare, F.lit(r"(?U)\p{L}{2,}"))
-    may_head = (words >= 1) & (words <= 9) & (F.length(bare) <= 70) & ~bare.rlike(r"[.!?,;]$|[-‐‑¬­]$") & ~F.col("line").rlike(HEADING)
-    rows = scans.withColumns({"mask": F.when(may_head, mask(bare)), "number": bare.rlike(NUMBER_LINE)})
+    may_head = (F.length(bare) <= 70) & ~F.col("number") & ~bare.rlike(r"[.!?,;]$|[-‐‑¬­]$") & (words >= 1) & (words <= 9) & ~F.col("line").rlike(HEADING)
+    rows = lines.filter("scan").select("id", "line_no", "line", "tokens", "number", "beside", "edge", F.when(may_head, mask(bare)).alias("mask"))
     rows = stage(rows, "scan-lines")
-    masks = rows.filter("mask is not null and mask <> '' and not number").groupBy("mask").agg(F.count_distinct("id").alias("pages"), F.count("*").alias("n"), F.count(F.when(F.col("line").rlike(r"(?U)^\s*\p{Ll}"), 1)).alias("small"))
-    # a line of running text starts with a small letter about as often as not; a title never does
-    titles = masks.filter((F.col("pages") >= least_pages) & (F.col("small") <= 0.2 * F.col("n"))).select("mask", F.lit(True).alias("title"))
+    count = lambda c: F.count(F.when(c, 1))
+    masks = rows.filter("mask <> ''").groupBy("mask", "id").agg(F.count("*").alias("n"), count(F.col("line").rlike(r"(?U)^\s*\p{Ll}")).alias("small"), count(F.col("edge") | F.col("beside")).alias("outer"))
+    masks = masks.groupBy("mask").agg(F.count("*").alias("pages"), *[F.sum(c).alias(c) for c in ("n", "small", "outer")])
+    titles = masks.filter((F.col("pages") >= least_pages) & (F.col("small") <= 0.2 * F.col("n")) & (F.col("outer") >= at_edge * F.col("n"))).select("mask", F.lit(True).alias("title"))
     rows = rows.join(titles, "mask", "left")
-    order = Window.partitionBy("id").orderBy("line_no")
-    filled = ~F.col("line").rlike(BLANK)
-    place = F.sum(filled.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum(filled.cast("int")).over(Window.partitionBy("id"))
-    edge = (place <= 3) | (place > total - 3)
-    beside = F.coalesce(F.lag("number").over(order), F.lit(False)) | F.coalesce(F.lead("number").over(order), F.lit(False))
     holds_number = F.col("line").rlike(r"(?U)(?:^|\s)\p{N}{1,3}\s*$|^\s*\p{N}{1,3}\s")
     upper = F.col("line").rlike(r"(?U)^\P{Ll}*$")
     kind = (
         F.when(F.col("line").rlike(BLANK), "blank")
         .when(F.col("number"), "pageno")
-        .when(F.coalesce("title", F.lit(False)) & (edge | beside | holds_number | upper | (F.length("line") <= 40)), "header")
+        .when(F.coalesce("title", F.lit(False)) & (F.col("edge") | F.col("beside") | holds_number | upper | (F.length("line") <= 40)), "header")
         .when(F.col("line").rlike(HEADING) & (words <= 8), "heading")
         .otherwise("text")
     )
-    return rows.select("id", "line_no", "line", kind.alias("kind"))
+    return rows.select("id", "line_no", "line", "tokens", kind.alias("kind"))
 
 
 def word_counts(lines: DataFrame) -> DataFrame:
-    """(``word``, ``scan_n``, ``clean_n``) over all lines, in lower case; words with inner hyphens count as wholes too."""
-    whole = F.regexp_extract_all(F.lower("line"), F.lit(r"(?U)[\p{L}\p{N}@|]+(?:[-‐][\p{L}\p{N}@|]+)+"), F.lit(0))
-    words = lines.select("scan", F.explode(F.concat(F.regexp_extract_all(F.lower("line"), F.lit(TOKEN), F.lit(0)), F.transform(whole, lambda x: F.translate(x, "‐", "-")))).alias("word"))
-    return words.groupBy("word").agg(F.count(F.when(F.col("scan"), 1)).alias("scan_n"), F.count(F.when(~F.col("scan"), 1)).alias("clean_n"))
+    """(``word``, ``scan_n``, ``clean_n``) over all lines, in lower case; words with inner hyphens count as wholes too. Words
+    are counted in each Arrow batch first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for scan in (True, False):
+                own = batch.filter(batch.column(0) if scan else pc.invert(batch.column(0)))
+                found = pc.value_counts(pa.concat_arrays([own.column(1).flatten(), own.column(2).flatten()]))
+                n, none = found.field("counts"), pa.array([0] * len(found), pa.int64())
+                yield pa.RecordBatch.from_arrays([found.field("values"), n if scan else none, none if scan else n], ["word", "scan_n", "clean_n"])
+
+    counted = lines.select("scan", "tokens", "wholes").mapInArrow(count, "word string, scan_n long, clean_n long")
+    return counted.groupBy("word").agg(F.sum("scan_n").alias("scan_n"), F.sum("clean_n").alias("clean_n"))
 
 
 def broken_words(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -142,9 +186,9 @@ def repairs(vocabulary: DataFrame, least: int = 3, ratio: float = 8.0) -> DataFr
     best = best.filter(f"forms > 1 and best.support is not null and best.n >= {least}").drop("forms")
     rows = words.join(best, "skeleton").filter("best.word <> word")
     odd = ~F.col("plain") & F.col("word").rlike(r"(?U)^(?=.*\p{L}).*[0-9@|ﬀ-ﬆ]") & ~F.col("word").rlike(r"(?U)^\p{L}?\p{N}+$")
-    # a word that only scans have, beside one that other pages have too
+    # a word that only scans have, or next to no other page beside its group's form, beside one that other pages have too
     better_known = (F.col("best.clean_n") >= 5) & (F.col("best.clean_n") >= F.col("scan_n"))
-    rare = (F.col("clean_n") < 2) & ((F.col("best.n") >= ratio * F.col("scan_n")) | better_known)
+    rare = ((F.col("clean_n") < 2) | (F.col("best.clean_n") >= 5000 * F.col("clean_n"))) & ((F.col("best.n") >= ratio * F.col("scan_n")) | better_known)
     rows = rows.filter(odd & (F.col("best.n") > F.col("n")) | (F.col("plain") & rare))
     return rows.groupBy("word").agg(F.max("best").alias("best")).select("word", F.col("best.word").alias("better"))
 
@@ -171,7 +215,6 @@ def running_words(rows: DataFrame, broken: DataFrame) -> DataFrame:
     starts = broken.select("id", "line_no", F.lit(True).alias("breaks"), joined.alias("glued"))
     ends = broken.select("id", F.col("next_no").alias("line_no"), F.lit(True).alias("goes_on"), joined.alias("carried"))
     text = rows.filter("kind = 'text'").join(starts, ["id", "line_no"], "left").join(ends, ["id", "line_no"], "left")
-    text = text.withColumn("tokens", F.regexp_extract_all(F.lower("line"), F.lit(TOKEN), F.lit(0)))
     order = Window.partitionBy("id").orderBy("line_no")
     first, last = F.get("tokens", F.lit(0)), F.get("tokens", F.size("tokens") - 1)
     left = F.when(F.col("goes_on"), F.coalesce("carried", first)).otherwise(F.lag(last).over(order))
@@ -189,10 +232,31 @@ def misplaced(words: DataFrame, lines: DataFrame, pairs: DataFrame, least: int =
     The other form must stand more often than the word, and ``least`` times, beside either neighbour, and the product of
     the two must be ``ratio`` squared times that of the word. A place with one neighbour only is left to frequency.
     """
-    clean = lines.filter("not scan").select(F.regexp_extract_all(F.lower("line"), F.lit(TOKEN), F.lit(0)).alias("tokens"))
-    clean = clean.select(F.explode(_in_context(F.col("tokens"), F.lit(""), F.lit(""))).alias("w")).select("w.before", "w.word", "w.after")
-    forms = pairs.select("word").union(pairs.select("form")).distinct()
-    known = stage(words.select("before", "word", "after").unionByName(clean).join(forms, "word", "left_semi").groupBy("before", "word", "after").agg(F.count("*").alias("n")), "contexts")
+    forms = stage(pairs.select("word").union(pairs.select("form")).distinct(), "forms")
+    few = [r["word"] for r in forms.collect()] if forms.count() <= BROADCAST_ROWS else None
+    shared = lines.sparkSession.sparkContext.broadcast(few)
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = pa.array(shared.value, pa.string()) if shared.value is not None else None
+        for batch in batches:
+            tokens = batch.column(0).filter(pc.greater(pc.list_value_length(batch.column(0)), 0))
+            word, size = tokens.flatten(), pc.list_value_length(tokens).to_numpy()
+            ends = size.cumsum()
+            at = np.arange(len(word))
+            first, last = np.zeros(len(word), bool), np.zeros(len(word), bool)
+            first[ends - size], last[ends - 1] = True, True
+            empty = pa.scalar("", pa.string())
+            before = pc.if_else(pa.array(first), empty, word.take(pa.array(np.maximum(at - 1, 0))))
+            after = pc.if_else(pa.array(last), empty, word.take(pa.array(np.minimum(at + 1, max(len(word) - 1, 0)))))
+            made = pa.table([before, word, after], ["before", "word", "after"])
+            made = made.filter(pc.is_in(word, value_set=wanted)) if wanted is not None else made
+            counted = made.group_by(["before", "word", "after"]).aggregate([([], "count_all")]).combine_chunks()
+            yield from counted.rename_columns(["before", "word", "after", "n"]).select(["before", "word", "after", "n"]).to_batches()
+
+    clean = lines.filter("not scan").select("tokens").mapInArrow(around, "before string, word string, after string, n long")
+    own = words.join(forms, "word", "left_semi").groupBy("before", "word", "after").agg(F.count("*").alias("n"))
+    both = own.unionByName(clean if few is not None else clean.join(forms, "word", "left_semi"))
+    known = stage(both.groupBy("before", "word", "after").agg(F.sum("n").alias("n")), "contexts")
 
     def beside(side: str) -> DataFrame:
         counts = known.filter(F.col(side) != "").groupBy(side, "word").agg(F.sum("n").alias("n"))
@@ -211,7 +275,7 @@ def analyse(pages: DataFrame, id_col: str, text_col: str, scanned: Column | None
 
     Null and empty texts, and rows with a null id, have no lines. Ids must be unique; pages loaded twice under two ids are pages of their own.
     """
-    lines = page_lines(pages, id_col, text_col, scanned)
+    lines = stage(page_lines(pages, id_col, text_col, scanned), "page-lines")
     vocabulary = stage(word_counts(lines), "vocabulary")
     rows = stage(classified_lines(lines), "lines")
     broken = stage(broken_words(rows, vocabulary), "broken")

@@ -184,6 +184,14 @@ def test_faults_of_scanned_pages(spark):
     assert ocr_repair.faults(df.limit(0), "rec_id", "page_content").count() == 0
 
 
+def test_titles_in_the_middle_of_pages_are_no_headers(spark):
+    body = "the pump was moved to the basement and\nevery employee should read the handbook\nwhile the committee is in the office"
+    rows = [(i, f"Operations Handbook\n{body}\nSafety notes\n{body} {i}\nPage {i}", "eng") for i in range(30)]
+    df = spark.createDataFrame(rows, "rec_id long, page_content string, lang string")
+    got = {tuple(r) for r in ocr_repair.faults(df, "rec_id", "page_content", F.col("lang").isNotNull()).collect()}
+    assert got == {(i, 0, "header") for i in range(30)} | {(i, 8, "pageno") for i in range(30)}
+
+
 def test_misread_forms_that_are_words_are_told_by_their_neighbours(spark):
     clean = [(i, "The committee will read the handbook and the contract. A visit to the arid region is due.", None) for i in range(100, 170)]
     scan = "The committee will read the handbook arid\nthe contract while a visit to the arid region, arid\nthe handbook arid the contract, is due"
