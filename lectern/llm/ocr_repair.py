@@ -201,6 +201,11 @@ def rivals(vocabulary: DataFrame, least: int = 3) -> DataFrame:
     return words.filter("scan_n > 0").join(forms, "skeleton").filter("word <> form").select("word", "form").distinct()
 
 
+def _told(rows: DataFrame) -> DataFrame:
+    """A written table, told to all tasks if it is small enough."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _in_context(tokens: Column, left: Column, right: Column) -> Column:
     """Structs of each token with the words before and after it."""
     around = F.concat(F.array(left), tokens, F.array(right))
@@ -214,7 +219,7 @@ def running_words(rows: DataFrame, broken: DataFrame) -> DataFrame:
     joined = F.when(F.col("drop"), F.concat(F.regexp_extract("head", r"[^-]+$", 0), F.regexp_extract("tail", r"^[^-]+", 0)))
     starts = broken.select("id", "line_no", F.lit(True).alias("breaks"), joined.alias("glued"))
     ends = broken.select("id", F.col("next_no").alias("line_no"), F.lit(True).alias("goes_on"), joined.alias("carried"))
-    text = rows.filter("kind = 'text'").join(starts, ["id", "line_no"], "left").join(ends, ["id", "line_no"], "left")
+    text = rows.filter("kind = 'text'").join(_told(starts), ["id", "line_no"], "left").join(_told(ends), ["id", "line_no"], "left")
     order = Window.partitionBy("id").orderBy("line_no")
     first, last = F.get("tokens", F.lit(0)), F.get("tokens", F.size("tokens") - 1)
     left = F.when(F.col("goes_on"), F.coalesce("carried", first)).otherwise(F.lag(last).over(order))
@@ -236,33 +241,42 @@ def misplaced(words: DataFrame, lines: DataFrame, pairs: DataFrame, least: int =
     few = [r["word"] for r in forms.collect()] if forms.count() <= BROADCAST_ROWS else None
     shared = lines.sparkSession.sparkContext.broadcast(few)
 
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = pa.array(shared.value, pa.string()) if shared.value is not None else None
+    def counted(before: pa.Array, word: pa.Array, after: pa.Array) -> Iterator[pa.RecordBatch]:
+        """How often each word of the batch stands after each, and before each."""
+        if shared.value is not None:
+            kept = pc.is_in(word, value_set=pa.array(shared.value, pa.string()))
+            before, word, after = before.filter(kept), word.filter(kept), after.filter(kept)
+        for side, near in (("before", before), ("after", after)):
+            made = pa.table([near, word], ["near", "word"]).filter(pc.not_equal(near, ""))
+            made = made.group_by(["near", "word"]).aggregate([([], "count_all")]).rename_columns(["near", "word", "n"])
+            yield from made.append_column("side", pa.array([side] * len(made), pa.string())).select(["side", "near", "word", "n"]).combine_chunks().to_batches()
+
+    def of_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from counted(*(batch.column(k) for k in range(3)))
+
+    def of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = batch.column(0).filter(pc.greater(pc.list_value_length(batch.column(0)), 0))
             word, size = tokens.flatten(), pc.list_value_length(tokens).to_numpy()
-            ends = size.cumsum()
-            at = np.arange(len(word))
+            ends, at = size.cumsum(), np.arange(len(word))
             first, last = np.zeros(len(word), bool), np.zeros(len(word), bool)
             first[ends - size], last[ends - 1] = True, True
             empty = pa.scalar("", pa.string())
             before = pc.if_else(pa.array(first), empty, word.take(pa.array(np.maximum(at - 1, 0))))
             after = pc.if_else(pa.array(last), empty, word.take(pa.array(np.minimum(at + 1, max(len(word) - 1, 0)))))
-            made = pa.table([before, word, after], ["before", "word", "after"])
-            made = made.filter(pc.is_in(word, value_set=wanted)) if wanted is not None else made
-            counted = made.group_by(["before", "word", "after"]).aggregate([([], "count_all")]).combine_chunks()
-            yield from counted.rename_columns(["before", "word", "after", "n"]).select(["before", "word", "after", "n"]).to_batches()
+            yield from counted(before, word, after)
 
-    clean = lines.filter("not scan").select("tokens").mapInArrow(around, "before string, word string, after string, n long")
-    own = words.join(forms, "word", "left_semi").groupBy("before", "word", "after").agg(F.count("*").alias("n"))
-    both = own.unionByName(clean if few is not None else clean.join(forms, "word", "left_semi"))
-    known = stage(both.groupBy("before", "word", "after").agg(F.sum("n").alias("n")), "contexts")
+    schema = "side string, near string, word string, n long"
+    both = words.select("before", "word", "after").mapInArrow(of_places, schema).unionByName(lines.filter("not scan").select("tokens").mapInArrow(of_lines, schema))
+    both = both if few is not None else both.join(forms, "word", "left_semi")
+    known = stage(both.groupBy("side", "near", "word").agg(F.sum("n").alias("n")), "contexts")
 
     def beside(side: str) -> DataFrame:
-        counts = known.filter(F.col(side) != "").groupBy(side, "word").agg(F.sum("n").alias("n"))
-        own = counts.withColumnRenamed("n", f"{side}_own").join(pairs, "word")
+        counts = known.filter(F.col("side") == side).select(F.col("near").alias(side), "word", "n")
+        own = counts.withColumnRenamed("n", f"{side}_own").join(_told(pairs), "word")
         other = counts.withColumnsRenamed({"word": "form", "n": f"{side}_other"}).filter(F.col(f"{side}_other") >= least)
-        return own.join(other, [side, "form"]).filter(F.col(f"{side}_other") > F.col(f"{side}_own"))
+        return _told(stage(own.join(other, [side, "form"]).filter(F.col(f"{side}_other") > F.col(f"{side}_own")), f"beside-{side}"))
 
     found = words.join(beside("before"), ["before", "word"]).join(beside("after"), ["after", "word", "form"])
     weight = F.col("before_other").cast("double") * F.col("after_other")
@@ -280,7 +294,7 @@ def analyse(pages: DataFrame, id_col: str, text_col: str, scanned: Column | None
     rows = stage(classified_lines(lines), "lines")
     broken = stage(broken_words(rows, vocabulary), "broken")
     words = stage(running_words(rows, broken), "running-words")
-    rare = words.join(repairs(vocabulary), "word").select("id", "line_no", "place", "word", F.col("better").alias("frequent"))
+    rare = words.join(_told(stage(repairs(vocabulary), "misread")), "word").select("id", "line_no", "place", "word", F.col("better").alias("frequent"))
     placed = misplaced(words, lines, stage(rivals(vocabulary), "rivals"))
     wrong = rare.join(placed, ["id", "line_no", "place", "word"], "full").select("id", "line_no", "place", "word", F.coalesce("better", "frequent").alias("better"))
     return rows, broken, stage(wrong, "repairs")
