@@ -12,11 +12,14 @@ from lectern.operators import evaluate
 from lectern.session import local_session
 
 
+LANDING = "./data/landing_zone"
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lectern")
     p.add_argument("--folder", default="./data/lectern", help="where the tables are")
     sub = p.add_subparsers(dest="command", required=True)
-    sub.add_parser("ingest").add_argument("path")
+    sub.add_parser("ingest").add_argument("path", nargs="?", default=LANDING)
     ask = sub.add_parser("ask")
     ask.add_argument("question")
     ask.add_argument("--top-k", type=int)
@@ -26,7 +29,7 @@ def parser() -> argparse.ArgumentParser:
     debug.add_argument("question")
     debug.add_argument("--top-k", type=int, default=5)
     watch = sub.add_parser("watch")
-    watch.add_argument("path")
+    watch.add_argument("path", nargs="?", default=LANDING)
     watch.add_argument("--recursive", action="store_true")
     return p
 
@@ -42,6 +45,10 @@ def main(argv: list[str] | None = None) -> int:
         print(got["answer"] if args.no_stream else "")
     elif args.command == "eval":
         results = engine.run_eval()
+        if args.stream:  # answers are shown as they come, case after case
+            results = results.cache()
+            for row in results.orderBy("question_id").toLocalIterator():
+                print(f"{row['question']}\n{row['answer']}\n")
         evaluate.case_report(results).show(100, False)
         evaluate.summary(results).show(1, False)
     elif args.command == "debug":

@@ -111,9 +111,8 @@ def grouped(parts: Column, breaks: Column, least: int = 2) -> Column:
     return F.zip_with(starts, ends, lambda s, e: F.array_join(F.slice(parts, s + 1, e - s), " "))
 
 
-def recursive_chunks(df: DataFrame, config: EngineConfig = EngineConfig(), column: str = "page_content") -> DataFrame:
-    """One row a chunk of the cleaned text, with ``chunk_index`` and ``chunk_total``; texts empty after cleaning go.
-    All columns of the document stay."""
+def _recursive_parts(df: DataFrame, text: Column, config: EngineConfig) -> DataFrame:
+    """``df`` with ``_recursive``: the chunks of the cleaned ``text``, none of them empty."""
     size, overlap = config.chunk_size, config.chunk_overlap
 
     @F.pandas_udf(ArrayType(StringType()))
@@ -121,37 +120,50 @@ def recursive_chunks(df: DataFrame, config: EngineConfig = EngineConfig(), colum
         for s in texts:
             yield s.map(lambda t: recursive_split(t, size, overlap) if t else [])
 
-    cleaned = df.withColumn("_clean", T.once(T.clean_for_chunking(column))).filter("_clean <> ''")
-    return _numbered(cleaned.withColumn("_parts", T.once(split("_clean"))).drop("_clean"), column)
+    return df.withColumn("_clean", T.once(T.clean_for_chunking(text))).withColumn("_recursive", T.once(split("_clean"))).drop("_clean")
 
 
-def _numbered(df: DataFrame, column: str) -> DataFrame:
-    rest = [c for c in df.columns if c not in ("_parts", column, "chunk_index", "chunk_total")]
-    made = df.select(*rest, F.size("_parts").alias("chunk_total"), F.posexplode("_parts").alias("chunk_index", column))
-    return made.filter(F.col(column) != "")
-
-
-def semantic_chunks(df: DataFrame, compare: Callable[[DataFrame, str, str], DataFrame], config: EngineConfig = EngineConfig(), column: str = "page_content", splitter: Callable[[str], list[str]] = sentences) -> DataFrame:
-    """One row a group of like sentences. Documents of at most ``min_sentences`` sentences are one chunk, unchanged.
-
-    ``compare(df, texts, out)`` adds the similarities of neighbouring texts of an array (``embed.embed_similarities``).
-    """
+def _semantic_parts(df: DataFrame, text: Column, compare: Callable[[DataFrame, str, str], DataFrame], config: EngineConfig, splitter: Callable[[str], list[str]]) -> DataFrame:
+    """``df`` with ``_semantic``: groups of like sentences of ``text``; a text of few sentences is one, unchanged."""
 
     @F.pandas_udf(ArrayType(StringType()))
     def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
             yield s.map(lambda t: splitter(t) if t else [])
 
-    df = df.filter(F.col(column).isNotNull() & (T.strip(column) != "")).withColumn("_sentences", cut(column))
+    df = df.withColumn("_text", T.once(F.when(T.strip(text) != "", text))).withColumn("_sentences", T.once(cut("_text")))
     few = F.size("_sentences") <= config.min_sentences
     df = compare(df.withColumn("_long", F.when(few, F.array().cast("array<string>")).otherwise(F.col("_sentences"))), "_long", "_similar")
     groups = grouped(F.col("_long"), breakpoints(F.col("_similar"), config), config.min_sentences)
-    df = df.withColumn("_parts", T.once(F.when(few, F.array(column)).otherwise(groups)))
-    return _numbered(df.drop("_sentences", "_long", "_similar"), column)
+    whole = F.when(F.col("_text").isNotNull(), F.array("_text"))
+    return df.withColumn("_semantic", T.once(F.when(few, whole).otherwise(groups))).drop("_text", "_sentences", "_long", "_similar")
+
+
+def _numbered(df: DataFrame, parts: Column, column: str) -> DataFrame:
+    rest = [c for c in df.columns if c not in ("_recursive", "_semantic", "_route", column, "chunk_index", "chunk_total")]
+    made = df.select(*rest, F.size(parts).alias("chunk_total"), F.posexplode(parts).alias("chunk_index", column))
+    return made.filter(F.col(column) != "")
+
+
+def recursive_chunks(df: DataFrame, config: EngineConfig = EngineConfig(), column: str = "page_content") -> DataFrame:
+    """One row a chunk of the cleaned text, with ``chunk_index`` and ``chunk_total``; texts empty after cleaning go.
+    All columns of the document stay."""
+    return _numbered(_recursive_parts(df, F.col(column), config), F.col("_recursive"), column)
+
+
+def semantic_chunks(df: DataFrame, compare: Callable[[DataFrame, str, str], DataFrame], config: EngineConfig = EngineConfig(), column: str = "page_content", splitter: Callable[[str], list[str]] = sentences) -> DataFrame:
+    """One row a group of like sentences. Documents of at most ``min_sentences`` sentences are one chunk, unchanged.
+
+    ``compare(df, texts, out)`` adds the similarities of neighbouring texts of an array (``embed.embed_similarities``).
+    """
+    return _numbered(_semantic_parts(df, F.col(column), compare, config, splitter), F.col("_semantic"), column)
 
 
-def chunk_documents(df: DataFrame, compare: Callable[[DataFrame, str, str], DataFrame], config: EngineConfig = EngineConfig(), column: str = "page_content") -> DataFrame:
-    """Documents routed by ``file_type`` to the semantic or the recursive chunker."""
-    routed = df.withColumn("_route", route(F.col("file_type"), config.semantic_types))
-    semantic = semantic_chunks(routed.filter("_route = 'semantic'").drop("_route"), compare, config, column)
-    return recursive_chunks(routed.filter("_route = 'recursive'").drop("_route"), config, column).unionByName(semantic, allowMissingColumns=True)
+def chunk_documents(df: DataFrame, compare: Callable[[DataFrame, str, str], DataFrame], config: EngineConfig = EngineConfig(), column: str = "page_content", splitter: Callable[[str], list[str]] = sentences) -> DataFrame:
+    """Documents routed by ``file_type`` to the semantic or the recursive chunker. Both see each row once, the other's rows
+    as null, so whatever made ``df`` runs once."""
+    routed = df.withColumn("_route", T.once(route(F.col("file_type"), config.semantic_types)))
+    semantic = F.col("_route") == "semantic"
+    made = _recursive_parts(routed, F.when(~semantic, F.col(column)), config)
+    made = _semantic_parts(made, F.when(semantic, F.col(column)), compare, config, splitter)
+    return _numbered(made, F.when(semantic, F.col("_semantic")).otherwise(F.col("_recursive")), column)

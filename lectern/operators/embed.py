@@ -56,12 +56,21 @@ def with_retries(provider: Provider, attempts: int = 3, wait: Callable[[float],
 def _batched(provider: Provider, texts: list[str], size: int) -> list[list[float]]:
     out: list[list[float]] = []
     for k in range(0, len(texts), size):
-        out += provider(texts[k : k + size])
+        batch = texts[k : k + size]
+        made = provider(batch)
+        if len(made) != len(batch):  # else every later text would get another's vector
+            raise ValueError(f"the provider gave {len(made)} vectors for {len(batch)} texts")
+        out += made
+    if len({len(v) for v in out}) > 1:
+        raise ValueError(f"the provider gave vectors of different lengths: {sorted({len(v) for v in out})}")
     return out
 
 
-def embed_texts(df: DataFrame, text_col: str, vector_col: str, provider: Provider | None = None, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """``vector_col`` for every text; null texts have a null vector. Every row keeps its own vector, whatever the order."""
+def embed_texts(df: DataFrame, text_col: str, vector_col: str, provider: Provider | None = None, config: EngineConfig = EngineConfig(), dimension: int | None = None) -> DataFrame:
+    """``vector_col`` for every text; null texts have a null vector. Every row keeps its own vector, whatever the order. A
+    provider that gives another number of vectors than of texts, or vectors of another length than ``dimension`` (by
+    default not checked for a provider of one's own, else that of ``config``), ends the job."""
+    dimension = dimension or (None if provider else config.dimension)
     call, size = with_retries(provider or hashing_provider(config.dimension), config.embed_retries), max(1, config.embed_batch)
 
     @F.pandas_udf("array<float>")
@@ -70,6 +79,8 @@ def embed_texts(df: DataFrame, text_col: str, vector_col: str, provider: Provide
             known = s.notna()
             vectors = pd.Series([None] * len(s), index=s.index, dtype=object)
             made = _batched(call, s[known].tolist(), size)
+            if made and dimension and len(made[0]) != dimension:
+                raise ValueError(f"the provider gives vectors of length {len(made[0])}, the table holds {dimension}")
             for at, v in zip(s.index[known], made):
                 vectors[at] = v
             yield vectors

@@ -10,6 +10,7 @@ from lectern.functions import text as T
 from lectern.operators import pii
 
 DEFAULTS = {"source": "unknown", "source_path": "", "page": "0", "total_pages": "0", "chunk_index": "0", "chunk_total": "0", "file_type": "unknown"}
+REQUIRED = ("source", "page", "total_pages", "file_type", "ingested_at")  # fixed values
 NUMBERS = ("page", "total_pages", "chunk_index", "chunk_total")
 
 
@@ -40,6 +41,14 @@ def normalize_metadata(df: DataFrame, run_time: str | None = None) -> DataFrame:
     return df.withColumns(out)
 
 
+def require_metadata(df: DataFrame) -> DataFrame:
+    """``df``, if it has all metadata that ``normalize_metadata`` makes; else an error, before anything runs."""
+    missing = [c for c in REQUIRED if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing metadata: {', '.join(missing)}; normalize_metadata makes it")
+    return df
+
+
 def reject_reason(column: str = "page_content", least: int = 20) -> Column:
     """Why a document fails the gate; null where it passes."""
     length = F.length(T.strip(column))
@@ -76,5 +85,5 @@ def enrich(df: DataFrame, column: str = "page_content") -> DataFrame:
 def preprocess(df: DataFrame, config: EngineConfig = EngineConfig(), run_time: str | None = None, column: str = "page_content") -> DataFrame:
     """The whole chain in its fixed order. Counts describe the text before redaction, and the gate comes before both."""
     df = normalize_unicode(sanitize_text(df, column, config), column, config)
-    df = enrich(schema_gate(normalize_metadata(df, run_time), column, config.min_document_chars), column)
+    df = enrich(schema_gate(require_metadata(normalize_metadata(df, run_time)), column, config.min_document_chars), column)
     return pii.redact(df, column, config.pii_types) if config.pii_enabled else df

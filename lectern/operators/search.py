@@ -14,6 +14,7 @@ from lectern.functions.vectors import chroma_score, cosine
 
 DEFAULT_K = 5
 QUESTION_BLOCK = 4096
+SUB_BLOCK = 1024  # questions and vectors of one product: 8 MB
 
 
 def score(cos: Column, scale: str = "pinecone") -> Column:
@@ -56,28 +57,45 @@ def batch_top_k(vectors: DataFrame, questions: DataFrame, k: int = DEFAULT_K, sc
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
             size = np.linalg.norm(q, axis=1)
-            held_scores, held_ids = np.zeros((len(names), 0)), np.zeros((len(names), 0), dtype=object)
-            for batch in batches:
-                lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
-                keep = np.flatnonzero(lengths == q.shape[1])
-                if not len(keep):
-                    continue
-                v = batch.column(1).take(pa.array(keep)).flatten().to_numpy(zero_copy_only=False).reshape(len(keep), -1)
-                both = np.outer(size, np.linalg.norm(v, axis=1))
-                dots = np.nan_to_num(q @ v.T)
-                sims = np.where(both > 0, dots / np.where(both > 0, both, 1), 0.0)
-                found = np.array(batch.column(0).take(pa.array(keep)).to_pylist(), dtype=object)
-                scores = np.concatenate([held_scores, sims], axis=1)
-                ids_all = np.concatenate([held_ids, np.tile(found, (len(names), 1))], axis=1)
-                if scores.shape[1] > k:  # keep k and all that tie with the last of them
-                    floor = -np.sort(np.partition(-scores, k - 1, axis=1)[:, :k], axis=1)[:, -1:]
-                    width = int((scores >= floor).sum(axis=1).max())
-                    order = np.argsort(-scores, axis=1, kind="stable")[:, :width]
-                    scores, ids_all = np.take_along_axis(scores, order, 1), np.take_along_axis(ids_all, order, 1)
-                held_scores, held_ids = scores, ids_all
-            width = held_scores.shape[1]
-            if width:
-                yield pa.RecordBatch.from_pandas(pd.DataFrame({"q": np.repeat(np.array(names, dtype=object), width), "id": held_ids.ravel(), "cosine": held_scores.ravel()}), schema=out_schema)
+            top = np.full((len(names), k), -np.inf)  # exactly k a question, better ones first, ties by id
+            at = np.full((len(names), k), -1, dtype=np.int64)  # places in ``known``
+            known = np.zeros(0, dtype=object)
+            for whole in batches:
+                for batch in (whole.slice(s, SUB_BLOCK) for s in range(0, whole.num_rows, SUB_BLOCK)):
+                    lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                    keep = np.flatnonzero(lengths == q.shape[1])
+                    if not len(keep):
+                        continue
+                    v = batch.column(1).take(pa.array(keep)).flatten().to_numpy(zero_copy_only=False).reshape(len(keep), -1)
+                    found = np.array(batch.column(0).take(pa.array(keep)).to_pylist(), dtype=object)
+                    order = np.argsort(found, kind="stable")  # rows by id, so that a stable sort breaks ties by it
+                    v, found = v[order], found[order]
+                    length = np.linalg.norm(v, axis=1)
+                    names_of = np.concatenate([known, found])
+                    rank = np.argsort(np.argsort(names_of, kind="stable"), kind="stable")
+                    for s in range(0, len(names), SUB_BLOCK):
+                        rows = slice(s, s + SUB_BLOCK)
+                        both = np.outer(size[rows], length)
+                        sims = np.where(both > 0, np.nan_to_num(q[rows] @ v.T) / np.where(both > 0, both, 1), 0.0).round(12)
+                        if sims.shape[1] > k:
+                            # beyond the k-th score nothing counts; of its ties the smallest ids, which stand first, are enough
+                            floor = np.partition(sims, -k, axis=1)[:, -k][:, None]
+                            tied = sims == floor
+                            room = k - (sims > floor).sum(axis=1)[:, None]
+                            take = (sims > floor) | (tied & (np.cumsum(tied, axis=1) <= room))
+                            cols = np.nonzero(take)[1].reshape(len(sims), k)
+                        else:
+                            cols = np.tile(np.arange(sims.shape[1]), (len(sims), 1))
+                        scores = np.concatenate([top[rows], np.take_along_axis(sims, cols, 1)], axis=1)
+                        places = np.concatenate([at[rows], len(known) + cols], axis=1)
+                        pick = np.lexsort((np.where(places >= 0, rank[places], len(names_of)), -scores), axis=1)[:, :k]
+                        top[rows], at[rows] = np.take_along_axis(scores, pick, 1), np.take_along_axis(places, pick, 1)
+                    used = np.unique(at[at >= 0])  # ids that are still among the best of some question
+                    at = np.where(at >= 0, np.searchsorted(used, at), -1)
+                    known = names_of[used]
+            row, column = np.nonzero(at >= 0)
+            if len(row):
+                yield pa.RecordBatch.from_pandas(pd.DataFrame({"q": np.array(names, dtype=object)[row], "id": known[at[row, column]], "cosine": top[row, column]}), schema=out_schema)
 
         out_schema = pa.schema([("q", pa.int64() if q_kind in ("bigint", "int") else pa.string()), ("id", pa.int64() if kind in ("bigint", "int") else pa.string()), ("cosine", pa.float64())])
         return scan.mapInArrow(best, f"q {'bigint' if q_kind in ('bigint', 'int') else 'string'}, id {'bigint' if kind in ('bigint', 'int') else 'string'}, cosine double")

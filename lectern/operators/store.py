@@ -78,7 +78,10 @@ class KeyedTable:
 
     def delete(self, condition: Column) -> int:
         """Remove the current rows that meet the condition; returns how many there were."""
-        gone = self.read().filter(condition).cache()
+        return self._mark(self.read().filter(condition))
+
+    def _mark(self, rows: DataFrame) -> int:
+        gone = rows.cache()
         n = gone.count()
         if n:
             self._write(gone.withColumn("_gone", F.lit(True)))
@@ -97,10 +100,20 @@ class KeyedTable:
 
     def by_source(self, source: str) -> DataFrame:
         """Rows of one source (case counts), by page and chunk."""
-        return self.read().filter(F.col("source") == source).orderBy("page", "chunk_index")
+        return self._of_source(F.col("source") == source).orderBy("page", "chunk_index")
 
     def delete_by_source(self, source: str) -> int:
-        return self.delete(F.col("source").eqNullSafe(source))
+        return self._mark(self._of_source(F.col("source").eqNullSafe(source)))
+
+    def _of_source(self, condition: Column) -> DataFrame:
+        """Current rows that meet a condition on other columns than the key. The condition reaches the scans first: only the
+        keys that ever met it take part in finding the last write."""
+        names = self.runs()
+        rows = self._stacked(names)
+        if len(names) > 1:
+            keys = rows.filter(condition).select(self.key).distinct()
+            rows = last_of_each(rows.join(keys, self.key, "left_semi"), self.key, F.col("_run"))
+        return rows.filter(condition & ~F.col("_gone")).select(*self.schema.names)
 
 
 def chunk_rows(chunks: DataFrame, key: Column) -> DataFrame:

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from lectern.config import NO_CONTEXT, EngineConfig
 from lectern.functions import text as T
 from lectern.functions import vectors as V
-from lectern.operators import chunk, embed, evaluate, pii, preprocess, prompt, search, store
+from lectern.operators import answer, chunk, embed, evaluate, pii, preprocess, prompt, search, store
 from lectern.plans import dialect as D
 from lectern.session import table, work_folder
-from lectern.sources import html, json_docs
+from lectern.sources import files, html, json_docs
+from lectern.streaming.landing import LandingZone
 
 RUN_TIME = "2025-01-01T00:00:00+00:00"
 CONFIG = EngineConfig()
@@ -325,7 +326,17 @@ def json_flatten(spark, d):
     return rows.select("event_id", "j.page", "j.total_pages", "j.text")
 
 
-@query()
+def _lines(c: str, keys: list[str]) -> str:
+    """``key: value`` lines of a flat JSON object in the given order; truth values and absent keys give none."""
+    made = [f"CASE WHEN json_type({c}, '$.{k}') IN ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE') THEN '{k}: ' || json_extract_string({c}, '$.{k}') END" for k in keys]
+    return f"array_to_string(list_filter([{', '.join(made)}], lambda x: x IS NOT NULL), chr(10))"
+
+
+META_KEYS = ["source", "page", "file_type", "section_title", "chunk_index", "chunk_total", "word_count", "char_count"]
+
+
+@query(f"""WITH j AS (SELECT row_id, metadata_json AS m FROM chunks WHERE metadata_json IS NOT NULL AND json_valid(metadata_json)), t AS (SELECT row_id, CASE WHEN json_type(m) = 'NULL' THEN 'None' ELSE {_lines("m", META_KEYS)} END AS text FROM j)
+SELECT row_id, 1 AS page, 1 AS total_pages, text FROM t WHERE text <> ''""")
 def json_metadata(spark, d):
     """The metadata of all chunks as text documents; broken JSON gives none."""
     rows = table(spark, d, "chunks").select("row_id", F.explode(json_docs.json_documents(F.col("metadata_json"))).alias("j"))
@@ -339,6 +350,211 @@ def embed_chunks(spark, d):
     return made.select("row_id", F.size("vector").alias("dimension"), F.slice("vector", 1, 4).alias("head"))
 
 
+@query("""SELECT c_custkey, k AS page, 3 AS total_pages, CASE k WHEN 1 THEN 'name: ' || c_name || chr(10) || 'home.nation: ' || c_nationkey || chr(10) || 'home.tags: ' || c_mktsegment || chr(10) || 'home.tags.deep: ' || c_custkey || chr(10) || 'blank: ' || chr(10) || 'end: x' ELSE c_mktsegment END AS text
+FROM customer, (SELECT unnest([1, 3]) AS k)""")
+def json_arrays(spark, d):
+    """Lists of an object with objects and lists inside, a number and a text: the number is no document but keeps its place."""
+    part = lambda before, c: F.concat(F.lit(before), F.col(c).cast("string"))
+    text = F.concat(
+        part('[{"id": 1, "name": "', "c_name"), part('", "home": {"nation": ', "c_nationkey"), part(', "url": "left out", "tags": ["', "c_mktsegment"), part('", "", 7, {"deep": ', "c_custkey"),
+        part('}]}, "kept": true, "none": null, "blank": "", "end": "x"}, 5, "', "c_mktsegment"), F.lit('"]'),
+    )
+    rows = table(spark, d, "customer").select("c_custkey", F.explode(json_docs.json_documents(text)).alias("j"))
+    return rows.select("c_custkey", "j.page", "j.total_pages", "j.text")
+
+
+@query("""SELECT r_regionkey, 'nations' AS section_title, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || '\\|x |', chr(10) ORDER BY n_nationkey) AS text
+FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey""")
+def html_tables(spark, d):
+    """The nations of each region as a table of a page, read back as Markdown; a bar in a cell is escaped."""
+    nations = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n"))
+    rows = F.array_join(F.transform("n", lambda n: F.concat(F.lit("<tr><td>"), n["n_nationkey"].cast("string"), F.lit("</td><td> <b>"), n["n_name"], F.lit("|x</b></td></tr><tr></tr>"))), "")
+    page = F.concat(F.lit("<body><h2>nations</h2><table><tr><th>key</th><th>name</th></tr>"), rows, F.lit("</table><footer>end</footer></body>"))
+    made = nations.join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_regionkey", F.explode(html.html_sections(page, F.lit("stem"))).alias("s"))
+    return made.select("r_regionkey", "s.section_title", "s.text")
+
+
+@query("""WITH p AS (SELECT doc_id, n, substr(text, (n - 1) * 700 + 1, 700) AS t FROM (SELECT doc_id, text, unnest(range(1, (length(text) - 1) // 700 + 2)) AS n FROM documents WHERE text <> '')),
+b AS (SELECT doc_id, n, regexp_replace(regexp_replace(t, '[^a-z]+', '', 'g'), '^', 'x') AS t FROM p WHERE t <> ''), s AS (SELECT doc_id, n, length(t) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i, t FROM b)
+SELECT doc_id, ((i - 1) // 4 + 1)::INTEGER AS page, string_agg(rpad(t, 700, 'y'), chr(10) || chr(10) ORDER BY i) AS text FROM s GROUP BY doc_id, (i - 1) // 4""")
+def docx_pages(spark, d):
+    """Documents as Word files of paragraphs of 700 letters, read back: four fill a page of 3,000 characters."""
+    from lectern.sources import docx
+
+    @F.pandas_udf("array<struct<page:int,total_pages:int,text:string>>")
+    def read(blocks):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        def one(paragraphs):
+            out = io.BytesIO()
+            body = "".join(f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>" for x in paragraphs)
+            with zipfile.ZipFile(out, "w") as z:
+                z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+            return [dict(zip(("page", "total_pages", "text"), x)) for x in docx.pages(out.getvalue(), CONFIG.docx_page_chars)]
+
+        return pd.Series([one(b) for b in blocks])
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 700).cast("int")), lambda n: F.substring(F.col("text"), n * 700 + 1, F.lit(700)))
+    blocks = F.transform(parts, lambda x: F.rpad(F.concat(F.lit("x"), F.regexp_replace(x, "[^a-z]+", "")), 700, "y"))
+    rows = table(spark, d, "documents").filter("text <> ''").select("doc_id", F.explode(read(blocks)).alias("w"))
+    return rows.select("doc_id", "w.page", "w.text")
+
+
+EXTENSION = "lower(regexp_extract(source_path, '[.][^./]+$'))"
+
+
+@query(f"""SELECT file_id, CASE WHEN {EXTENSION} = '.pdf' THEN 'pdf' WHEN {EXTENSION} = '.docx' THEN 'docx' WHEN {EXTENSION} IN ('.html', '.htm') THEN 'html' WHEN {EXTENSION} = '.json' THEN 'json'
+WHEN {EXTENSION} IN ('.png', '.jpg', '.jpeg', '.tiff', '.tif', '.bmp', '.gif') THEN 'image' END AS kind,
+regexp_matches(lower(source_path || CASE WHEN file_id % 3 = 0 THEN '.part' ELSE '' END), '(^|/)[.][^/]*$|[.](tmp|part|crdownload|download)$') AS unfinished FROM source_files""")
+def file_kinds(spark, d):
+    """The kind of every source file by its path, and whether it, or a copy on its way, is unfinished."""
+    path = F.concat("source_path", F.when(F.col("file_id") % 3 == 0, ".part").otherwise(""))
+    return table(spark, d, "source_files").select("file_id", files.file_kind(F.col("source_path")).alias("kind"), files.unfinished(path).alias("unfinished"))
+
+
+@query("""SELECT 'n' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '.html' ELSE '.json' END AS source, 1 AS page, 1 AS total_pages, CASE WHEN n_nationkey % 2 = 0 THEN 'html' ELSE 'json' END AS file_type,
+CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'name: ' || n_name END AS page_content, CASE WHEN n_nationkey % 2 = 0 THEN 'n' || n_nationkey END AS section_title FROM nation""")
+def load_folder(spark, d):
+    """A folder with a file for every nation and two that are no sources, loaded."""
+    folder = _written(spark, d, "load-folder")
+    out = files.load(spark, folder)
+    return out.select("source", "page", "total_pages", "file_type", "page_content", "section_title")
+
+
+@query("""SELECT 'n' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '.html' ELSE '.json' END AS source, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'name: ' || n_name END AS page_content FROM nation
+UNION ALL SELECT 'broken.json', NULL""")
+def landing_folder(spark, d):
+    """The same folder as a landing zone that is emptied once: documents, and the dead letter of a broken file."""
+    folder, out = _written(spark, d, "landing", {"broken.json": "{", "later.html.part": "no"}), work_folder(spark, "landed")
+
+    def ingest(arrived: DataFrame) -> DataFrame:
+        found = files.parse_files(arrived.select("path", "content"))
+        found.filter("error is null").select("source", "page_content").write.mode("append").parquet(out)
+        return found.filter("error is not null").select("source_path", "file_type", "error")
+
+    dead = work_folder(spark, "dead-letters")
+    LandingZone(spark, folder, ingest, work_folder(spark, "landing-checkpoint"), dead).start(available_now=True).awaitTermination()
+    letters = spark.read.schema("source_path string, file_type string, error string").parquet(dead)
+    return spark.read.schema("source string, page_content string").parquet(out).unionByName(letters.select(F.regexp_extract("source_path", "[^/]+$", 0).alias("source"), F.lit(None).cast("string").alias("page_content")))
+
+
+def _written(spark, d, label: str, more: dict[str, str] | None = None) -> str:
+    """A folder of files, one for each of the nations, whose number is fixed."""
+    folder = work_folder(spark, label)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    made = {"readme.txt": "no source", "data.csv": "a,b"} | (more or {})
+    for row in table(spark, d, "nation").collect():
+        n, name = row["n_nationkey"], row["n_name"]
+        made |= {f"n{n}.html": f"<body>{name}</body>"} if n % 2 == 0 else {f"n{n}.json": f'{{"name": "{name}", "id": {n}}}'}
+    for name, text in made.items():
+        out = fs.create(path(f"{folder}/{name}"))
+        out.writeBytes(text)
+        out.close()
+    return folder
+
+
+# ------------------------------------------------------------------ personal data on built texts, gates, sentences, groups
+BUILT = """'No. ' || lpad(c_custkey::VARCHAR, 5, '0') || '-' || lpad((c_custkey * 7)::VARCHAR, 7, '0') || '-' || c_custkey % 10 || ', PK36SCBL' || lpad(c_custkey::VARCHAR, 16, '0') || ', DOB: ' || c_custkey % 28 + 1 || '/0' || c_custkey % 9 + 1 || '/19' || 50 + c_custkey % 49 || ', card 4000-1234-5678-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || ', 0300-' || lpad(c_custkey::VARCHAR, 7, '1')"""
+
+
+def _built(spark, d) -> DataFrame:
+    key = F.col("c_custkey")
+    pad = lambda c, n, fill="0": F.lpad(c.cast("string"), n, fill)
+    text = F.concat(
+        F.lit("No. "), pad(key, 5), F.lit("-"), pad(key * 7, 7), F.lit("-"), (key % 10).cast("string"), F.lit(", PK36SCBL"), pad(key, 16), F.lit(", DOB: "), (key % 28 + 1).cast("string"), F.lit("/0"), (key % 9 + 1).cast("string"),
+        F.lit("/19"), (key % 49 + 50).cast("string"), F.lit(", card 4000-1234-5678-"), pad(key % 10000, 4), F.lit(", 0300-"), pad(key, 7, "1"),
+    )
+    return table(spark, d, "customer").select("c_custkey", text.alias("page_content"))
+
+
+@query(f"{D.redacted(f'SELECT c_custkey AS id, {BUILT} AS t FROM customer', pii.PATTERNS)} SELECT id AS c_custkey, t AS page_content, pii_count, pii_entities FROM redacted")
+def pii_numbers(spark, d):
+    """Identity cards, account numbers, dates of birth, cards and mobile numbers in built texts."""
+    return pii.redact(_built(spark, d)).select("c_custkey", "page_content", "pii_count", F.array_join("pii_entities", ",").alias("pii_entities"))
+
+
+@query(f"{D.redacted(f'SELECT c_custkey AS id, {BUILT} AS t FROM customer', [p for p in pii.PATTERNS if p[0] in ('IBAN', 'DATE_OF_BIRTH')])} SELECT id AS c_custkey, t AS page_content, pii_count FROM redacted")
+def pii_whitelist(spark, d):
+    """The same with only two of the kinds wanted."""
+    return pii.redact(_built(spark, d), types=("DATE_OF_BIRTH", "IBAN")).select("c_custkey", "page_content", "pii_count")
+
+
+@query(f"""WITH c AS (SELECT doc_id, {D.clean('text')} AS t FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, t FROM c WHERE t <> '')
+SELECT doc_id, true AS within_limit, true AS numbered, true AS begins, true AS ends, true AS parts, true AS covers, CASE WHEN length(t) <= 512 THEN t END AS whole FROM k""")
+def chunk_promises(spark, d):
+    """What recursive chunks promise of every cleaned text: each of at most 512 characters, numbered from 0, the first one begins
+    and the last one ends it, each is a part of it, together they are no shorter, and a short text is one chunk."""
+    rows = _documents(spark, d).withColumn("clean", T.clean_for_chunking("page_content"))
+    made = chunk.recursive_chunks(rows).groupBy("doc_id").agg(F.first("clean").alias("t"), F.max("chunk_total").alias("n"), F.array_sort(F.collect_list(F.struct("chunk_index", "page_content"))).alias("c"))
+    texts, solid = F.col("c.page_content"), lambda c: F.length(F.regexp_replace(c, r"\s+", ""))
+    return made.select(
+        "doc_id", (F.array_max(F.transform(texts, F.length)) <= 512).alias("within_limit"), (F.transform("c", lambda x: x["chunk_index"]) == F.sequence(F.lit(0), F.col("n") - 1)).alias("numbered"),
+        F.startswith("t", F.element_at(texts, 1)).alias("begins"), F.endswith("t", F.element_at(texts, -1)).alias("ends"), F.forall(texts, lambda x: F.contains(F.col("t"), x)).alias("parts"),
+        (F.aggregate(texts, F.lit(0), lambda a, x: a + solid(x)) >= solid(F.col("t"))).alias("covers"), F.when(F.length("t") <= 512, F.element_at(texts, 1)).alias("whole"),
+    )
+
+
+SENTENCES = rf"list_filter(string_split(regexp_replace({D.strip('text')}, '([.!?])[{D.SPACE}]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+
+
+@query(f"SELECT doc_id, {SENTENCES} AS sentences FROM documents WHERE {D.strip('text')} <> ''")
+def sentence_split(spark, d):
+    split = F.pandas_udf(lambda s: s.map(chunk.sentences), "array<string>")
+    rows = table(spark, d, "documents").filter(T.strip("text") != "")
+    return rows.select("doc_id", split("text").alias("sentences"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT vec_id // 40 AS g, row_number() OVER (PARTITION BY vec_id // 40 ORDER BY vec_id) AS i, vec_id,
+  list_cosine_similarity(embedding::DOUBLE[], lead(embedding) OVER (PARTITION BY vec_id // 40 ORDER BY vec_id)::DOUBLE[]) AS v FROM embeddings), n AS (SELECT g, count(*) AS n FROM s GROUP BY g),
+w AS (SELECT g, i, CASE WHEN (v < 0.1 AND 1 >= 2) OR 1 >= 15 THEN 0 ELSE 1 END AS c, false AS cut FROM s WHERE i = 1 AND v IS NOT NULL
+  UNION ALL SELECT s.g, s.i, CASE WHEN (v < 0.1 AND w.c + 1 >= 2) OR w.c + 1 >= 15 THEN 0 ELSE w.c + 1 END, (v < 0.1 AND w.c + 1 >= 2) OR w.c + 1 >= 15 FROM w JOIN s ON s.g = w.g AND s.i = w.i + 1 WHERE v IS NOT NULL),
+b AS (SELECT w.g, w.i FROM w JOIN n USING (g) WHERE w.cut AND NOT (n.n - w.i < 2 AND w.i = (SELECT max(x.i) FROM w x WHERE x.g = w.g AND x.cut))),
+m AS (SELECT s.g, s.i, 's' || s.vec_id AS t, (SELECT count(*) FROM b WHERE b.g = s.g AND b.i < s.i) AS part FROM s)
+SELECT g AS sequence, part::INTEGER AS chunk_index, string_agg(t, ' ' ORDER BY i) AS text FROM m GROUP BY g, part""")
+def semantic_groups(spark, d):
+    """Sentences grouped between break points; a tail of one joins the group before it."""
+    group = F.floor(F.col("vec_id") / 40).cast("long")
+    rows = table(spark, d, "embeddings").groupBy(group.alias("sequence")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("s"))
+    names = F.transform("s", lambda x: F.concat(F.lit("s"), x["vec_id"].cast("string")))
+    made = chunk.grouped(names, chunk.breakpoints(chunk.adjacent_similarities(F.col("s.embedding")), BREAKS), BREAKS.min_sentences)
+    return rows.select("sequence", F.posexplode(made).alias("chunk_index", "text"))
+
+
+@query(f"SELECT row_id, CASE WHEN content IS NOT NULL THEN 768 END AS dimension, CASE WHEN content IS NOT NULL THEN CASE WHEN {D.strip('content')} = '' THEN 0.0 ELSE 1.0 END END AS size, true AS same FROM chunks")
+def embed_promises(spark, d):
+    """Every text has a vector of the right length and of unit size, equal for the question of the same text; null has none."""
+    rows = table(spark, d, "chunks").select("row_id", "content")
+    made = embed.embed_texts(embed.embed_texts(rows, "content", "vector", config=CONFIG), "content", "again", config=CONFIG)
+    size = F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 3)
+    return made.select("row_id", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dimension"), F.coalesce(size, F.when(F.col("vector").isNotNull(), F.lit(0.0))).alias("size"), F.col("vector").eqNullSafe(F.col("again")).alias("same"))
+
+
+@query("SELECT row_id, coalesce(content, '') AS text, coalesce(source, 'unknown') AS source, coalesce(page, 0) AS page, 0 AS chunk_index FROM chunks")
+def payload_defaults(spark, d):
+    out = search.with_payload(table(spark, d, "chunks").select("row_id", F.col("content").alias("text"), "source", "page"))
+    return out.select("row_id", "text", "source", "page", "chunk_index")
+
+
+@query(f"SELECT doc_id, CASE WHEN len({MATCHES}) > 0 THEN 'PASS' ELSE 'FAIL' END AS status, substr(text, 1, 80) AS answer, replace(substr(text, 1, 200), chr(10), ' ') AS preview FROM documents d JOIN eval_cases e ON e.case_id = d.doc_id % 40 + 1")
+def eval_report(spark, d):
+    """The line of each case, and its text as a debug preview."""
+    made = evaluate.keyword_matches(_answers(spark, d))
+    report = evaluate.case_report(made.withColumn("question", F.col("doc_id").cast("string"))).select(F.col("question").cast("long").alias("doc_id"), "status", "answer")
+    return report.join(evaluate.preview(made.withColumn("text", F.col("answer"))).select("doc_id", "preview"), "doc_id")
+
+
+@query("""SELECT case_id, CASE WHEN case_id % 2 = 0 THEN 'Nothing else. ' || question || ' [1]' ELSE 'I don''t have enough information to answer that.' END AS answer, 'extractive' AS model FROM eval_cases""".replace("'Nothing else. ' || question", "question"))
+def generated_answers(spark, d):
+    """Answers of the offline generator: half of the contexts hold the question's words, the others hold nothing."""
+    body = F.when(F.col("case_id") % 2 == 0, F.concat(F.lit("[1] (Source: a.pdf, Page 1)\n"), "question")).otherwise(F.lit("[1] (Source: a.pdf, Page 1)\n---"))
+    asked = table(spark, d, "eval_cases").withColumn("prompt", F.concat(F.lit("x\n\nContext:\n"), body, F.lit("\n\nQuestion: "), "question", F.lit("\n\nAnswer:")))
+    return answer.generate(asked).select("case_id", "answer", "model")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

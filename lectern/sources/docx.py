@@ -6,6 +6,8 @@ import io
 import zipfile
 from xml.etree import ElementTree
 
+from lectern.sources import markdown
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -42,16 +44,9 @@ def table_rows(table: ElementTree.Element) -> list[list[str]]:
 
 
 def table_markdown(rows: list[list[str]]) -> str:
-    """Rows between bars, a rule after the first one; blank rows are left out, and a blank first row's rule with it."""
-    lines = []
-    for i, row in enumerate(rows):
-        cells = [c.strip().replace("|", "\\|").replace("\n", " ") for c in row]
-        if not any(cells):
-            continue
-        lines.append(f"| {' | '.join(cells)} |")
-        if i == 0:
-            lines.append(f"| {' | '.join(['---'] * len(cells))} |")
-    return "\n".join(lines)
+    """``markdown.table`` of cells on one line each; rows of blank cells count as empty."""
+    plain = [[c.strip().replace("|", "\\|").replace("\n", " ") for c in row] for row in rows]
+    return markdown.table([row if any(row) else [] for row in plain])
 
 
 def blocks(content: bytes) -> list[str]:

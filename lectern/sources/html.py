@@ -8,6 +8,8 @@ from html.parser import HTMLParser
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.sources import markdown
+
 SECTION = "array<struct<page:int,total_pages:int,section_title:string,text:string>>"
 #: Subtrees without content, and tags that never hold any.
 NOISE = {"script", "style", "nav", "footer", "head", "noscript", "iframe"}
@@ -93,15 +95,9 @@ class TreeBuilder(HTMLParser):
 
 
 def table_markdown(table: Node) -> str:
-    """Rows of cells between bars, with a rule after the first row if that has cells."""
-    lines = []
-    for i, row in enumerate(x for x in table.walk() if x.tag == "tr"):
-        cells = [c.text(" ").replace("|", "\\|") for c in row.walk() if c.tag in ("th", "td")]
-        if cells:
-            lines.append(f"| {' | '.join(cells)} |")
-            if i == 0:
-                lines.append(f"| {' | '.join(['---'] * len(cells))} |")
-    return "\n".join(lines)
+    """``markdown.table`` of the header and data cells of all rows."""
+    rows = [x for x in table.walk() if x.tag == "tr"]
+    return markdown.table([[c.text(" ").replace("|", "\\|") for c in row.walk() if c.tag in ("th", "td")] for row in rows])
 
 
 def tidy(text: str) -> str:
@@ -134,24 +130,15 @@ def sections(html: str | None, stem: str) -> list[tuple[int, int, str, str]]:
     _swap(root, lambda n: n.tag == "table", lambda n: f"\n\n{table_markdown(n)}\n\n")
     body = next((n for n in root.walk() if n.tag == "body"), root)
     total = max(1, sum(n.tag in ("h1", "h2") for n in root.walk()))
-    out: list[tuple[int, int, str, str]] = []
-    title, pieces = stem, []
-
-    def close() -> None:
-        text = tidy("\n".join(pieces))
-        if text:
-            out.append((len(out) + 1, total, title, text))
-
+    # what stands before the first heading belongs to the file's name; each heading opens a section of its own
+    parts: list[tuple[str, list[str]]] = [(stem, [])]
     for child in body.children:
         if isinstance(child, Node) and child.tag in ("h1", "h2"):
-            close()
-            title, pieces = child.text(" "), []
-            continue
-        text = child.text("\n") if isinstance(child, Node) else (child.content if isinstance(child, Note) else child).strip()
-        if text:
-            pieces.append(text)
-    close()
-    return out
+            parts.append((child.text(" "), []))
+        else:
+            parts[-1][1].append(child.text("\n") if isinstance(child, Node) else (child.content if isinstance(child, Note) else child).strip())
+    found = [(title, tidy("\n".join(filter(None, pieces)))) for title, pieces in parts]
+    return [(k, total, title, text) for k, (title, text) in enumerate((f for f in found if f[1]), 1)]
 
 
 def html_sections(html: Column, stem: Column) -> Column:

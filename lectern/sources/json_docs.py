@@ -13,8 +13,8 @@ DOCUMENT = "array<struct<page:int,total_pages:int,text:string>>"
 
 
 def flatten(value: dict, prefix: str = "") -> list[str]:
-    """``path: value`` lines in the order of the object. Lists add no index; of their items only texts and objects count;
-    null and truth values are left out everywhere."""
+    """``path: value`` lines in the order of the object. Lists add no index; of their items only objects and texts that are
+    not blank count. Null and truth values are left out everywhere; a blank value that is no list item stays as it is."""
     lines: list[str] = []
     for key, item in value.items():
         if key in SKIP_KEYS:
@@ -25,7 +25,9 @@ def flatten(value: dict, prefix: str = "") -> list[str]:
             if isinstance(member, dict):
                 lines += flatten(member, path)
             elif isinstance(member, str):
-                lines += [f"{path}: {member.strip()}"] if member.strip() else []
+                bare = member.strip()
+                if bare or not isinstance(item, list):
+                    lines.append(f"{path}: {bare or member}")
             elif member is not None and not isinstance(member, bool):
                 lines.append(f"{path}: {member}")
     return lines

@@ -27,8 +27,8 @@ def test_html_without_body_or_text():
 
 
 def test_json_shapes():
-    nested = '{"id": 1, "a": " x ", "b": {"c": 2, "url": "u", "d": [" y ", 3, {"e": 4.5}, true, null]}, "t": true, "n": null, "z": ""}'
-    assert json_docs.documents(nested) == [(1, 1, "a: x\nb.c: 2\nb.d: y\nb.d.e: 4.5")]
+    nested = '{"id": 1, "a": " x ", "b": {"c": 2, "url": "u", "d": [" y ", 3, {"e": 4.5}, true, null]}, "t": true, "n": null, "z": "", "w": "  ", "l": ["", " "], "last": 0}'
+    assert json_docs.documents(nested) == [(1, 1, "a: x\nb.c: 2\nb.d: y\nb.d.e: 4.5\nz: \nw:   \nlast: 0")]
     assert json_docs.documents('[" a ", {"k": "v"}, 5, null, [1], {"id": 1}]') == [(1, 6, "a"), (2, 6, "k: v")]
     assert json_docs.documents("true") == [(1, 1, "True")] and json_docs.documents("null") == [(1, 1, "None")] and json_docs.documents("[]") == []
     with pytest.raises(ValueError):

@@ -63,6 +63,23 @@ def test_top_k_and_batches_equal_brute_force(spark):
     assert search.batch_top_k(df, asked.limit(0), 5, id_col="id", question_col="q").count() == 0
 
 
+def test_a_question_without_length_ties_with_all_and_keeps_k(spark):
+    rows = [(i, [0.0, 1.0] if i % 2 else [1.0, 0.0]) for i in range(5000)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([("zero", [0.0, 0.0]), ("east", [2.0, 0.0]), ("null", None)], "q string, vector array<double>")
+    got = search.batch_top_k(df, asked, 3, id_col="id", question_col="q").collect()
+    assert sorted((r["q"], r["rank"], r["id"], r["score"]) for r in got) == [("east", 1, 0, 1.0), ("east", 2, 2, 1.0), ("east", 3, 4, 1.0), ("zero", 1, 0, 0.0), ("zero", 2, 1, 0.0), ("zero", 3, 2, 0.0)]
+
+
+def test_rows_of_a_source_are_found_without_ordering_the_table(spark, tmp_path):
+    t = store.KeyedTable(spark, str(tmp_path / "t"), store.CHUNKS)
+    row = lambda key, source, text: (key, source, 1, 0, text, "{}", "")
+    t.upsert(spark.createDataFrame([row("a", "s", "1"), row("b", "s", "2"), row("c", "x", "3")], store.CHUNKS))
+    t.upsert(spark.createDataFrame([row("b", "x", "4"), row("c", "s", "5")], store.CHUNKS))
+    assert sorted((r["vector_id"], r["content"]) for r in t.by_source("s").collect()) == [("a", "1"), ("c", "5")]
+    assert t.delete_by_source("s") == 2 and [r["vector_id"] for r in t.read().collect()] == ["b"]
+
+
 def test_payload_defaults(spark):
     hit = search.with_payload(spark.createDataFrame([(None, None)], "text string, source string")).head()
     assert (hit["text"], hit["source"], hit["page"], hit["chunk_index"]) == ("", "unknown", 0, 0)
