@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.sources import docx, html, json_docs
+from lectern.sources import docx, html, json_docs, pdf
 
 #: Extensions of each kind of file (fixed values), in order of precedence.
 EXTENSIONS = {
@@ -32,12 +32,12 @@ SCHEMA = "page_content string, source string, source_path string, page int, tota
 
 
 def pdf_pages(content: bytes) -> list[tuple[int, int, str]]:
-    """(page, total_pages, text) with the pypdf library where it is installed. Pages without text are left out; numbers
-    keep their gaps."""
+    """(page, total_pages, text) with the pypdf library where it is installed, else with ``pdf.pages``. Pages without text
+    are left out; numbers keep their gaps."""
     try:
         import pypdf
-    except ImportError as e:
-        raise ValueError("no PDF parser is installed") from e
+    except ImportError:
+        return pdf.pages(content)
     found = pypdf.PdfReader(io.BytesIO(content)).pages
     texts = [(page.extract_text() or "").strip() for page in found]
     return [(i + 1, len(texts), t) for i, t in enumerate(texts) if t]

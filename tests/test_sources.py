@@ -1,9 +1,10 @@
 import io
 import zipfile
+import zlib
 
 import pytest
 
-from lectern.sources import docx, files, html, json_docs
+from lectern.sources import docx, files, html, json_docs, pdf
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title></head><body>before<!-- ad 7 -->
 <h1>First <b>title</b></h1><p>one<i>two  spaced</i></p><nav>menu</nav><div><h2>inner</h2>deep</div>
@@ -101,3 +102,31 @@ def test_replaceable_parsers(spark, tmp_path):
     parsers = files.Parsers(pdf=lambda content: [(1, 3, "one"), (3, 3, "three")])
     rows = files.load(spark, str(tmp_path), parsers).orderBy("page").collect()
     assert [(r["page"], r["total_pages"], r["page_content"], r["file_type"]) for r in rows] == [(1, 3, "one", "pdf"), (3, 3, "three", "pdf")]
+
+
+def pdf_file(*pages: bytes, packed: bool = False, fonts: bytes = b"/F1 90 0 R", more: bytes = b"") -> bytes:
+    """A file with a page for each row of commands."""
+    kids = b" ".join(b"%d 0 R" % (10 + 2 * k) for k in range(len(pages)))
+    out = b"%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [" + kids + b"] /Resources << /Font << " + fonts + b" >> >> >> endobj\n"
+    for k, commands in enumerate(pages):
+        data = zlib.compress(commands) if packed else commands
+        out += b"%d 0 obj << /Type /Page /Parent 2 0 R /Contents %d 0 R >> endobj\n" % (10 + 2 * k, 11 + 2 * k)
+        out += b"%d 0 obj << /Length %d %s>> stream\n" % (11 + 2 * k, len(data), b"/Filter /FlateDecode " if packed else b"") + data + b"\nendstream endobj\n"
+    return out + b"90 0 obj << /Type /Font /Subtype /Type1 >> endobj\n" + more + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_pages_of_a_pdf(packed):
+    first = b"BT /F1 12 Tf 72 700 Td (Hello \\(big\\) w\\366rld) Tj 0 -14 Td [(sec) 20 (ond) -400 (line)] TJ T* (third) Tj ET"
+    third = b"BT /F1 9 Tf 1 0 0 1 72 700 Tm <4142> Tj 1 0 0 1 90 700 Tm (C) Tj 1 0 0 1 72 680 Tm (D) Tj (E) ' ET"
+    assert pdf.pages(pdf_file(first, b"0 0 10 10 re f", third, packed=packed)) == [(1, 3, "Hello (big) w\u00f6rld\nsecond line\nthird"), (3, 3, "ABC\nD\nE")]
+
+
+def test_fonts_with_a_map_and_what_no_pdf_is():
+    cmap = b"1 beginbfchar <0003> <0020> endbfchar 1 beginbfrange <0010> <0012> <0061> endbfrange"
+    more = b"91 0 obj << /Type /Font /ToUnicode 92 0 R >> endobj 92 0 obj << >> stream\n" + cmap + b"\nendstream endobj\n"
+    assert pdf.pages(pdf_file(b"BT /F2 9 Tf <001000110003 0012> Tj ET", fonts=b"/F1 90 0 R /F2 91 0 R", more=more)) == [(1, 1, "ab c")]
+    for bad in (b"", b"no pdf", b"%PDF-1.4 nothing", pdf_file(b"BT ET") + b"/Encrypt 5 0 R"):
+        with pytest.raises(ValueError):
+            pdf.pages(bad)
+    assert files.pdf_pages(pdf_file(b"BT (x) Tj ET")) == [(1, 1, "x")]
