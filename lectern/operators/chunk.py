@@ -15,7 +15,9 @@ from lectern.functions import text as T
 from lectern.functions.vectors import cosine
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
-SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+#: Abbreviations that end no sentence (fixed values).
+ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "St", "Sr", "Jr", "No", "Fig", "vs", "approx", "e.g", "i.e", "z.B", "bzw", "Nr", "Mme", "Sra", "p.ej")
+SENTENCE_END = re.compile("".join(rf"(?<!\b{re.escape(a)}\.)" for a in ABBREVIATIONS) + r"(?<=[.!?])\s+")
 
 
 def route(file_type: Column, semantic_types: Sequence[str] = ("html", "json")) -> Column:
@@ -77,7 +79,8 @@ def recursive_split(text: str, size: int = 512, overlap: int = 64, separators: S
 
 
 def sentences(text: str) -> list[str]:
-    """Sentences end at ., ! or ? before white space. A stand-in for a trained tokenizer; give another where needed."""
+    """Sentences end at ., ! or ? before white space, but not at one of ``ABBREVIATIONS``. A stand-in for a trained tokenizer;
+    give another where needed."""
     return [s for s in SENTENCE_END.split(text.strip()) if s]
 
 

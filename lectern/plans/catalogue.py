@@ -498,7 +498,9 @@ def chunk_promises(spark, d):
     )
 
 
-SENTENCES = rf"list_filter(string_split(regexp_replace({D.strip('text')}, '([.!?])[{D.SPACE}]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+_SHORT = "|".join(a.replace(".", "[.]") for a in chunk.ABBREVIATIONS)
+_MARKED = rf"regexp_replace({D.strip('text')}, '\b({_SHORT})[.]([{D.SPACE}])', '\1' || chr(2) || '\2', 'g')"
+SENTENCES = rf"list_transform(list_filter(string_split(regexp_replace({_MARKED}, '([.!?])[{D.SPACE}]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''), lambda x: replace(x, chr(2), '.'))"
 
 
 @query(f"SELECT doc_id, {SENTENCES} AS sentences FROM documents WHERE {D.strip('text')} <> ''")

@@ -89,3 +89,8 @@ def test_embedding_keeps_rows_and_nulls(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "i int, t string")
     rows = {r["i"]: r["v"] for r in embed.embed_texts(df, "t", "v", config=EngineConfig(dimension=16)).collect()}
     assert rows[2] is None and len(rows[1]) == len(rows[3]) == 16 and any(rows[1]) and not any(rows[3])
+
+
+def test_abbreviations_end_no_sentence():
+    assert chunk.sentences("Mr. Smith came, e.g. by train. He met Dr. Jones! Was it z.B. late? Fig. 3 says so. ok") == ["Mr. Smith came, e.g. by train.", "He met Dr. Jones!", "Was it z.B. late?", "Fig. 3 says so.", "ok"]
+    assert chunk.sentences("The firm. Next") == ["The firm.", "Next"] and chunk.sentences(" ") == []
