@@ -19,7 +19,7 @@ log = logging.getLogger("lectern")
 
 
 class Engine:
-    """Everything is lazy but ``ingest*``. ``folder`` holds the vector and the chunk table; the provider of embeddings, the
+    """Everything is lazy but ``ingest*`` and ``prepare``. ``folder`` holds the vector and the chunk table; the provider of embeddings, the
     generator of answers, and the parsers of binary formats are replaceable."""
 
     def __init__(self, spark: SparkSession, folder: str, config: EngineConfig = EngineConfig(), provider: embed.Provider | None = None, generator: answer.Generator = answer.extractive_answer, model: str = "extractive", parsers: files.Parsers | None = None):
@@ -37,8 +37,8 @@ class Engine:
         return store.KeyedTable(self.spark, f"{self.folder}/chunks", store.CHUNKS)
 
     def prepare(self, documents: DataFrame) -> DataFrame:
-        """Documents -> embedded chunks with their ids."""
-        clean = preprocess.preprocess(documents, self.config)
+        """Documents -> embedded chunks with their ids. The prepared documents are written once, for both chunkers."""
+        clean = stage(preprocess.preprocess(documents, self.config), "prepared")
         made = chunk.chunk_documents(clean, embed.embed_similarities(self.provider, self.config), self.config)
         made = embed.embed_texts(made, "page_content", "vector", self.provider, self.config)
         return made.withColumn("vector_id", vector_id(F.col("source"), F.col("page"), F.col("chunk_index")))

@@ -163,10 +163,8 @@ def semantic_chunks(df: DataFrame, compare: Callable[[DataFrame, str, str], Data
 
 
 def chunk_documents(df: DataFrame, compare: Callable[[DataFrame, str, str], DataFrame], config: EngineConfig = EngineConfig(), column: str = "page_content", splitter: Callable[[str], list[str]] = sentences) -> DataFrame:
-    """Documents routed by ``file_type`` to the semantic or the recursive chunker. Both see each row once, the other's rows
-    as null, so whatever made ``df`` runs once."""
-    routed = df.withColumn("_route", T.once(route(F.col("file_type"), config.semantic_types)))
-    semantic = F.col("_route") == "semantic"
-    made = _recursive_parts(routed, F.when(~semantic, F.col(column)), config)
-    made = _semantic_parts(made, F.when(semantic, F.col(column)), compare, config, splitter)
-    return _numbered(made, F.when(semantic, F.col("_semantic")).otherwise(F.col("_recursive")), column)
+    """Documents routed by ``file_type`` to the semantic or the recursive chunker. Both read ``df``, side by side: where much
+    work makes it, give it as a written table (``session.stage``), as the engine does."""
+    routed = df.withColumn("_route", route(F.col("file_type"), config.semantic_types))
+    semantic = semantic_chunks(routed.filter("_route = 'semantic'").drop("_route"), compare, config, column, splitter)
+    return recursive_chunks(routed.filter("_route = 'recursive'").drop("_route"), config, column).unionByName(semantic)
