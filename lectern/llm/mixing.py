@@ -41,11 +41,15 @@ def plan_mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, til
 
     Without a ``total`` it is the largest one at which every feed that has texts can give its weight (feeds without
     texts give nothing, and the weights of the others are scaled to 1). With a ``total`` a feed gives at most what
-    ``max_repeats`` allows. Sources that are repeated most come latest: tilts lie in [-tilt, tilt] by the rank of
-    demand over supply, and their weighted mean is 0, so that at each time the weights sum to 1.
+    ``max_repeats`` allows. A feed's schedule is its ``schedule`` in ``targets``, where there is such a column and a value:
+    -1 for early, 1 for late, 0 for even use. Else sources that are repeated most come latest, in [-tilt, tilt] by the rank
+    of demand over supply. The weighted mean of all schedules is taken off, so that at each time the weights sum to 1; if
+    one would then leave [-1, 1], all are scaled by the same factor.
     """
-    goal = targets.select(feed_name("source").alias("feed"), F.col("weight").cast("double").alias("weight"), F.greatest(F.col("max_repeats"), F.lit(0)).alias("max_repeats"))
-    goal = goal.groupBy("feed").agg(F.sum("weight").alias("weight"), F.max("max_repeats").alias("max_repeats"))
+    given = F.col("schedule").try_cast("double") if "schedule" in targets.columns else F.lit(None).cast("double")
+    targets = targets.withColumn("_given", F.when(given.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), given))))
+    goal = targets.select(F.col("_given"), feed_name("source").alias("feed"), F.col("weight").cast("double").alias("weight"), F.greatest(F.col("max_repeats"), F.lit(0)).alias("max_repeats"))
+    goal = goal.groupBy("feed").agg(F.sum("weight").alias("weight"), F.max("max_repeats").alias("max_repeats"), F.max("_given").alias("given"))
     have = sizes.groupBy("feed").agg(F.sum("tokens").alias("available"), F.count("*").alias("texts"))
     plan = goal.join(have, "feed", "left").fillna(0, ["available", "texts"])
     one = Window.partitionBy()  # one row a feed: the targets are a short list
@@ -59,8 +63,10 @@ def plan_mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, til
     rank = F.percent_rank().over(Window.partitionBy().orderBy(stretch, "feed"))
     plan = plan.withColumn("rank", rank)
     share = F.coalesce(F.try_divide(F.col("demand"), F.sum("demand").over(one)), F.lit(0.0))
-    middle = F.sum(share * F.col("rank")).over(one)
-    return plan.withColumn("tilt", F.coalesce((F.col("rank") - middle) * F.lit(float(tilt)), F.lit(0.0))).select("feed", "weight", "max_repeats", "available", "texts", "demand", "tilt")
+    plan = plan.withColumn("wish", F.coalesce("given", F.col("rank") * F.lit(float(tilt)), F.lit(0.0))).withColumn("share", share)
+    plan = plan.withColumn("tilt", F.col("wish") - F.sum(F.col("share") * F.col("wish")).over(one))
+    most = F.greatest(F.lit(1.0), F.max(F.when(F.col("demand") > 0, F.abs("tilt"))).over(one))
+    return plan.withColumn("tilt", F.coalesce(F.when(F.col("demand") > 0, F.col("tilt") / most), F.lit(0.0))).select("feed", "weight", "max_repeats", "available", "texts", "demand", "tilt")
 
 
 def training_order(sizes: DataFrame, plan: DataFrame, seed: int = 1, slice_rows: int = 50_000) -> DataFrame:

@@ -140,6 +140,21 @@ def test_schedule_follows_the_tilt(mix):
         assert abs(r["mean"] - (0.5 + tilts[r["feed"]][0] / 6)) < 0.03
 
 
+@pytest.mark.parametrize("wishes", [{"a": 0.8, "b": -0.8, "c": 0.0}, {"a": 1.0, "b": -1.0, "c": -1.0}, {"a": None, "b": 0.9, "c": None}])
+def test_feeds_may_have_schedules_of_their_own(mix, wishes):
+    _, targets, sizes = mix
+    feed = mixing.feed_name("source")
+    wish = F.coalesce(*[F.when(feed == k, F.lit(v).cast("string")) for k, v in wishes.items()])
+    plan = mixing.plan_mix(sizes, targets.withColumn("schedule", wish), tilt=0.0)
+    tilts = {r["feed"]: (r["tilt"], r["demand"]) for r in plan.collect()}
+    total = sum(d for _, d in tilts.values())
+    assert abs(sum(t * d for t, d in tilts.values()) / total) < 1e-9 and all(abs(t) <= 1 + 1e-9 for t, _ in tilts.values())
+    known = {k: v or 0.0 for k, v in wishes.items()}
+    assert sorted(known, key=known.get) == sorted(known, key=lambda k: (tilts[k][0], known[k])) or known["b"] == known["c"]
+    order = mixing.training_order(sizes, plan).groupBy("feed").agg((F.sum(F.col("time") * F.col("tokens")) / F.sum("tokens")).alias("mean")).collect()
+    assert len(order) == 3 and all(abs(r["mean"] - (0.5 + tilts[r["feed"]][0] / 6)) < 0.03 for r in order)
+
+
 def test_a_given_total_and_no_texts(spark, mix):
     _, targets, sizes = mix
     plan = mixing.plan_mix(sizes, targets, total=10**9)
